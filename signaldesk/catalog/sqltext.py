@@ -300,6 +300,8 @@ def sql(body: str, *names: str) -> str:
     stripped = body.strip()
     if stripped.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head}, {stripped[14:]}"
+    if stripped.startswith(","):
+        return f"WITH {head}{stripped}"
     if stripped.upper().startswith("WITH"):
         return f"WITH {head}, {stripped[4:]}"
     return f"WITH {head} {stripped}"
