@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -18,8 +20,8 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
-    from signaldesk.catalog import (  # noqa: F401
-        q_aggregates, q_datasets, q_filters, q_functions, q_joins, q_ranking, q_sources, q_streams, q_tagging, q_text,
-    )
-
+    """Import every ``q_*`` module of this package and return the registry."""
+    for module in pkgutil.iter_modules(__path__):
+        if module.name.startswith("q_"):
+            importlib.import_module(f"{__name__}.{module.name}")
     return REGISTRY

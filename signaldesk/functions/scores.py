@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -54,10 +56,7 @@ def quantitative_delta(mean_now, mean_prior) -> Column:
     )
 
 
-@F.pandas_udf("double")
-def _sequence_ratio(now: pd.Series, prior: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-
+def _ratio_batch(now: pd.Series, prior: pd.Series) -> pd.Series:
     return pd.Series([
         None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(now, prior)
     ], dtype="float64")
@@ -81,7 +80,7 @@ def novelty(now, prior, mode: str = "exact") -> Column:
     else:
         # Null inputs skip the comparison inside the batch.
         both = has_now & has_prior
-        ratio = _sequence_ratio(F.when(both, head(now, NOVELTY_CHARS)), F.when(both, head(prior, NOVELTY_CHARS)))
+        ratio = F.pandas_udf(_ratio_batch, "double")(F.when(both, head(now, NOVELTY_CHARS)), F.when(both, head(prior, NOVELTY_CHARS)))
     return F.when(~has_now, 0.0).when(~has_prior, 65.0).otherwise(cents((1.0 - ratio) * 100.0))
 
 

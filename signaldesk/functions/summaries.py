@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signaldesk import constants as K
 from signaldesk.functions import text as T
 from signaldesk.functions.dates import col, display_date
 
 
-def sentences(text) -> Column:
-    parts = F.split(T.squeeze(F.coalesce(col(text), F.lit(""))), r"(?<=[.!?])\s+")
+def sentences(flat) -> Column:
+    """Sentences of a text whose white space is already single."""
+    parts = F.split(col(flat), r"(?<=[.!?])\s+")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -19,19 +20,23 @@ def flag_hits(lowered: Column, label: str, words) -> Column:
     return F.slice(hits, 1, 3)
 
 
-def rule_summary(title, text) -> dict[str, Column]:
-    found = sentences(text)
-    lowered = F.lower(T.squeeze(F.coalesce(col(text), F.lit(""))))
-    hits = sum((F.when(lowered.contains(w), 1).otherwise(0) for w in K.SUMMARY_IMPORTANCE_WORDS), F.lit(0))
-    out = {
+def with_rule_summary(df: DataFrame, title: str, text: str) -> DataFrame:
+    """Add a keyword-rule summary: text, takeaways, three flag lists and importance.
+
+    The squeezed text, its lower case and its sentences are columns of their
+    own, so each is computed once per row.
+    """
+    staged = df.withColumn("_flat", T.squeeze(F.coalesce(col(text), F.lit("")))).withColumns({
+        "_low": F.lower("_flat"), "_sent": sentences("_flat")})
+    hits = sum((F.when(F.col("_low").contains(w), 1).otherwise(0) for w in K.SUMMARY_IMPORTANCE_WORDS), F.lit(0))
+    out = staged.withColumns({
         "summary": F.coalesce(
-            F.nullif(F.substring(F.array_join(F.slice(found, 1, 2), " "), 1, 700), F.lit("")), col(title)),
-        "key_takeaways": F.when(F.size(found) > 0, F.slice(found, 1, 3)).otherwise(F.array(col(title))),
-    }
-    for name, (label, words) in K.SUMMARY_FLAG_WORDS.items():
-        out[name] = flag_hits(lowered, label, words)
-    out["importance_score"] = F.least(30.0 + 10.0 * hits, F.lit(100.0))
-    return out
+            F.nullif(F.substring(F.array_join(F.slice("_sent", 1, 2), " "), 1, 700), F.lit("")), col(title)),
+        "key_takeaways": F.when(F.size("_sent") > 0, F.slice("_sent", 1, 3)).otherwise(F.array(col(title))),
+        "importance_score": F.least(30.0 + 10.0 * hits, F.lit(100.0)),
+        **{name: flag_hits(F.col("_low"), label, words) for name, (label, words) in K.SUMMARY_FLAG_WORDS.items()},
+    })
+    return out.drop("_flat", "_low", "_sent")
 
 
 def summary_source(sections, raw_text, tier: str = "full_ai") -> Column:

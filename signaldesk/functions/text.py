@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -75,14 +77,17 @@ def sponsor_text(name) -> Column:
     return entity_text(F.replace(ascii_only, F.lit("&"), F.lit(" and ")))
 
 
-@F.pandas_udf("string")
-def fold_ascii_full(name: pd.Series) -> pd.Series:
-    """Full compatibility decomposition, for names beyond Latin-1 letters."""
+def _fold_batch(name: pd.Series) -> pd.Series:
     return name.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
+def fold_ascii_full(name) -> Column:
+    """Full compatibility decomposition, for names beyond Latin-1 letters."""
+    return F.pandas_udf(_fold_batch, "string")(col(name))
+
+
 def sponsor_text_full(name) -> Column:
-    return entity_text(F.replace(fold_ascii_full(col(name)), F.lit("&"), F.lit(" and ")))
+    return entity_text(F.replace(fold_ascii_full(name), F.lit("&"), F.lit(" and ")))
 
 
 def compact_name(name) -> Column:
@@ -111,22 +116,25 @@ def unescape_basic(text) -> Column:
     return out
 
 
-@F.pandas_udf("string")
-def unescape_full(text: pd.Series) -> pd.Series:
-    import html
-
+def _unescape_batch(text: pd.Series) -> pd.Series:
     return text.fillna("").map(html.unescape)
 
 
-def strip_markup(html) -> Column:
+def unescape_full(text) -> Column:
+    """Every named and numeric entity (Arrow batches in Python)."""
+    return F.pandas_udf(_unescape_batch, "string")(col(text))
+
+
+def strip_markup(markup) -> Column:
     """Visible text of an HTML string: drops scripts, styles, comments and tags."""
-    bare = F.regexp_replace(col(html), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+    bare = F.regexp_replace(col(markup), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     return F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
 
 
-def inline_text(html, full: bool = False) -> Column:
+def inline_text(markup, full: bool = False) -> Column:
     """Unescape, then collapse spaces; when markup is left, strip it first."""
-    raw = unescape_full(F.coalesce(col(html), F.lit(""))) if full else unescape_basic(F.coalesce(col(html), F.lit("")))
+    given = F.coalesce(col(markup), F.lit(""))
+    raw = unescape_full(given) if full else unescape_basic(given)
     return F.when(raw.contains("<") | raw.contains(">"), squeeze(strip_markup(raw))).otherwise(squeeze(raw))
 
 
