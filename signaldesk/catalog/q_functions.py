@@ -477,9 +477,9 @@ def _numbers(spark, sf):
         "filing_id", "company_id", "filed_at", M.mean_of("nums").alias("mean"))
 
 
-@query("agg_15_number_mean", _NUMTEXT + " SELECT filing_id, round(mean, 6) AS mean FROM m")
+@query("agg_15_number_mean", _NUMTEXT + " SELECT filing_id, CAST(CAST(mean AS FLOAT) AS DOUBLE) AS mean FROM m")
 def _(spark, sf):
-    return _numbers(spark, sf).select("filing_id", F.round("mean", 6).alias("mean"))
+    return _numbers(spark, sf).select("filing_id", F.col("mean").cast("float").cast("double").alias("mean"))
 
 
 @query("mth_2_quantitative_delta", _NUMTEXT + f"""

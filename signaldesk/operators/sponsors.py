@@ -37,6 +37,12 @@ def sponsor_aliases(companies: DataFrame) -> DataFrame:
                         "core", loose.alias("loose"))
 
 
+def _char_grams(text: str, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    return F.when(F.length(text) >= size, F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def name_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, company_id) pairs that pass the existence test.
 
@@ -52,11 +58,7 @@ def name_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     phrases = aliases.filter(F.col("loose").isNotNull()).select(
         "company_id", "loose", F.substring("loose", 1, ANCHOR_CHARS).alias("_gram"))
     # An anchor is as long as its phrase, up to ANCHOR_CHARS; two-word phrases have at least 3 characters.
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length("_low") >= size,
-               F.transform(F.sequence(F.lit(1), F.length("_low") - (size - 1)),
-                           lambda i, size=size: F.substring(F.col("_low"), i, F.lit(size))))
-        .otherwise(F.array().cast("array<string>")) for size in range(3, ANCHOR_CHARS + 1)])))
+    grams = F.array_distinct(F.flatten(F.array(*[_char_grams("_low", size) for size in range(3, ANCHOR_CHARS + 1)])))
     inside = n.select("name", "_low", F.explode(grams).alias("_gram")).join(phrases, "_gram").filter(
         F.contains("_low", F.col("loose"))).select("name", "company_id")
     return by_text.unionByName(by_compact).unionByName(inside).distinct()

@@ -29,16 +29,21 @@ def alias_dictionary(companies: DataFrame, extra: str | None = None) -> DataFram
     return first.withColumn("short", F.length("alias") < 3)
 
 
-def _ngrams(text: Column) -> Column:
-    """Distinct word n-grams of 1..ANCHOR_WORDS words of a normalised text."""
-    words = F.split(text, " ")
+def _ngrams(words: str) -> Column:
+    """Distinct n-grams of 1..ANCHOR_WORDS words of a word array column.
+
+    ``words`` must be a plain column: an expression would be evaluated again
+    for every element.
+    """
+    grams = [F.col(words)]
+    for n in range(2, ANCHOR_WORDS + 1):
+        whole = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        grams.append(F.transform(whole, _gram_at(words, n)))
+    return F.array_distinct(F.concat(*grams))
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        made = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[grams(n) for n in range(1, ANCHOR_WORDS + 1)]))
+def _gram_at(words: str, n: int):
+    return lambda first, i: F.concat_ws(" ", first, *[F.get(words, i + k) for k in range(1, n)])
 
 
 def phrase_matches(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
@@ -49,7 +54,8 @@ def phrase_matches(texts: DataFrame, key: str, text: str, aliases: DataFrame) ->
     against the text they came from.
     """
     clean = texts.select(F.col(key), T.entity_text(text).alias("_clean"))
-    grams = clean.select(key, F.explode(_ngrams(F.col("_clean"))).alias("_gram")).filter("_gram <> ''")
+    split = clean.select(key, F.split("_clean", " ").alias("_words"))
+    grams = split.select(key, F.explode(_ngrams("_words")).alias("_gram"))
     words = F.split("alias", " ")
     keyed = aliases.select(
         "alias", "company_id", "mention",

@@ -14,12 +14,16 @@ def append_new(incoming: DataFrame, stored: DataFrame, path: str, *keys: str) ->
     return incoming.sparkSession.read.parquet(path)
 
 
-def write_texts(texts: DataFrame, path: str, buckets: int = 64) -> None:
-    """Raw texts in folders of a key hash (bounded in number), each row keyed cik/accession."""
+def write_texts(texts: DataFrame, path: str, folders: int = 64) -> None:
+    """Raw texts in a bounded number of folders, each row keyed cik/accession.
+
+    Adaptive rebalancing sizes the files and splits a folder that is too large
+    for one task, so a prolific issuer does not become one writer.
+    """
     (texts.withColumn("artifact_key", F.concat_ws("/", "cik", "accession_number"))
-     .withColumn("part", F.pmod(F.xxhash64("cik", "accession_number"), F.lit(buckets)))
-     .repartition("part", F.pmod(F.xxhash64("accession_number"), F.lit(8)))
-     .write.partitionBy("part").mode("append").parquet(path))
+     .withColumn("folder", F.pmod(F.xxhash64("cik"), F.lit(folders)))
+     .hint("rebalance", "folder")
+     .write.partitionBy("folder").mode("append").parquet(path))
 
 
 def align(df: DataFrame, target: Y.StructType, defaults: dict | None = None) -> DataFrame:

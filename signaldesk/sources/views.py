@@ -121,6 +121,10 @@ def filing_text(spark, sf) -> DataFrame:
     size = docs.agg(F.max("doc_id") + 1).scalar()
     f = filings(spark, sf).select("filing_id", "company_id", "normalized_form_type", "filed_at", "title").withColumn(
         "doc_id", F.col("filing_id") % size)
+    # The narrow side is spread on the join key with a fixed task count: a large
+    # text side then joins without a second shuffle, and a small one is
+    # broadcast to as many tasks as the session allows.
+    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return f.join(docs, "doc_id").select(
         "filing_id", "company_id", "normalized_form_type", "filed_at",
         F.concat_ws("\n", F.col("title"), F.col("text")).alias("raw_text"))
