@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from signaldesk import constants as K
 from signaldesk.functions import text as T
-from signaldesk.functions.dates import col, parse_month_day_year
+from signaldesk.functions.dates import col, parse_month_day_year, parse_published
 from signaldesk.operators.ranking import top_n
 from signaldesk.sources.payloads import ANCHOR
 
@@ -73,10 +73,9 @@ def _meta(html, attribute: str, value: str) -> Column:
 
 def published_time(html) -> Column:
     """Metadata tags, then ``<time datetime>``, then the first date in the leading text."""
-    from signaldesk.functions.dates import parse_published
-
-    tagged = [parse_published(_meta(html, a, v)) for a, v in TIME_METAS]
-    marked = parse_published(F.nullif(F.regexp_extract(
-        col(html), r'(?is)<time\b[^>]*\bdatetime\s*=\s*["\']([^"\']+)["\']', 1), F.lit("")))
+    marked = F.regexp_extract(col(html), r'(?is)<time\b[^>]*\bdatetime\s*=\s*["\']([^"\']+)["\']', 1)
+    stated = F.array(*[_meta(html, a, v) for a, v in TIME_METAS], marked)
+    # One parser over the candidates, in order; the first that parses wins.
+    parsed = F.filter(F.transform(stated, lambda t: parse_published(t)), lambda t: t.isNotNull())
     lead = F.substring(T.squeeze(T.unescape_basic(T.strip_markup(html))), 1, 1200)
-    return F.coalesce(*tagged, marked, parse_month_day_year(T.date_text(lead)))
+    return F.coalesce(F.get(parsed, F.lit(0)), parse_month_day_year(T.date_text(lead)))
