@@ -58,7 +58,7 @@ USAGE_SQL = f"""
 
 
 def _calls(spark, sf):
-    return U.priced(V.usage_log(spark, sf), U.price_table(spark))
+    return U.priced(V.usage_log(spark, sf))
 
 
 @query("mth_13_token_cost", S.sql(f"SELECT call_id, {_cost()} AS cost_usd FROM usage_log", "usage_log"))
@@ -69,7 +69,7 @@ def _(spark, sf):
 @query("mth_13_token_cost_first", S.sql(f"""
     SELECT call_id, {_cost("CASE WHEN model LIKE 'gpt-5.4-%' THEN 'gpt-5.4' ELSE model END")} AS cost_usd FROM usage_log""", "usage_log"))
 def _(spark, sf):
-    return U.priced(V.usage_log(spark, sf), U.price_table(spark), "first").select("call_id", "cost_usd")
+    return U.priced(V.usage_log(spark, sf), mode="first").select("call_id", "cost_usd")
 
 
 @query("agg_3_daily_usage", S.sql(USAGE_SQL + " SELECT * REPLACE (CAST(usage_date AS VARCHAR) AS usage_date) FROM dy", "usage_log"))

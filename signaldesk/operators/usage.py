@@ -7,35 +7,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signaldesk import constants as K
 from signaldesk.functions.dates import at, local_date
 from signaldesk.functions.scores import rounded
-from signaldesk.operators.ranking import top_n
 
 MEASURES = ("calls", "prompt_tokens", "completion_tokens", "reasoning_tokens", "cached_input_tokens", "micro_usd")
 
 
-def price_table(spark: SparkSession) -> DataFrame:
-    """The fixed price list (four rows)."""
-    return spark.createDataFrame(K.PRICES_PER_MILLION, "family string, p_input double, p_cached double, p_output double")
+def _rate(model: Column, prices, place: int, mode: str) -> Column:
+    """One column of the price list for a model name: a CASE, so pricing needs no join and also runs in a stream.
+
+    A family matches a model of the same name or ``name-...``.  Several can
+    match: the longest wins (``first``: the first in list order).
+    """
+    ordered = sorted(prices, key=lambda p: -len(p[0])) if mode == "longest" else prices
+    out = F.when(F.lit(False), F.lit(0.0))
+    for row in ordered:
+        out = out.when((model == row[0]) | model.startswith(row[0] + "-"), F.lit(row[place]))
+    return out
 
 
-def priced(calls: DataFrame, prices: DataFrame, mode: str = "longest") -> DataFrame:
-    """Add ``cost_usd`` (six places) and ``micro_usd``.
+def priced(calls: DataFrame, prices=K.PRICES_PER_MILLION, mode: str = "longest") -> DataFrame:
+    """Add ``cost_usd`` (six places, 0 for unknown models) and ``micro_usd``.
 
-    A price family matches a model of the same name or ``name-...``; several
-    can match, and the longest wins (``first``: the first in list order).
-    The choice is made per distinct model, so the join is a small equi join.
+    ``prices``: a short list of (family, input, cached input, output) per million tokens.
     """
-    models = calls.select("model").distinct().withColumn("_m", F.trim("model"))
-    parts = F.split("_m", "-")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "-"))
-    order = F.length("family").desc() if mode == "longest" else F.col("_place").asc()
-    listed = prices.withColumn("_place", F.array_position(F.array(*[F.lit(p[0]) for p in K.PRICES_PER_MILLION]), F.col("family")))
-    chosen = top_n(models.select("model", F.explode(prefixes).alias("family")).join(listed, "family"), ["model"], [order], 1)
-    joined = calls.join(chosen.select("model", "p_input", "p_cached", "p_output"), "model", "left")
+    model = F.trim("model")
     fresh = F.greatest(F.col("prompt_tokens") - F.col("cached_input_tokens"), F.lit(0))
-    cost = (fresh * F.col("p_input") / 1e6 + F.col("cached_input_tokens") * F.col("p_cached") / 1e6
-            + F.col("completion_tokens") * F.col("p_output") / 1e6)
-    return joined.withColumn("cost_usd", F.coalesce(rounded(cost, 6), F.lit(0.0))).withColumn(
-        "micro_usd", F.round(F.col("cost_usd") * 1e6).cast("bigint")).drop("p_input", "p_cached", "p_output")
+    cost = (fresh * _rate(model, prices, 1, mode) / 1e6 + F.col("cached_input_tokens") * _rate(model, prices, 2, mode) / 1e6
+            + F.col("completion_tokens") * _rate(model, prices, 3, mode) / 1e6)
+    return calls.withColumn("cost_usd", F.coalesce(rounded(cost, 6), F.lit(0.0))).withColumn(
+        "micro_usd", F.round(F.col("cost_usd") * 1e6).cast("bigint"))
 
 
 def _not_empty() -> Column:

@@ -131,7 +131,11 @@ def filing_text(spark, sf) -> DataFrame:
 
 
 def news(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+    return news_from(table(spark, sf, "events"))
+
+
+def news_from(e: DataFrame) -> DataFrame:
+    """Stories from event rows (a table or a stream)."""
     key, user = F.col("event_id"), F.col("user_id")
     base = e.select(
         key.alias("news_id"),
@@ -238,7 +242,10 @@ def sponsor_companies(spark, sf) -> DataFrame:
 
 
 def calendar(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders")
+    return calendar_from(table(spark, sf, "orders"))
+
+
+def calendar_from(o: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     committee = look_up(F.col("o_orderpriority"), COMMITTEES)
     base = o.select(
@@ -270,7 +277,10 @@ def watchlist_members(spark, sf) -> DataFrame:
 
 
 def usage_log(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+    return usage_from(table(spark, sf, "events"))
+
+
+def usage_from(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     units = F.floor(F.col("value") * 100).cast("bigint")
     return e.select(
