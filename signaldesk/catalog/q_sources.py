@@ -13,19 +13,18 @@ AF = V.AS_OF_FILINGS
 
 
 def _columnar(spark, sf):
-    """One columnar block per order: parallel arrays of its lines."""
-    li = V.table(spark, sf, "lineitem")
-    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_extendedprice"))).alias("x"))
-    pull = lambda f: F.transform("x", lambda r: r[f]).alias(f)
-    return lines.select("l_orderkey", *[pull(f) for f in ("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")])
+    """One columnar block per order row: parallel arrays of two entries, and none for half of the priorities."""
+    o = V.table(spark, sf, "orders")
+    empty = F.col("o_orderpriority") == "5-LOW"
+    pair = lambda a, b: F.when(empty, F.slice(F.array(a, b), 1, 0)).otherwise(F.array(a, b))
+    return o.select("o_orderkey", pair("o_orderkey", "o_custkey").alias("number"), pair("o_orderstatus", "o_orderpriority").alias("label"))
 
 
 @query("src_1_columnar_rows", """
-    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem""")
+    SELECT o_orderkey, o_orderkey AS number, o_orderstatus AS label FROM orders WHERE o_orderpriority <> '5-LOW'
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'""")
 def _(spark, sf):
-    return J.rows_from_columns(_columnar(spark, sf), "l_orderkey",
-                               ["l_linenumber", "l_partkey", "l_quantity", "l_returnflag"])
+    return J.rows_from_columns(_columnar(spark, sf), "o_orderkey", ["number", "label"])
 
 
 @query("src_2_header_matrix", """

@@ -113,23 +113,43 @@ def company_studies(studies: DataFrame, sponsors: DataFrame, aliases: DataFrame)
             .join(studies.select("nct_id"), "nct_id", "left_semi"))
 
 
+def name_scores(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Best alias of each (name, company) with a positive score.
+
+    Scores depend on names only, so they are made once per distinct name.
+    Every way to score is reached by an equi join: equal text, compact or core
+    form; an alias that is a leading part of the name; or an alias whose
+    longest word is one of the name's words (the rest is then checked).
+    """
+    n = names.select("name").distinct().withColumns({
+        "n_raw": F.lower(F.trim("name")), "n_norm": T.sponsor_text("name"), "n_compact": T.compact_name("name"),
+        "n_core": T.core_compact_name("name")}).withColumn("_words", F.split("n_norm", " "))
+    a = aliases.select("company_id", "alias_pos", "original", "raw_lower", "norm", "compact", "core")
+    words = F.split("norm", " ")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    heads = F.transform("_words", lambda w, i: F.array_join(F.slice("_words", 1, i + 1), " "))
+    keyed = [
+        (n.withColumn("_k", F.col("n_raw")), a.withColumn("_k", F.col("raw_lower"))),
+        (n.withColumn("_k", F.col("n_compact")), a.withColumn("_k", F.col("compact"))),
+        (n.withColumn("_k", F.col("n_core")), a.withColumn("_k", F.col("core"))),
+        (n.withColumn("_k", F.explode(heads)), a.withColumn("_k", F.col("norm"))),
+        (n.withColumn("_k", F.explode(F.array_distinct("_words"))), a.filter(F.contains("norm", F.lit(" "))).withColumn("_k", longest)),
+    ]
+    score = match_score(F.col("n_norm"), F.col("n_raw"), F.col("n_compact"), F.col("n_core"))
+    found = None
+    for left, right in keyed:
+        part = left.join(right, "_k").select("name", "company_id", "alias_pos", "original", score.alias("score"))
+        found = part if found is None else found.unionByName(part)
+    return top_n(found.filter("score > 0"), ["name", "company_id"], [F.col("score").desc(), F.col("alias_pos").asc()], 1)
+
+
 def best_matches(studies: DataFrame, sponsors: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The winning (sponsor, alias) of each (company, study); score 0 drops out.
+    """The winning (sponsor, alias) of each (company, study); pairs without a score drop out.
 
-    Scores depend on names only, so they are computed once per distinct pair of
-    name and company, then joined to the studies.  Ties go to the first sponsor
-    in name order, then to the first alias.
+    Ties go to the first sponsor in name order, then to the first alias.
     """
-    names = sponsors.select("nct_id", "name").distinct()
     wanted = company_studies(studies, sponsors, aliases)
-    pairs = wanted.join(names, "nct_id")
-    distinct_pairs = pairs.select("company_id", "name").distinct().withColumns({
-        "n_raw": F.lower(F.trim("name")), "n_norm": T.sponsor_text("name"), "n_compact": T.compact_name("name"),
-        "n_core": T.core_compact_name("name")})
-    scored = distinct_pairs.join(aliases, "company_id").withColumn(
-        "score", match_score(F.col("n_norm"), F.col("n_raw"), F.col("n_compact"), F.col("n_core"))).filter("score > 0")
-    best_name = top_n(scored, ["company_id", "name"], [F.col("score").desc(), F.col("alias_pos").asc()], 1).select(
-        "company_id", "name", "score", F.col("original").alias("matched_alias"))
-    joined = pairs.join(best_name, ["company_id", "name"])
-    return top_n(joined, ["company_id", "nct_id"], [F.col("score").desc(), F.col("name").asc()], 1).select(
-        "company_id", "nct_id", F.col("name").alias("matched_sponsor"), "matched_alias", "score")
+    named = sponsors.select("nct_id", "name").distinct().join(name_scores(sponsors, aliases), "name")
+    scored = named.join(wanted, ["company_id", "nct_id"], "left_semi")
+    return top_n(scored, ["company_id", "nct_id"], [F.col("score").desc(), F.col("name").asc()], 1).select(
+        "company_id", "nct_id", F.col("name").alias("matched_sponsor"), F.col("original").alias("matched_alias"), "score")

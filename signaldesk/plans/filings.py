@@ -123,13 +123,13 @@ def rerank(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, co
     pct = RK.market_percentiles(companies)
     rows = linked.join(scope.select("company_id", F.col("market_cap").isNotNull().alias("has_cap")), "company_id").join(
         pct, "company_id", "left").withColumn("market", F.coalesce("pct", F.lit(0.0))).drop("pct")
-    features = texts.select("filing_id", M.material_score("raw_text").alias("material"),
-                            M.mean_of("nums").alias("mean"), F.length("raw_text").alias("chars")) \
-        if "nums" in texts.columns else texts.withColumn("nums", M.number_list("raw_text")).select(
-            "filing_id", M.material_score("raw_text").alias("material"), M.mean_of("nums").alias("mean"))
+    features = texts.withColumn("nums", M.number_list("raw_text")).select(
+        "filing_id", M.material_score("raw_text").alias("material"), M.mean_of("nums").alias("mean"))
     prior_means = features.select(F.col("filing_id").alias("prior_id"), F.col("mean").alias("prior_mean"))
     complete = rows.filter(F.col("status") == "complete").select("filing_id", "prior_id")
-    body = texts.select("filing_id", "raw_text")
+    # The exact score compares leading characters only, so only those are shuffled.
+    compared = C.head("raw_text", M.NOVELTY_CHARS) if novelty_mode == "exact" else F.col("raw_text")
+    body = texts.select("filing_id", compared.alias("raw_text"))
     pairs = complete.join(body, "filing_id", "left").join(
         body.select(F.col("filing_id").alias("prior_id"), F.col("raw_text").alias("prior_text")), "prior_id", "left")
     novelty = pairs.select("filing_id", M.novelty("raw_text", "prior_text", novelty_mode).alias("novelty"))

@@ -18,9 +18,11 @@ from signaldesk.functions.dates import local_date
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Files under ``path`` (or one file) as a stream with the schema of the existing data."""
+    """Files under ``path`` (a folder or one file) as a stream with the schema of the existing data."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    # A file source wants a folder or a pattern; this pattern matches just ``path``.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
