@@ -140,19 +140,22 @@ def inline_text(markup, full: bool = False) -> Column:
 
 # ---- extracted text cleaning --------------------------------------------------------
 def is_noise_line(line: Column) -> Column:
-    """Lines that carry no prose: bare links, page numbers, tagging metadata."""
+    """Lines that carry no prose: bare links, page numbers, tagging metadata.
+
+    The costly tests run only on lines that hold the character they need.
+    """
     lowered = F.lower(line)
     tokens = F.filter(F.split(line, r"\s+"), lambda t: F.length(t) > 0)
     names = F.size(F.filter(tokens, lambda t: t.rlike(r"(?i)^[a-z][\w.-]*:[\w.-]+$")))
     marks = F.size(F.filter(tokens, lambda t: t.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{8,10})$")))
-    return (
+    with_colon = (
         line.rlike(r"(?i)^(https?://\S+\s*)+$")
-        | line.rlike(r"^\d{1,4}$")
-        | lowered.isin(*METADATA_TOKENS)
+        | lowered.rlike(r"^(https?://fasb\.org/|https?://xbrl\.)")
         | ((names >= 1) & (F.size(tokens) == 1))
         | ((names >= 2) & ((names + marks) >= F.size(tokens) * 0.6))
-        | lowered.rlike(r"^(https?://fasb\.org/|https?://xbrl\.)")
     )
+    short = (F.length(line) <= 5) & (line.rlike(r"^\d{1,4}$") | lowered.isin(*METADATA_TOKENS))
+    return short | F.when(line.contains(":"), with_colon).otherwise(False)
 
 
 def plain_characters(text) -> Column:
@@ -162,11 +165,10 @@ def plain_characters(text) -> Column:
 
 
 def text_lines(text) -> Column:
-    lines = F.transform(
-        F.split(plain_characters(text), "\n"),
-        lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")), r"[ \t]+", " "),
-    )
-    return F.filter(lines, lambda x: F.length(x) > 0)
+    """Non-empty lines with single spaces inside and none at the ends (two passes over the whole text)."""
+    edges = F.regexp_replace(plain_characters(text), r"\s*\n\s*", "\n")
+    flat = F.regexp_replace(F.regexp_replace(edges, r"^\s+|\s+$", ""), r"[ \t]+", " ")
+    return F.filter(F.split(flat, "\n"), lambda x: F.length(x) > 0)
 
 
 def drop_repeats(lines: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signaldesk import constants as K
 from signaldesk.functions import text as T
 from signaldesk.functions.dates import col
 from signaldesk.operators.ranking import top_n
+from signaldesk.runtime import probe
 
 ANCHOR_WORDS = 3
 
@@ -29,45 +30,49 @@ def alias_dictionary(companies: DataFrame, extra: str | None = None) -> DataFram
     return first.withColumn("short", F.length("alias") < 3)
 
 
-def _ngrams(words: str) -> Column:
-    """Distinct n-grams of 1..ANCHOR_WORDS words of a word array column.
+def _grams(words: str) -> Column:
+    """(pos, gram) for every run of 1..ANCHOR_WORDS words of a word array column.
 
     ``words`` must be a plain column: an expression would be evaluated again
     for every element.
     """
-    grams = [F.col(words)]
-    for n in range(2, ANCHOR_WORDS + 1):
-        whole = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        grams.append(F.transform(whole, _gram_at(words, n)))
-    return F.array_distinct(F.concat(*grams))
+    parts = []
+    for n in range(1, ANCHOR_WORDS + 1):
+        starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        parts.append(F.transform(starts, _gram_at(words, n)))
+    return F.concat(*parts)
 
 
 def _gram_at(words: str, n: int):
-    return lambda first, i: F.concat_ws(" ", first, *[F.get(words, i + k) for k in range(1, n)])
+    return lambda first, i: F.struct(
+        i.alias("pos"), F.concat_ws(" ", first, *[F.get(words, i + k) for k in range(1, n)]).alias("gram"))
+
+
+def _alias_pieces(aliases: DataFrame) -> DataFrame:
+    """Each alias as one gram, or, when longer, as the grams that cover it, with their word offsets."""
+    words = aliases.select("alias", "company_id", "mention", F.split("alias", " ").alias("_w"))
+    last = F.size("_w") - ANCHOR_WORDS
+    offsets = F.when(last <= 0, F.array(F.lit(0))).otherwise(
+        F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(ANCHOR_WORDS)), F.array(last))))
+    return words.select("alias", "company_id", "mention", "_w", F.size(offsets).alias("_pieces"),
+                        F.explode(offsets).alias("_offset")).withColumn(
+        "_gram", F.array_join(F.slice("_w", F.col("_offset") + 1, ANCHOR_WORDS), " ")).drop("_w")
 
 
 def phrase_matches(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """(key, alias, company_id, mention) for every alias found as whole words.
+    """(key, alias, company_id, mention) once per place where an alias stands as whole words.
 
-    The text's n-grams meet the aliases in one equi join.  A longer alias is
-    anchored on its first words, and its few candidates are then checked
-    against the text they came from.
+    One pass over the text: its grams meet the aliases' grams in an equi join,
+    and an alias matches where all its pieces line up.  The dictionary is
+    broadcast only when it is counted to be small; the text side never is.
     """
-    clean = texts.select(F.col(key), T.entity_text(text).alias("_clean"))
-    split = clean.select(key, F.split("_clean", " ").alias("_words"))
-    grams = split.select(key, F.explode(_ngrams("_words")).alias("_gram"))
-    words = F.split("alias", " ")
-    keyed = aliases.select(
-        "alias", "company_id", "mention",
-        F.array_join(F.slice(words, 1, ANCHOR_WORDS), " ").alias("_gram"),
-        (F.size(words) > ANCHOR_WORDS).alias("_long"))
-    found = grams.join(keyed, "_gram").drop("_gram")
-    exact = found.filter(~F.col("_long")).drop("_long")
-    to_check = found.filter("_long").drop("_long")
-    checked = to_check.join(clean, key).filter(
-        F.contains(F.concat(F.lit(" "), F.col("_clean"), F.lit(" ")), F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
-    ).drop("_clean")
-    return exact.unionByName(checked)
+    words = texts.select(F.col(key), F.split(T.entity_text(text), " ").alias("_words"))
+    grams = words.select(key, F.explode(_grams("_words")).alias("_g")).select(
+        key, F.col("_g.pos").alias("_pos"), F.col("_g.gram").alias("_gram"))
+    found = probe(grams, _alias_pieces(aliases), "_gram")
+    lined_up = found.groupBy(key, "alias", "company_id", "mention", (F.col("_pos") - F.col("_offset")).alias("_start")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_pieces").alias("_pieces"))
+    return lined_up.filter(F.col("_n") == F.col("_pieces")).select(key, "alias", "company_id", "mention")
 
 
 def tag_entities(texts: DataFrame, key: str, text: str, aliases: DataFrame,
@@ -79,15 +84,15 @@ def tag_entities(texts: DataFrame, key: str, text: str, aliases: DataFrame,
     """
     order = F.struct((-F.length("alias")).alias("l"), F.col("alias").alias("a"), F.col("company_id").alias("c"))
     hits = phrase_matches(texts, key, text, aliases).withColumn("_at", order)
-    firsts = hits.groupBy(key, "company_id").agg(F.min("_at").alias("_at"))
-    kept = top_n(firsts, [key], [F.col("_at").asc()], limit)
-    ids = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "company_id"))).alias("_c"))
-    kept_hits = hits.join(kept.select(key, "company_id"), [key, "company_id"])
-    names = kept_hits.groupBy(key, "mention").agg(F.min("_at").alias("_at")).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_at", "mention"))).alias("_m"))
-    return ids.join(names, key).select(
+    # A company's matched spellings are few: at most its aliases.
+    per_company = hits.groupBy(key, "company_id").agg(
+        F.min("_at").alias("_at"), F.collect_set(F.struct("_at", "mention")).alias("_said"))
+    kept = top_n(per_company, [key], [F.col("_at").asc()], limit)
+    both = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "company_id"))).alias("_c"),
+                                 F.sort_array(F.flatten(F.collect_list("_said"))).alias("_m"))
+    return both.select(
         key, F.transform("_c", lambda x: x["company_id"]).alias("company_tag_ids"),
-        F.transform("_m", lambda x: x["mention"]).alias("mentioned"))
+        F.array_distinct(F.transform("_m", lambda x: x["mention"])).alias("mentioned"))
 
 
 def with_tags(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:

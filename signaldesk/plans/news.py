@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signaldesk.functions import classify as C, dates as D, scores as M, text as T
 from signaldesk.operators import filters as O, ranking as RK, sync, tagging as G
+from signaldesk.runtime import staged
 
 
 def score(news: DataFrame, companies: DataFrame, as_of) -> DataFrame:
@@ -44,7 +45,7 @@ def ingest(entries: DataFrame, stored: DataFrame, companies: DataFrame, as_of, a
         "excerpt": F.nullif(T.inline_text("summary"), F.lit("")),
     }).filter(~C.is_promotional("title"))
     rows = rows.withColumn("article_hash", T.content_hash("canonical_url", "title"))
-    fresh = sync.new_by_either(rows, stored, ("canonical_url", "article_hash"), "entry_id")
+    fresh = staged(sync.new_by_either(rows, stored, ("canonical_url", "article_hash"), "entry_id"), "news-fresh")
     fresh = fresh.withColumns({
         "news_id": F.col("entry_id"),
         "body": F.coalesce(F.nullif(F.col("article_text"), F.lit("")), "excerpt", "title"),
@@ -62,7 +63,7 @@ def ingest(entries: DataFrame, stored: DataFrame, companies: DataFrame, as_of, a
         "is_official": F.when(F.col("source_type").isNotNull(), F.col("is_official")).otherwise(
             C.news_source_type("source_name", "canonical_url") == "regulator"),
     }).withColumn("source_type", F.coalesce("source_type", C.news_source_type("source_name", "canonical_url")))
-    return score(classify(fresh), companies, as_of)
+    return score(staged(classify(fresh), "news-tagged"), companies, as_of)
 
 
 def retag(news: DataFrame, companies: DataFrame, as_of, recent_days: int | None = None, focus=None,
@@ -89,7 +90,7 @@ def retag(news: DataFrame, companies: DataFrame, as_of, recent_days: int | None
     new = new.withColumns({
         "is_official": F.when(official_pr, F.col("is_official")).otherwise(regulator),
         "source_type": F.when(official_pr, F.col("source_type")).otherwise(C.news_source_type("source_name", "canonical_url"))})
-    return score(classify(new), companies, as_of)
+    return score(staged(classify(new), "news-retagged"), companies, as_of)
 
 
 def list_news(news: DataFrame, as_of, sort: str = "importance", limit: int = 50, offset: int = 0, source: str | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +32,34 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Count, but never past ``rows`` + 1."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def probe(big: DataFrame, table: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a large side to a look-up table.
+
+    The table is broadcast only when counted to be small; else both sides are
+    sorted and merged, where adaptive execution splits skewed keys.  Either
+    way the large side is never the one broadcast.
+    """
+    if is_small(table, rows):
+        return big.join(F.broadcast(table), on, how)
+    return big.hint("merge").join(table, on, how)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several later branches read, and read it back.
+
+    The written table cuts the lineage: branches scan its columns instead of
+    repeating the work, and a lost executor costs one scan.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
