@@ -131,7 +131,8 @@ _NEWS_SCORED = f"""
       {S.news_group('tags', 'ev', 'title', 'published_at')} AS dedupe_group_id FROM s2""", "news0", "companies", "percentile"))
 def _(spark, sf):
     e = _entries(spark, sf)
-    stored = e.filter("source_name = 'view'").select(T.canonical_url("link").alias("canonical_url"), F.lit("none").alias("article_hash"))
+    stored = e.filter("source_name = 'view'").select(
+        T.canonical_url("link").alias("canonical_url"), T.content_hash("link", "title").alias("article_hash"))
     n = PN.ingest(e, stored, V.companies(spark, sf), AN)
     return n.select("news_id", F.array_join(F.transform("company_tag_ids", lambda i: i.cast("string")), ",").alias("tags"),
                     F.array_join("topic_tags", ",").alias("topics"), "event_type", "composite_score", "dedupe_group_id")

@@ -132,10 +132,12 @@ def strip_markup(markup) -> Column:
 
 
 def inline_text(markup, full: bool = False) -> Column:
-    """Unescape, then collapse spaces; when markup is left, strip it first."""
+    """Unescape, strip markup if any is left, and collapse spaces.
+
+    Text without tags passes the stripping unchanged, so one chain serves both.
+    """
     given = F.coalesce(col(markup), F.lit(""))
-    raw = unescape_full(given) if full else unescape_basic(given)
-    return F.when(raw.contains("<") | raw.contains(">"), squeeze(strip_markup(raw))).otherwise(squeeze(raw))
+    return squeeze(strip_markup(unescape_full(given) if full else unescape_basic(given)))
 
 
 # ---- extracted text cleaning --------------------------------------------------------
