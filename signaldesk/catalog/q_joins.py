@@ -55,17 +55,17 @@ def _(spark, sf):
 
 
 @query("jn_5_either_key", S.sql("""
-    , x AS (SELECT news_id, 'https://s.example/' || (news_id % 997) AS url, sha256(title || (news_id % 211)) AS hash, source_name FROM news0),
-      kept AS (SELECT * FROM x WHERE url NOT IN (SELECT url FROM x WHERE source_name = 'view' AND news_id % 50 = 2)
-        AND hash NOT IN (SELECT hash FROM x WHERE source_name = 'view' AND news_id % 50 = 2)),
+    , x AS (SELECT news_id, 'https://s.example/' || (news_id % 997) AS url, sha256(title || (news_id % 211)) AS hash, source_name, composite_score AS score FROM news0),
+      kept AS (SELECT * FROM x WHERE url NOT IN (SELECT url FROM x WHERE source_name = 'view' AND score > 100)
+        AND hash NOT IN (SELECT hash FROM x WHERE source_name = 'view' AND score > 100)),
       u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY news_id) AS a FROM kept),
       h AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY news_id) AS b FROM u WHERE a = 1)
     SELECT news_id FROM h WHERE b = 1""", "news0"))
 def _(spark, sf):
     n = V.news(spark, sf).select(
-        "news_id", "source_name", F.concat(F.lit("https://s.example/"), (F.col("news_id") % 997).cast("string")).alias("url"),
+        "news_id", "source_name", "composite_score", F.concat(F.lit("https://s.example/"), (F.col("news_id") % 997).cast("string")).alias("url"),
         F.sha2(F.concat("title", (F.col("news_id") % 211).cast("string")), 256).alias("hash"))
-    stored = n.filter("source_name = 'view' and news_id % 50 = 2")
+    stored = n.filter("source_name = 'view' and composite_score > 100")
     return sync.new_by_either(n, stored, ("url", "hash"), "news_id").select("news_id")
 
 
@@ -177,12 +177,6 @@ def _(spark, sf):
     return d.select("filing_id", "name", "prior_id", F.array_join("related", "|").alias("related"))
 
 
-_STORED_CAL = """
-    , old AS (SELECT event_id, title, summary_text, composite_score + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS composite_score
-        FROM calendar WHERE title <> 'Public workshop on labeling')
-    """
-
-
 def _calendar_versions(spark, sf):
     new = V.calendar(spark, sf).select("event_id", "title", "summary_text", "composite_score", "starts_at")
     old = new.filter("title <> 'Public workshop on labeling'").withColumns({
@@ -206,7 +200,7 @@ def _(spark, sf):
 
 
 _TRIAL_SYNC = """
-    , ok AS (SELECT DISTINCT company_id FROM trials WHERE company_id % 10 <> 3),
+    , ok AS (SELECT c_custkey AS company_id FROM customer WHERE c_nationkey <> 3),
       inc AS (SELECT company_id, nct_id, title, status FROM trials WHERE status <> 'Withdrawn'),
       old AS (SELECT company_id, nct_id, title, CASE WHEN trial_id % 6 = 0 THEN 'Suspended' ELSE status END AS status FROM trials WHERE phase IS NOT NULL),
       n AS (SELECT * FROM inc WHERE company_id IN (SELECT company_id FROM ok)),
@@ -224,7 +218,7 @@ def _trial_sync(spark, sf):
     old = t.filter("phase is not null").select(
         "company_id", "nct_id", "title", F.when(F.col("trial_id") % 6 == 0, "Suspended").otherwise(F.col("status")).alias("status"),
         meta.alias("meta"))
-    ok = t.filter("company_id % 10 <> 3").select("company_id").distinct()
+    ok = V.table(spark, sf, "customer").filter("c_nationkey <> 3").select(F.col("c_custkey").alias("company_id"))
     return sync.snapshot_actions(inc, old, "company_id", "nct_id", ["title", "status"], ok, "meta")
 
 
