@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Zone-less parquet times are read as UTC instants, so time filters need no cast and reach the scan.
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
 }
 
 
