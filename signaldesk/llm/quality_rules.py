@@ -154,10 +154,10 @@ _R = LineRules()
 QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 grams AS (SELECT i, p, count(*) OVER (PARTITION BY i, ws[p], ws[p + 1], ws[p + 2]) AS n FROM (SELECT i, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
 reps AS (SELECT i, count(DISTINCT p + k) AS n FROM grams, (SELECT unnest([0, 1, 2]) AS k) WHERE grams.n > 1 GROUP BY i),
-g AS (SELECT *, list_filter(lines, l -> list_transform([trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))], x ->
+g AS (SELECT *, list_filter(lines, lambda l: list_transform([trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))], lambda x:
         (right(x, 1) IN ({_LIST}) OR len(string_split(x, ' ')) > {_R.bare_words})
         AND len(regexp_extract_all(x, '[#*$%&|<>]')) <= length(x) * {_R.symbol_share}
         AND len(regexp_extract_all(x, '[!?]')) <= len(string_split(x, ' ')) * {_R.mark_share} + 1
