@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signaldesk.llm import bpe, licenses, quality_rules, shards, simhash, toxicity, url_filters
+from signaldesk.llm import bpe, chat_tools, decontam, licenses, quality_model, quality_rules, shards, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shard_report,
     "op2_quality_rules": quality_rules.quality_report,
     "op3_toxicity": toxicity.toxicity_report,
     "op4_bpe": bpe.bpe_report,
+    "op5_quality_classifier": quality_model.quality_scores,
     "op6_url_filters": url_filters.url_report,
     "op7_simhash": simhash.simhash_report,
+    "op8_chat_formatting": chat_tools.tool_report,
+    "op9_decontamination": decontam.leak_report,
     "op10_license_scans": licenses.license_report,
 }
 ORACLE_SQL: dict[str, str] = {
