@@ -2,7 +2,7 @@
 
 Each labeller votes good (1), bad (-1) or abstains (0) on a whole text.  Votes of all documents are counted by pattern (at
 most 3 ** 11 patterns, whatever the input), and EM on the pattern counts estimates how often each labeller votes what on
-good and on bad documents.  Posteriors of a bounded sample of documents (``SAMPLE`` by hash order) train a linear scorer
+good and on bad documents; an abstention says nothing.  Posteriors of a bounded sample of documents (``SAMPLE`` by hash order) train a linear scorer
 on hashed words and shape features, which then scores every whole text.
 
 Defined results: a null text counts as empty; repeated rows score alike; if no labeller ever votes, every posterior is
@@ -25,8 +25,8 @@ SAMPLE = 4_000
 BUCKETS = 1 << 15
 PRIOR = 0.8      # share of good documents that EM starts from
 ROUNDS = 60
-GOOD_VOTES, BAD_VOTES = np.array([0.05, 0.35, 0.60]), np.array([0.45, 0.35, 0.20])   # bad, abstain, good
-BELIEF = 0.1     # of the documents
+GOOD_VOTES, BAD_VOTES = np.array([0.03, 0.97]), np.array([0.35, 0.65])   # shares of bad and good votes
+BELIEF = 0.03    # of the documents
 
 
 def labellers(text: Column) -> dict[str, Column]:
@@ -49,7 +49,7 @@ def labellers(text: Column) -> dict[str, Column]:
         return F.when(n_words < 15, 0).when(bad, -1).when(good, 1).otherwise(0)
 
     return {
-        "length": F.when(n_words >= 50, 1).when(n_words < 15, -1).otherwise(0),
+        "length": vote(n_words >= 50, n_words < 20),
         "symbols": vote(symbols < n * 0.002, symbols > n * 0.03),
         "shouting": vote(capitals < n * 0.06, capitals > n * 0.3),
         "marks": vote(marks < n_words * 0.05, marks > n_words * 0.3),
@@ -66,19 +66,20 @@ def labellers(text: Column) -> dict[str, Column]:
 def fit_votes(counts: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, float]:
     """Log odds of each (labeller, vote) and the share of good documents, by EM over pattern counts."""
     votes, n = counts[names].to_numpy(int) + 1, counts["n"].to_numpy(float)
-    hit = np.stack([votes == v for v in range(3)], axis=2).astype(float)          # pattern, labeller, vote
+    hit = np.stack([votes == 0, votes == 2], axis=2).astype(float)               # pattern, labeller, (bad, good)
     # Labellers are taken to be better than chance: so many documents of either class back that in every round.
     believed = BELIEF * n.sum() * np.stack([GOOD_VOTES, BAD_VOTES])
     good, bad = (np.tile(v, (len(names), 1)) for v in (GOOD_VOTES, BAD_VOTES))
-    share = PRIOR
+    share, voted = PRIOR, hit.any(axis=(1, 2))
     for _ in range(ROUNDS):
         odds = math.log(share / (1 - share)) + (hit * (np.log(good) - np.log(bad))).sum(axis=(1, 2))
-        post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        weights = post * n, (1 - post) * n
+        post = np.where(voted, 1 / (1 + np.exp(-np.clip(odds, -50, 50))), 0)
+        weights = post * n, (voted - post) * n
         good, bad = ((hit * w[:, None, None]).sum(axis=0) + b + 0.5 for w, b in zip(weights, believed))
         good, bad = good / good.sum(axis=1, keepdims=True), bad / bad.sum(axis=1, keepdims=True)
-        share = min(0.99, max(0.01, (weights[0].sum() + 1) / (n.sum() + 2)))
-    return np.log(good) - np.log(bad), share
+        share = min(0.99, max(0.01, (weights[0].sum() + 1) / (n[voted].sum() + 2)))
+    log = np.log(good) - np.log(bad)
+    return np.stack([log[:, 0], np.zeros(len(names)), log[:, 1]], axis=1), share
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
