@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         encoder = Encoder(load(path))
         for pdf in parts:
             ids = encoder.encode([t or "" for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(b, "<u4").astype(np.int32) for b in ids]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series([np.frombuffer(b, "<u4").astype(np.int32) for b in ids], dtype=object, index=pdf.index)})
 
     return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id {kind}, ids array<int>")
 

@@ -180,7 +180,7 @@ def latent_basis(texts: DataFrame, items: Items, s: Settings) -> np.ndarray:
                 for a in items.windows(numbers, s):
                     part = numbers[a:a + s.window]
                     rows.append(part[part < size].astype(np.int32))
-            yield pd.DataFrame({"terms": rows})
+            yield pd.DataFrame({"terms": pd.Series(rows, dtype=object)})
 
     passages = staged(texts.mapInPandas(cut, "terms array<int>"), "passages")
     idf = items.idf[:-1, None]
