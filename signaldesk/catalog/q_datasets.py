@@ -61,8 +61,8 @@ def _raw_filings(spark, sf):
     return raw, f.filter("status = 'complete'")
 
 
-_GATE_WORDS = "lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), substr(t.raw_text, 1, 8000)))"
-_8K_WORDS = "lower(concat_ws(' ', nullif(f.title, ''), substr(t.raw_text, 1, 6000)))"
+_GATE_WORDS = "lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), t.raw_text))"
+_8K_WORDS = "lower(concat_ws(' ', nullif(f.title, ''), t.raw_text))"
 
 
 @query("ds_2_filing_ingest", S.sql(f"""
@@ -163,7 +163,7 @@ def _rerank_sql(pct):
       {S.filing_reason('event_type', 'normalized_form_type', S.cents('cap'), 'imp', 'rec')} AS priority_reason FROM rr""",
                                    "filings", "filing_text", "companies", "percentile"))
 def _(spark, sf):
-    r = PF.rerank(V.filings(spark, sf), V.filing_text(spark, sf), V.companies(spark, sf), AF, novelty_mode="words")
+    r = PF.rerank(V.filings(spark, sf), V.filing_text(spark, sf), V.companies(spark, sf), AF)
     return r.select("filing_id", "prior_id", "impact_score", "composite_score", "confidence", "priority_reason")
 
 
@@ -214,7 +214,7 @@ _NEWCAPS = """
                                       "filings", "filing_text", "companies", "news1", "news0", "percentile"))
 def _(spark, sf):
     c = REG.refreshed_companies(V.companies(spark, sf), _quotes(spark, sf))
-    f = PF.rerank(V.filings(spark, sf), V.filing_text(spark, sf), c, AF, novelty_mode="words")
+    f = PF.rerank(V.filings(spark, sf), V.filing_text(spark, sf), c, AF)
     n = PN.retag(_stored_news(spark, sf), c, AN)
     return f.select(F.lit("filing").alias("kind"), F.col("filing_id").alias("id"), "composite_score").unionByName(
         n.select(F.lit("news").alias("kind"), F.col("news_id").alias("id"), "composite_score"))
@@ -472,7 +472,7 @@ _STAGED = f"""
       f2 AS (SELECT f1.*, coalesce(p.pct, 0.0) AS cap, {S.recency('filed_at', S.AF)} AS rec, f1.company_id IN (SELECT company_id FROM w) AS watched FROM f1 LEFT JOIN percentile p ON p.company_id = f1.company_id),
       f3 AS (SELECT *, {S.cents(f"0.30 * {S.form_base('normalized_form_type', 50.0)} + 0.30 * {S.material("concat_ws(' ', title, event_type, nullif(array_to_string(item_numbers, ' '), ''))")} + 0.20 * cap + 0.20 * rec + CASE WHEN watched THEN 20.0 ELSE 0.0 END")} AS cheap FROM f2),
       f4 AS (SELECT *, row_number() OVER (ORDER BY cheap DESC, filed_at DESC, filing_id DESC) AS place FROM f3 QUALIFY place <= 50),
-      f5 AS (SELECT f4.*, {S.cents(f"0.30 * {S.form_base('f4.normalized_form_type', 50.0)} + 0.30 * {S.material('substr(t.raw_text, 1, 10000)')} + 0.20 * cap + 0.20 * rec")} + CASE WHEN watched THEN 20.0 ELSE 0.0 END AS priority
+      f5 AS (SELECT f4.*, {S.cents(f"0.30 * {S.form_base('f4.normalized_form_type', 50.0)} + 0.30 * {S.material('t.raw_text')} + 0.20 * cap + 0.20 * rec")} + CASE WHEN watched THEN 20.0 ELSE 0.0 END AS priority
         FROM f4 JOIN filing_text t ON t.filing_id = f4.filing_id),
       qf AS (SELECT 'filing' AS queue, filing_id AS item_id, priority, row_number() OVER (ORDER BY priority DESC, place) AS rk, watched OR normalized_form_type = '8-K' OR
           coalesce(event_type IN {S.listed(K.FILING_OVERRIDE_EVENTS)}, false) AS eligible, normalized_form_type IN {S.listed(K.FILING_FULL_TIER_FORMS)} OR watched OR

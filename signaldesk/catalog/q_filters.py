@@ -33,7 +33,7 @@ def _(spark, sf):
 
 
 @query("flt_3_periodic_6k", S.sql(f"""
-    SELECT t.filing_id, {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), substr(t.raw_text, 1, 8000)))", K.PERIODIC_6K_WORDS)}
+    SELECT t.filing_id, {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), t.raw_text))", K.PERIODIC_6K_WORDS)}
         AS periodic FROM filing_text t JOIN filings f ON t.filing_id = f.filing_id""", "filing_text"))
 def _(spark, sf):
     f = V.filings(spark, sf).select("filing_id", "title", "items")
@@ -43,7 +43,7 @@ def _(spark, sf):
 
 @query("flt_4_material_8k", S.sql(f"""
     SELECT t.filing_id, list_has_any(f.item_numbers, [{", ".join(S.q(i) for i in K.MATERIAL_ITEMS)}]) OR
-        {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), substr(t.raw_text, 1, 6000)))", K.MATERIAL_8K_WORDS)} AS material
+        {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), t.raw_text))", K.MATERIAL_8K_WORDS)} AS material
     FROM filing_text t JOIN filings f ON t.filing_id = f.filing_id""", "filing_text"))
 def _(spark, sf):
     f = V.filings(spark, sf).select("filing_id", "title", "item_numbers")
@@ -55,9 +55,9 @@ def _(spark, sf):
     SELECT f.filing_id, f.normalized_form_type FROM filing_text t JOIN filings f ON t.filing_id = f.filing_id
     WHERE upper(f.form_type) IN {S.listed(K.TARGET_FORMS)} AND nullif(f.accession_number, '') IS NOT NULL AND
       CASE f.normalized_form_type
-        WHEN '6-K' THEN {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), substr(t.raw_text, 1, 8000)))", K.PERIODIC_6K_WORDS)}
+        WHEN '6-K' THEN {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), t.raw_text))", K.PERIODIC_6K_WORDS)}
         WHEN '8-K' THEN list_has_any(f.item_numbers, [{", ".join(S.q(i) for i in K.MATERIAL_ITEMS)}]) OR
-          {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), substr(t.raw_text, 1, 6000)))", K.MATERIAL_8K_WORDS)}
+          {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), t.raw_text))", K.MATERIAL_8K_WORDS)}
         ELSE true END""", "filing_text"))
 def _(spark, sf):
     f = V.filings(spark, sf).select("filing_id", "form_type", "accession_number", "title", "items",

@@ -75,11 +75,6 @@ def _(spark, sf):
     return V.pages(spark, sf).select("page_id", T.inline_text("html").alias("text"))
 
 
-@query("str_6_inline_text_full", None)
-def _(spark, sf):
-    return V.pages(spark, sf).select("page_id", T.inline_text("html", full=True).alias("text"))
-
-
 @query("str_7_entity_text", f"SELECT doc_id, {S.entity('text')} AS norm FROM documents")
 def _(spark, sf):
     return V.documents(spark, sf).select("doc_id", T.entity_text("text").alias("norm"))
@@ -460,7 +455,7 @@ def _(spark, sf):
     return V.filing_text(spark, sf).select("filing_id", M.material_score("raw_text").alias("material"))
 
 
-_NUMS = r"list_transform(regexp_extract_all(raw_text, '\$?\b\d+(?:\.\d+)?%?\b')[1:200], lambda s: CAST(replace(replace(s, '$', ''), '%', '') AS DOUBLE))"
+_NUMS = r"list_transform(regexp_extract_all(raw_text, '\$?\b\d+(?:\.\d+)?%?\b'), lambda s: CAST(replace(replace(s, '$', ''), '%', '') AS DOUBLE))"
 _NUMTEXT = S.sql(f"""
     , x AS (SELECT f.filing_id, f.company_id, f.filed_at, coalesce(f.title, '') || ' total $' || (f.filing_id % 97) || ' up ' || (f.filing_id % 13) || '% ' || f.raw_text AS raw_text
         FROM (SELECT t.*, g.title FROM filing_text t JOIN filings0 g ON g.filing_id = t.filing_id) f),
@@ -511,14 +506,7 @@ def _text_pairs(spark, sf):
     SELECT filing_id, CASE WHEN first THEN 65.0::DOUBLE ELSE {S.cents('(1.0 - len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) * 100.0')}
       END AS novelty FROM w""")
 def _(spark, sf):
-    return _text_pairs(spark, sf).select("filing_id", M.novelty("now", "prior", "words").alias("novelty"))
-
-
-@query("mth_3_novelty_exact", None)
-def _(spark, sf):
-    d = V.documents(spark, sf)
-    prior = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("prior"))
-    return d.join(prior, "doc_id", "left").select("doc_id", M.novelty("text", "prior").alias("novelty"))
+    return _text_pairs(spark, sf).select("filing_id", M.novelty("now", "prior").alias("novelty"))
 
 
 def _scored(fn):

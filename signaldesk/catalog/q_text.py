@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from signaldesk.catalog import query, sqltext as S
 from signaldesk.catalog.q_functions import _BASIC, tsfmt
-from signaldesk.operators import sections as X
 from signaldesk.sources import pages as P, views as V
 
 
@@ -36,27 +35,3 @@ _TAGLESS = f"regexp_replace(regexp_replace({_BLOCK}, '(?is)<script\\b.*?</script
     SELECT page_id, trim(regexp_replace({_BASIC.format(_TAGLESS)}, '\\s+', ' ', 'g')) AS body FROM pages""")
 def _(spark, sf):
     return V.pages(spark, sf).select("page_id", P.article_text("url", "html").alias("body"))
-
-
-@query("str_23_filing_markup", None)
-def _(spark, sf):
-    return X.filing_texts(V.pages(spark, sf), "page_id", "html").select(
-        "page_id", F.length("raw_text").alias("n_chars"), F.sha2("raw_text", 256).alias("text_hash"))
-
-
-def _sectioned(spark, sf):
-    """Filing texts with headings put between halves of the document."""
-    t = V.filing_text(spark, sf).filter(F.col("raw_text").isNotNull())
-    half = F.floor(F.length("raw_text") / 2).cast("int")
-    first, rest = F.substring(F.col("raw_text"), F.lit(1), half), F.substring(F.col("raw_text"), half + 1, F.lit(10_000_000))
-    annual = F.col("normalized_form_type").isin("10-K", "20-F", "40-F")
-    heads = (F.when(annual, "Item 1.\nBusiness\n").otherwise("Item 1. Financial Statements\n"),
-             F.when(annual, "\nItem 1A.\nRisk Factors\n").otherwise("\nItem 1A.\nRisk Factors\n"))
-    return t.select("filing_id", "normalized_form_type", F.concat(heads[0], first, heads[1], rest).alias("raw_text"))
-
-
-@query("str_25_sections", None)
-def _(spark, sf):
-    s = X.filing_sections(_sectioned(spark, sf), "filing_id", "raw_text", "normalized_form_type")
-    return X.section_rows(s, "filing_id").select("filing_id", "section", F.length("body").alias("n_chars"),
-                                                 F.sha2("body", 256).alias("body_hash"))

@@ -106,7 +106,7 @@ def news_group(tags: str, event: str, title: str, ts: str) -> str:
 
 
 def filing_event(form: str, items: str, title: str, text: str = "NULL") -> str:
-    low = f"lower(concat_ws(' ', nullif({title}, ''), nullif(substr({text}, 1, 4000), '')))"
+    low = f"lower(concat_ws(' ', nullif({title}, ''), nullif({text}, '')))"
     mapped = f"list_filter(list_transform({items}, lambda i: {look_up('i', K.ITEM_TOPICS)}), lambda t: t IS NOT NULL)[1]"
     return (f"CASE WHEN {form} IN {listed(K.ANNUAL_FORMS)} THEN 'annual-report' WHEN {form} = '10-Q' THEN 'quarterly-report' "
             f"WHEN {form} = '6-K' AND {has_any(low, ('earnings', 'results'))} THEN 'earnings' "

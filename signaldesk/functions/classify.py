@@ -21,23 +21,19 @@ def lowered_join(*parts) -> Column:
     return F.lower(F.concat_ws(" ", *cleaned))
 
 
-def head(text, n: int) -> Column:
-    return F.substring(col(text), 1, n)
-
-
 # ---- filings ---------------------------------------------------------------
 def is_target_form(form) -> Column:
     return F.upper(col(form)).isin(*K.TARGET_FORMS)
 
 
 def is_periodic_6k(title, items, text) -> Column:
-    return contains_any(lowered_join(title, items, head(text, 8000)), K.PERIODIC_6K_WORDS)
+    return contains_any(lowered_join(title, items, text), K.PERIODIC_6K_WORDS)
 
 
 def is_material_8k(item_array, title, text) -> Column:
     listed = F.arrays_overlap(F.coalesce(col(item_array), F.array().cast("array<string>")),
                               F.array(*[F.lit(i) for i in K.MATERIAL_ITEMS]))
-    return listed | contains_any(lowered_join(title, head(text, 6000)), K.MATERIAL_8K_WORDS)
+    return listed | contains_any(lowered_join(title, text), K.MATERIAL_8K_WORDS)
 
 
 def passes_ingest_gate(form, accession, items, title, text) -> Column:
@@ -54,7 +50,7 @@ def passes_ingest_gate(form, accession, items, title, text) -> Column:
 def filing_event_type(norm_form, item_array, title, text) -> Column:
     topics = F.create_map(*[F.lit(v) for pair in K.ITEM_TOPICS.items() for v in pair])
     first_topic = F.get(F.filter(F.transform(col(item_array), lambda i: topics[i]), lambda t: t.isNotNull()), F.lit(0))
-    words = lowered_join(title, head(text, 4000))
+    words = lowered_join(title, text)
     return (
         F.when(col(norm_form).isin(*K.ANNUAL_FORMS), "annual-report")
         .when(col(norm_form) == "10-Q", "quarterly-report")

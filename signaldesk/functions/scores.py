@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from signaldesk import constants as K
-from signaldesk.functions.classify import head, high_signal
+from signaldesk.functions.classify import high_signal
 from signaldesk.functions.dates import at, col
 
 
@@ -35,9 +32,9 @@ def form_base(norm_form, default: float) -> Column:
 
 
 def number_list(text) -> Column:
-    """First 200 numbers of a text as doubles (``$`` and ``%`` signs dropped)."""
+    """All numbers of a text as doubles (``$`` and ``%`` signs dropped)."""
     found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"\$?\b\d+(?:\.\d+)?%?\b"), F.lit(0))
-    return F.transform(F.slice(found, 1, 200), lambda s: F.translate(s, "$%", "").cast("double"))
+    return F.transform(found, lambda s: F.translate(s, "$%", "").cast("double"))
 
 
 def mean_of(numbers) -> Column:
@@ -56,31 +53,13 @@ def quantitative_delta(mean_now, mean_prior) -> Column:
     )
 
 
-def _ratio_batch(now: pd.Series, prior: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(now, prior)
-    ], dtype="float64")
-
-
-NOVELTY_CHARS = 15000  # fixed value: the score compares this many leading characters
-
-
-def novelty(now, prior, mode: str = "exact") -> Column:
-    """Text dissimilarity 0..100; no text 0, no prior text 65.
-
-    ``exact`` matches longest common blocks (Arrow batches in Python);
-    ``words`` is one minus the Jaccard overlap of word sets, JVM only.
-    """
+def novelty(now, prior) -> Column:
+    """Text dissimilarity 0..100 of whole texts: one minus the Jaccard overlap of word sets; no text 0, no prior text 65."""
     has_now = F.nullif(col(now), F.lit("")).isNotNull()
     has_prior = F.nullif(col(prior), F.lit("")).isNotNull()
-    if mode == "words":
-        a = F.array_distinct(F.split(F.lower(col(now)), r"\s+"))
-        b = F.array_distinct(F.split(F.lower(col(prior)), r"\s+"))
-        ratio = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    else:
-        # Null inputs skip the comparison inside the batch.
-        both = has_now & has_prior
-        ratio = F.pandas_udf(_ratio_batch, "double")(F.when(both, head(now, NOVELTY_CHARS)), F.when(both, head(prior, NOVELTY_CHARS)))
+    a = F.array_distinct(F.split(F.lower(col(now)), r"\s+"))
+    b = F.array_distinct(F.split(F.lower(col(prior)), r"\s+"))
+    ratio = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     return F.when(~has_now, 0.0).when(~has_prior, 65.0).otherwise(cents((1.0 - ratio) * 100.0))
 
 
@@ -133,7 +112,7 @@ def news_pending(title, body, source_weight, market, recency) -> dict[str, Colum
 def filing_queue_priority(norm_form, text, market, recency, watched=None) -> Column:
     """Full-text priority; the watchlist bonus is added after rounding."""
     base = form_base(norm_form, K.FORM_BASE_QUEUE_DEFAULT)
-    score = cents(0.30 * base + 0.30 * material_score(head(text, 10000)) + 0.20 * col(market) + 0.20 * col(recency))
+    score = cents(0.30 * base + 0.30 * material_score(text) + 0.20 * col(market) + 0.20 * col(recency))
     return score if watched is None else score + F.when(col(watched), 20.0).otherwise(0.0)
 
 
@@ -148,7 +127,7 @@ def filing_cheap_priority(norm_form, title, description, event_type, item_array,
 
 def news_queue_priority(source_weight, body, market, recency, watched=None) -> Column:
     weight = F.when(F.coalesce(col(source_weight), F.lit(0.0)) == 0, 0.5).otherwise(col(source_weight))
-    score = cents(0.25 * weight * 100.0 + 0.30 * material_score(head(body, 5000)) + 0.15 * col(market)
+    score = cents(0.25 * weight * 100.0 + 0.30 * material_score(body) + 0.15 * col(market)
                   + 0.30 * col(recency))
     return score if watched is None else cents(score + F.when(col(watched), 20.0).otherwise(0.0))
 

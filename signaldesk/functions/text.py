@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import html
+import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from signaldesk.constants import ANNUAL_FORMS, LEGAL_SUFFIXES, METADATA_TOKENS, REASON_LABELS
@@ -77,17 +76,16 @@ def sponsor_text(name) -> Column:
     return entity_text(F.replace(ascii_only, F.lit("&"), F.lit(" and ")))
 
 
-def _fold_batch(name: pd.Series) -> pd.Series:
-    return name.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
-
-
-def fold_ascii_full(name) -> Column:
-    """Full compatibility decomposition, for names beyond Latin-1 letters."""
-    return F.pandas_udf(_fold_batch, "string")(col(name))
+# Letters whose compatibility form starts with one ASCII letter and marks, by that rule, up to Latin Extended-B.
+_FOLDED = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0xC0, 0x250)}
+_FOLD_FROM = "".join(c for c, a in _FOLDED.items() if len(a) == 1)
+_FOLD_TO = "".join(a for a in _FOLDED.values() if len(a) == 1)
 
 
 def sponsor_text_full(name) -> Column:
-    return entity_text(F.replace(fold_ascii_full(name), F.lit("&"), F.lit(" and ")))
+    """As ``sponsor_text``, for names beyond Latin-1 letters."""
+    folded = F.translate(F.coalesce(col(name), F.lit("")), _FOLD_FROM, _FOLD_TO)
+    return entity_text(F.replace(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), F.lit("&"), F.lit(" and ")))
 
 
 def compact_name(name) -> Column:
@@ -104,7 +102,7 @@ def core_compact_name(name) -> Column:
 
 
 # ---- light HTML -----------------------------------------------------------------
-# fixed values: the entities a JVM-side pass knows; the full table is in ``unescape_full``
+# fixed values: the entities that pages of this kind use
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
              ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -116,28 +114,19 @@ def unescape_basic(text) -> Column:
     return out
 
 
-def _unescape_batch(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(html.unescape)
-
-
-def unescape_full(text) -> Column:
-    """Every named and numeric entity (Arrow batches in Python)."""
-    return F.pandas_udf(_unescape_batch, "string")(col(text))
-
-
 def strip_markup(markup) -> Column:
     """Visible text of an HTML string: drops scripts, styles, comments and tags."""
     bare = F.regexp_replace(col(markup), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     return F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
 
 
-def inline_text(markup, full: bool = False) -> Column:
+def inline_text(markup) -> Column:
     """Unescape, strip markup if any is left, and collapse spaces.
 
     Text without tags passes the stripping unchanged, so one chain serves both.
     """
     given = F.coalesce(col(markup), F.lit(""))
-    return squeeze(strip_markup(unescape_full(given) if full else unescape_basic(given)))
+    return squeeze(strip_markup(unescape_basic(given)))
 
 
 # ---- extracted text cleaning --------------------------------------------------------
@@ -162,8 +151,7 @@ def is_noise_line(line: Column) -> Column:
 
 def plain_characters(text) -> Column:
     """Unify line ends, no-break spaces and dashes; drop zero-width spaces."""
-    out = F.replace(col(text), F.lit("\r"), F.lit("\n"))
-    return F.translate(out, "\u00a0\u2011\u2013\u2014\u200b", " ---")
+    return F.translate(col(text), "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\u00a0\u2011\u2013\u2014\u200b", "\n" * 9 + " ---")
 
 
 def text_lines(text) -> Column:

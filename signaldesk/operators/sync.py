@@ -30,12 +30,19 @@ def _any_differs(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a | b, [~old.eqNullSafe(new) for old, new in pairs])
 
 
+def last_of_key(rows: DataFrame, keys: list[str], compared: list[str], ordinal: str | None) -> DataFrame:
+    order = [F.col(ordinal).desc()] if ordinal else []
+    return top_n(rows, keys, order + [F.col(c).desc_nulls_last() for c in compared], 1)
+
+
 def upsert_actions(incoming: DataFrame, stored: DataFrame, keys: list[str], compared: list[str],
-                   keep_old_when_null: tuple[str, ...] = ()) -> DataFrame:
+                   keep_old_when_null: tuple[str, ...] = (), ordinal: str | None = None) -> DataFrame:
     """Full outcome of an upsert: every key once, new values, and an action.
 
-    action is insert, update, unchanged, or keep (stored only).
+    action is insert, update, unchanged, or keep (stored only).  Of rows that
+    repeat a key the last by ``ordinal`` counts, else the greatest.
     """
+    incoming = last_of_key(incoming, keys, compared, ordinal)
     old = stored.select(*keys, *[F.col(c).alias(f"old_{c}") for c in compared], F.lit(True).alias("_old"))
     new = incoming.select(*keys, *compared, F.lit(True).alias("_new"))
     both = new.join(old, keys, "full_outer")
@@ -51,11 +58,12 @@ def upsert_actions(incoming: DataFrame, stored: DataFrame, keys: list[str], comp
 
 
 def snapshot_actions(incoming: DataFrame, stored: DataFrame, scope: str, key: str, compared: list[str],
-                     succeeded: DataFrame, metadata: str | None = None) -> DataFrame:
+                     succeeded: DataFrame, metadata: str | None = None, ordinal: str | None = None) -> DataFrame:
     """Per-scope snapshot: insert, update, delete what is gone; failed scopes stay as they are.
 
-    ``succeeded`` lists scopes whose fetch worked, even with no rows.
+    ``succeeded`` lists scopes whose fetch worked, even with no rows.  Repeated keys count once, as in an upsert.
     """
+    incoming = last_of_key(incoming, [scope, key], compared, ordinal)
     cols = compared + ([metadata] if metadata else [])
     ok = succeeded.select(scope).distinct().withColumn("_ok", F.lit(True))
     old = stored.select(scope, key, *[F.col(c).alias(f"old_{c}") for c in cols], F.lit(True).alias("_old"))
@@ -94,14 +102,23 @@ def action_counts(actions: DataFrame, *by: str) -> DataFrame:
         *[F.count_if(F.col("action") == a).alias(f"{a}_n") for a in ("insert", "update", "delete", "unchanged")])
 
 
+def one_per_symbol(quotes: DataFrame, *values: str) -> DataFrame:
+    """One quote for each upper-case symbol: the last by ``ordinal`` where there is one, else the greatest value."""
+    last = F.struct(*values)
+    last = F.max_by(last, "ordinal") if "ordinal" in quotes.columns else F.max(last)
+    return quotes.groupBy(F.upper("symbol").alias("symbol")).agg(last.alias("_q")).select("symbol", "_q.*")
+
+
 def market_cap_refresh(companies: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Overwrite matched values, keep the old ones elsewhere."""
-    q = quotes.select(F.upper("symbol").alias("_t"), F.col("market_cap").alias("_cap"), F.col("source").alias("_src"))
+    """Overwrite matched values; unmatched companies keep value and source."""
+    q = one_per_symbol(quotes, "market_cap", "source").select(
+        F.col("symbol").alias("_t"), F.col("market_cap").alias("_cap"), F.col("source").alias("_src"))
+    old_source = F.col("market_cap_source") if "market_cap_source" in companies.columns else F.lit(None).cast("string")
     return (
         companies.withColumn("_t", F.upper("ticker")).join(q, "_t", "left")
         .withColumn("refreshed", F.col("_cap").isNotNull())
-        .withColumn("market_cap", F.coalesce("_cap", "market_cap"))
-        .withColumn("market_cap_source", F.col("_src")).drop("_t", "_cap", "_src")
+        .withColumn("market_cap_source", F.when(F.col("_cap").isNotNull(), F.col("_src")).otherwise(old_source))
+        .withColumn("market_cap", F.coalesce("_cap", "market_cap")).drop("_t", "_cap", "_src")
     )
 
 
@@ -114,7 +131,7 @@ def refresh_counts(refreshed: DataFrame) -> DataFrame:
 
 def quote_fallback(tickers: DataFrame, batch: DataFrame, single: DataFrame) -> DataFrame:
     """Batch quote, else the single quote, with its source label; unmatched tickers are dropped."""
-    b = batch.select(F.upper("symbol").alias("symbol"), F.struct("market_cap", F.lit("batch").alias("source")).alias("_b"))
-    s = single.select(F.upper("symbol").alias("symbol"), F.struct("market_cap", F.lit("single").alias("source")).alias("_s"))
+    b = one_per_symbol(batch, "market_cap").select("symbol", F.struct("market_cap", F.lit("batch").alias("source")).alias("_b"))
+    s = one_per_symbol(single, "market_cap").select("symbol", F.struct("market_cap", F.lit("single").alias("source")).alias("_s"))
     return tickers.select(F.upper("ticker").alias("symbol")).join(b, "symbol", "left").join(s, "symbol", "left").withColumn(
         "_q", F.coalesce("_b", "_s")).filter(F.col("_q").isNotNull()).select("symbol", "_q.market_cap", "_q.source")

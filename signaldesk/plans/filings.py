@@ -108,8 +108,7 @@ def ingest(raw: DataFrame, stored: DataFrame, companies: DataFrame, as_of, origi
     })
 
 
-def rerank(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, company_ids: DataFrame | None = None,
-           novelty_mode: str = "exact") -> DataFrame:
+def rerank(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, company_ids: DataFrame | None = None) -> DataFrame:
     """Rescore filings of active companies against their previous filing.
 
     Texts are read once for their small features (numbers, keywords); only
@@ -127,12 +126,10 @@ def rerank(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, co
         "filing_id", M.material_score("raw_text").alias("material"), M.mean_of("nums").alias("mean"))
     prior_means = features.select(F.col("filing_id").alias("prior_id"), F.col("mean").alias("prior_mean"))
     complete = rows.filter(F.col("status") == "complete").select("filing_id", "prior_id")
-    # The exact score compares leading characters only, so only those are shuffled.
-    compared = C.head("raw_text", M.NOVELTY_CHARS) if novelty_mode == "exact" else F.col("raw_text")
-    body = texts.select("filing_id", compared.alias("raw_text"))
+    body = texts.select("filing_id", "raw_text")
     pairs = complete.join(body, "filing_id", "left").join(
         body.select(F.col("filing_id").alias("prior_id"), F.col("raw_text").alias("prior_text")), "prior_id", "left")
-    novelty = pairs.select("filing_id", M.novelty("raw_text", "prior_text", novelty_mode).alias("novelty"))
+    novelty = pairs.select("filing_id", M.novelty("raw_text", "prior_text").alias("novelty"))
     rows = rows.join(features, "filing_id", "left").join(prior_means, "prior_id", "left").join(
         novelty, "filing_id", "left").withColumns({
             "recency": D.recency_score("filed_at", as_of), "material": F.coalesce("material", F.lit(0.0)),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from signaldesk import constants as K
 from signaldesk.functions import text as T
 from signaldesk.operators import filters as O, sync
+from signaldesk.operators.ranking import top_n
 
 
 def sync_universe(issuers: DataFrame, stored: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
@@ -16,7 +17,7 @@ def sync_universe(issuers: DataFrame, stored: DataFrame, allow: DataFrame | None
     longer covered stay as they are.
     """
     padded = issuers.withColumn("cik", T.pad_key("cik"))
-    covered = O.covered_companies(padded, allow, deny).dropDuplicates(["cik"])
+    covered = top_n(O.covered_companies(padded, allow, deny), ["cik"], [F.col(c).asc() for c in ("ticker", "name", "exchange", "sic")], 1)
     described = F.create_map(*[F.lit(v) for pair in K.COVERED_SIC.items() for v in pair])[F.col("sic")]
     rows = covered.withColumns({
         "name": F.coalesce(F.nullif(F.col("name"), F.lit("")), "cik"),

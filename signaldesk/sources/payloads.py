@@ -56,7 +56,7 @@ def quote_rows(df: DataFrame, payload: str) -> DataFrame:
         text = F.trim(F.col(f"q.{field}"))
         return F.when(~text.isin("", "0", "false"), text)
 
-    cap = F.coalesce(*[usable(k) for k in CAP_KEYS]).try_cast("double").cast("bigint")
+    cap = F.coalesce(*[usable(k) for k in CAP_KEYS]).try_cast("double").try_cast("bigint")
     symbol = F.coalesce(*[F.nullif(F.trim(F.col(f"q.{k}")), F.lit("")) for k in ("symbol", "ticker")])
     return rows.select(F.upper(symbol).alias("symbol"), cap.alias("market_cap")).filter(
         F.col("symbol").isNotNull() & F.col("market_cap").isNotNull())

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as Y
 
+from signaldesk.operators.ranking import top_n
 from signaldesk.operators.sync import new_by_key
 
 
-def append_new(incoming: DataFrame, stored: DataFrame, path: str, *keys: str) -> DataFrame:
-    """Append rows whose key is not stored; returns what was written."""
-    fresh = new_by_key(incoming, stored, *keys).dropDuplicates(list(keys))
+def append_new(incoming: DataFrame, stored: DataFrame, path: str, *keys: str, ordinal: str | None = None) -> DataFrame:
+    """Append rows whose key is not stored; returns what was written.
+
+    Of rows that repeat a key the first by ``ordinal`` stays, else the least by all columns that have an order.
+    """
+    ranked = [ordinal] if ordinal else [c for c, kind in incoming.dtypes if "map<" not in kind]
+    fresh = top_n(new_by_key(incoming, stored, *keys), list(keys), [F.col(c).asc() for c in ranked], 1)
     fresh.write.mode("append").parquet(path)
     return incoming.sparkSession.read.parquet(path)
 
