@@ -161,7 +161,7 @@ def _(spark, sf):
 @query("agg_14_digest_gap", S.sql("""
     , w AS (SELECT *, row_number() OVER (PARTITION BY CAST(published_at AS DATE) ORDER BY composite_score DESC, published_at DESC, news_id DESC) AS rn FROM news)
     SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, least(greatest(8 - count(*) FILTER (status = 'complete' OR nullif(summary, '') IS NOT NULL), 0),
-      count(*) FILTER (NOT (status = 'complete' OR nullif(summary, '') IS NOT NULL))) AS gap FROM w WHERE rn <= 24 GROUP BY 1""", "news"))
+      count(*) FILTER (NOT (status = 'complete' OR nullif(summary, '') IS NOT NULL))) AS gap FROM w GROUP BY 1""", "news"))
 def _(spark, sf):
     n = V.news(spark, sf).withColumn("day", F.col("published_at").cast("date").cast("string"))
     return B.digest_gap(n, ["day"], "published_at", "news_id", 8)

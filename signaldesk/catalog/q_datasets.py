@@ -441,9 +441,9 @@ def _digest_sql(unit: str, limit: int, kind: str) -> str:
     local = f"CAST(date_trunc('{unit}', ({{}} AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS DATE)"
     return f"""
     , df{kind} AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY c) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY composite_score DESC, filed_at DESC, filing_id DESC) AS c
-        FROM (SELECT *, {local.format('filed_at')} AS d FROM filings)) WHERE c <= {limit * 3} AND (status = 'complete' OR nullif(summary, '') IS NOT NULL)),
+        FROM (SELECT *, {local.format('filed_at')} AS d FROM filings)) WHERE (status = 'complete' OR nullif(summary, '') IS NOT NULL)),
       dn{kind} AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY c) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY composite_score DESC, published_at DESC, news_id DESC) AS c
-        FROM (SELECT *, {local.format('published_at')} AS d FROM news)) WHERE c <= {limit * 3} AND (status = 'complete' OR nullif(summary, '') IS NOT NULL)),
+        FROM (SELECT *, {local.format('published_at')} AS d FROM news)) WHERE (status = 'complete' OR nullif(summary, '') IS NOT NULL)),
       gf{kind} AS (SELECT d, count(*) AS n, string_agg(CAST(filing_id AS VARCHAR), ',' ORDER BY pos) AS ids FROM df{kind} WHERE pos <= {limit} GROUP BY 1),
       gn{kind} AS (SELECT d, count(*) AS n, string_agg(CAST(news_id AS VARCHAR), ',' ORDER BY pos) AS ids, min_by(title, pos) AS top FROM dn{kind} WHERE pos <= {limit} GROUP BY 1),
       dg{kind} AS (SELECT '{kind}' AS digest_type, CAST(coalesce(f.d, n.d) AS VARCHAR) AS window_start, coalesce(f.ids, '') AS filings, coalesce(n.ids, '') AS news, concat_ws(' ',

@@ -245,17 +245,17 @@ def _(spark, sf):
 # ---- set operations ---------------------------------------------------------------
 TIMELINE_SQL = REP_SQL[:0] + f"""
     , tf AS (SELECT 'filing-' || filing_id AS id, company_id, filed_at AS occurred_at, coalesce(title, form_type) AS title, composite_score FROM (SELECT *, row_number() OVER
-        (PARTITION BY company_id ORDER BY {_FRANK}, filed_at DESC, composite_score DESC, filing_id DESC) AS rn FROM filings) WHERE rn <= 12),
+        (PARTITION BY company_id ORDER BY {_FRANK}, filed_at DESC, composite_score DESC, filing_id DESC) AS rn FROM filings)),
       np AS (SELECT *, unnest(company_tag_ids) AS cid FROM news),
       nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid, coalesce(dedupe_group_id, 'news:' || news_id) ORDER BY is_official DESC, composite_score DESC,
         published_at DESC, news_id DESC) AS rr FROM np) WHERE rr = 1),
       tn AS (SELECT 'news-' || news_id, cid, published_at, title, composite_score FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY composite_score DESC,
-        published_at DESC, news_id DESC) AS rn FROM nr) WHERE rn <= 12),
+        published_at DESC, news_id DESC) AS rn FROM nr)),
       tt AS (SELECT 'trial-' || trial_id, company_id, CAST(coalesce(last_update_date, primary_completion_date, start_date) AS TIMESTAMP), title, 0.0 FROM (SELECT *,
-        row_number() OVER (PARTITION BY company_id ORDER BY last_update_date DESC NULLS LAST, trial_id DESC) AS rn FROM trials) WHERE rn <= 12),
+        row_number() OVER (PARTITION BY company_id ORDER BY last_update_date DESC NULLS LAST, trial_id DESC) AS rn FROM trials)),
       tc AS (SELECT 'regulatory-' || event_id, company_tag_ids[1], starts_at, title, composite_score FROM (SELECT *, row_number() OVER (PARTITION BY company_tag_ids[1]
         ORDER BY CASE WHEN starts_at >= {S.AF} THEN 0 ELSE 1 END, CASE WHEN starts_at >= {S.AF} THEN epoch(starts_at) ELSE -epoch(starts_at) END, composite_score DESC,
-        event_id DESC) AS rn FROM calendar WHERE starts_at >= {S.AF} - INTERVAL 90 DAY AND starts_at <= {S.AF} + INTERVAL 180 DAY) WHERE rn <= 8),
+        event_id DESC) AS rn FROM calendar WHERE starts_at >= {S.AF} - INTERVAL 90 DAY AND starts_at <= {S.AF} + INTERVAL 180 DAY)),
       tu AS (SELECT * FROM tf UNION ALL SELECT * FROM tn UNION ALL SELECT * FROM tt UNION ALL SELECT * FROM tc),
       tl AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY occurred_at DESC, composite_score DESC, id DESC) AS pos FROM tu)
     """

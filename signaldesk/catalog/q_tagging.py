@@ -39,7 +39,7 @@ _TAG = S.sql(f"""
       hit AS (SELECT doc_id, company_id, alias, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias, company_id) AS o
         FROM d JOIN a ON contains(padded, ' ' || alias || ' ')),
       firsts AS (SELECT doc_id, company_id, min(o) AS o FROM hit GROUP BY 1, 2),
-      kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS rn FROM firsts QUALIFY rn <= 10),
+      kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS rn FROM firsts),
       names AS (SELECT h.doc_id, h.alias, min(h.o) AS o FROM hit h JOIN kept k ON h.doc_id = k.doc_id AND h.company_id = k.company_id GROUP BY 1, 2)
     """, "watchlists")
 

@@ -109,7 +109,6 @@ TOPIC_WORDS = {
 PROMO_WORDS = ("webinar", "whitepaper", "sponsored", "advertisement")
 REGULATOR_SOURCES = ("FDA Press Releases", "FDA Drug Approvals")
 REGULATOR_HOST = "fda.gov"
-COMPANY_TAG_LIMIT = 10
 OFFICIAL_FEED_WEIGHT = 0.98
 STATIC_FEEDS = (
     ("Fierce Pharma", "https://www.fiercepharma.com/rss/xml", 0.95, ("pharma",)),

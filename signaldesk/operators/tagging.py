@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signaldesk import constants as K
 from signaldesk.functions import text as T
 from signaldesk.functions.dates import col
 from signaldesk.operators.ranking import top_n
@@ -76,18 +75,18 @@ def phrase_matches(texts: DataFrame, key: str, text: str, aliases: DataFrame) ->
 
 
 def tag_entities(texts: DataFrame, key: str, text: str, aliases: DataFrame,
-                 limit: int = K.COMPANY_TAG_LIMIT) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """(key, company_tag_ids, mentioned): companies by longest alias first.
 
-    At most ``limit`` companies per text, as in the tag rule; a mention is
-    kept only for a kept company.
+    All companies of a text, or the first ``limit``; a mention is kept only for
+    a kept company.
     """
     order = F.struct((-F.length("alias")).alias("l"), F.col("alias").alias("a"), F.col("company_id").alias("c"))
     hits = phrase_matches(texts, key, text, aliases).withColumn("_at", order)
     # A company's matched spellings are few: at most its aliases.
     per_company = hits.groupBy(key, "company_id").agg(
         F.min("_at").alias("_at"), F.collect_set(F.struct("_at", "mention")).alias("_said"))
-    kept = top_n(per_company, [key], [F.col("_at").asc()], limit)
+    kept = per_company if limit is None else top_n(per_company, [key], [F.col("_at").asc()], limit)
     both = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "company_id"))).alias("_c"),
                                  F.sort_array(F.flatten(F.collect_list("_said"))).alias("_m"))
     return both.select(

@@ -81,19 +81,17 @@ def preset_watchlists(companies: DataFrame) -> DataFrame:
 
 # ---- digests -----------------------------------------------------------------------
 def digest_gap(rows: DataFrame, window_keys: list[str], ts: str, key: str, limit: int) -> DataFrame:
-    """How many more summaries each window needs among its best 3 x limit candidates."""
-    best = top_n(rows, window_keys, RK.importance_order(ts, key), limit * 3)
+    """How many more summaries each window needs, and could get, to fill ``limit`` places."""
     done = C.has_summary("status", "summary")
-    return best.groupBy(*window_keys).agg(
+    return rows.groupBy(*window_keys).agg(
         F.count_if(done).alias("_done"), F.count_if(~done).alias("_open")).select(
         *window_keys, F.least(F.greatest(F.lit(limit) - F.col("_done"), F.lit(0)), F.col("_open")).alias("gap"))
 
 
 def digest_items(rows: DataFrame, window_keys: list[str], ts: str, key: str, limit: int) -> DataFrame:
-    """Per window: best 3 x limit by score, those with a summary, first ``limit``."""
-    candidates = top_n(rows, window_keys, RK.importance_order(ts, key), limit * 3, rank="_c")
-    ready = candidates.filter(C.has_summary("status", "summary"))
-    return top_n(ready, window_keys, [F.col("_c").asc()], limit, rank="pos").drop("_c")
+    """Per window: the best ``limit`` by score of those with a summary."""
+    ready = rows.filter(C.has_summary("status", "summary"))
+    return top_n(ready, window_keys, RK.importance_order(ts, key), limit, rank="pos")
 
 
 def digests(filings: DataFrame, news: DataFrame, kind: str, existing: DataFrame | None = None) -> DataFrame:
@@ -201,13 +199,9 @@ def timeline_order() -> list[Column]:
 
 
 def company_timeline(filings, news, trials, calendar, as_of_filings, as_of_news, limit: int = 30) -> DataFrame:
-    """Merged timeline of every company: newest 12/12/12/8 per source, then ``limit`` in all."""
-    f = top_n(filings, ["company_id"], RK.company_list_order(), min(limit, 12))
-    n = top_n(company_news(news), ["company_id"], RK.importance_order("published_at", "news_id"), min(limit, 12))
-    t = top_n(trials, ["company_id"], trial_order(), min(limit, 12))
+    """Merged timeline of every company: the ``limit`` newest entries over all sources, ranked once."""
     c = O.calendar_range(calendar, as_of_filings, 90, 180).withColumn("company_id", F.explode(F.array_distinct("company_tag_ids")))
-    c = top_n(c, ["company_id"], calendar_order(as_of_filings), min(limit, 8))
-    merged = filing_events(f, as_of_filings).unionByName(news_events(n, as_of_news)).unionByName(trial_events(t)).unionByName(
+    merged = filing_events(filings, as_of_filings).unionByName(news_events(company_news(news), as_of_news)).unionByName(trial_events(trials)).unionByName(
         calendar_events(c, as_of_filings))
     return top_n(merged, ["company_id"], timeline_order(), limit, rank="pos")
 
