@@ -1,7 +1,8 @@
 """SimHash near-duplicates through a vantage-point tree over fingerprints.
 
 1. Texts become 64-bit fingerprints of their word shingles; equal fingerprints become one node (grouping, no pairs).
-2. A vantage-point tree, built on a bounded sample, deals all nodes to leaves by Hamming distance.  The sample only
+2. A vantage-point tree, built on a bounded sample, deals all nodes to leaves by Hamming distance (and, where word
+   counts must be alike, to bands of their logarithm within a leaf).  The sample only
    shapes the tree: by the triangle bound a node visits every leaf across a boundary it is within ``radius`` of, so no
    pair is lost.  Of two leaves the later one compares, so a pair is met once.
 3. Each leaf compares its own nodes with each other and with its visitors, and gives a spanning forest of what it found:
@@ -16,6 +17,7 @@ table gives an empty table; other columns play no part; texts are read whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -176,42 +178,59 @@ def _forest(link: Link):
 def near_edges(nodes: DataFrame, link: Link, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """Edges (a, b) that join all linked nodes; nodes: node, fp0, fp1, n_words, written already."""
     spark = nodes.sparkSession
-    n = nodes.count()
+    # Word counts within the ratio lie in the same or in neighbouring bands of their logarithm.
+    width = -math.log(link.size_ratio) * (1 + 1e-9) if link.size_ratio is not None else None
+
+    def band_of(size: np.ndarray) -> np.ndarray:
+        return (np.log(np.maximum(size, 1)) / width).astype(np.int64) if width else np.zeros(len(size), np.int64)
+
+    places = nodes.groupBy((F.floor(F.log(F.greatest("n_words", F.lit(1))) / width) if width else F.lit(0)).alias("band")).agg(F.count("*").alias("n"))
+    counts = np.array([r["n"] for r in places.collect()], float)  # one row a band
+    n = int(counts.sum())
+    spread = n * n / max(1.0, (counts ** 2).sum())
     picked = nodes.select("fp0").distinct().orderBy(F.xxhash64("fp0"), "fp0").limit(sample).toPandas()["fp0"].to_numpy(np.int64).view(np.uint64)
-    tree = build_tree(picked, max(8, leaf * len(picked) // max(1, n)), link.radius)
+    tree = build_tree(picked, max(8, int(leaf * spread * len(picked)) // max(1, n)), link.radius)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
     def homes(parts):
         for pdf in parts:
-            counts = np.zeros(tree.leaves, np.int64)
-            for at, own, home in tree.walk(pdf["fp0"].to_numpy().view(np.uint64), 0):
-                counts[at] += home.sum()
-            yield pd.DataFrame({"leaf": np.arange(tree.leaves), "n": counts})[counts > 0]
-
-    held = {r["leaf"]: r["n"] for r in nodes.select("fp0").mapInPandas(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    blocks = np.array([max(1, -(-held.get(k, 0) // (2 * leaf))) for k in range(tree.leaves)], np.int64)
-    first = np.concatenate([[0], np.cumsum(blocks)])
+            fp, band = pdf["fp0"].to_numpy().view(np.uint64), band_of(pdf["n_words"].to_numpy())
+            for at, own, home in tree.walk(fp, 0):
+                bands, k = np.unique(band[own[home]], return_counts=True)
+                yield pd.DataFrame({"leaf": at, "band": bands, "n": k})
+
+    held = nodes.select("fp0", "n_words").mapInPandas(homes, "leaf long, band long, n long").groupBy("leaf", "band").agg(F.sum("n").alias("n")).toPandas()
+    # Cells: (leaf, band) with a home, at most leaves x bands; large ones are cut into blocks.
+    n_bands = int(held["band"].max()) + 1 if len(held) else 1
+    blocks, first = np.zeros((tree.leaves, n_bands), np.int64), np.zeros((tree.leaves, n_bands), np.int64)
+    held = held.sort_values(["leaf", "band"])
+    blocks[held["leaf"], held["band"]] = -(-held["n"].to_numpy() // (2 * leaf))
+    first.flat[1:] = np.cumsum(blocks)[:-1]
 
     def deal(parts):
         for pdf in parts:
-            fp = pdf["fp0"].to_numpy().view(np.uint64)
-            # A visitor goes only to leaves after its own, so its home leaf is found first.
+            fp, band = pdf["fp0"].to_numpy().view(np.uint64), band_of(pdf["n_words"].to_numpy())
+            # A visitor goes only to cells after its own, so its home leaf is found first.
             own = np.zeros(len(fp), np.int64)
             found = list(tree.walk(fp, link.radius))
             for at, rows, home in found:
                 own[rows[home]] = at
             block = (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for at, rows, home in found:
-                go = home | (own[rows] < at)
-                rows, home = rows[go], home[go]
-                for b in range(blocks[at]):
-                    mine = block[rows] % blocks[at]
-                    take = ~home | (mine <= b)
-                    if take.any():
-                        out = pdf.iloc[rows[take]].copy()
-                        out["home"] = (home & (mine == b))[take]
-                        out["cell"] = first[at] + b
-                        yield out
+                for step in (-1, 0, 1) if width else (0,):
+                    there = band[rows] + step
+                    stays = home & (step == 0)
+                    go = (there >= 0) & (there < n_bands) & (stays | (own[rows] < at) | ((own[rows] == at) & (step > 0)))
+                    go[go] = blocks[at, there[go]] > 0
+                    some, cell, stay, parted = rows[go], first[at, there[go]], stays[go], blocks[at, there[go]]
+                    mine = block[some] % np.maximum(parted, 1)
+                    for b in range(int(parted.max(initial=0))):
+                        take = (parted > b) & (~stay | (mine <= b))
+                        out.append((some[take], (cell + b)[take], (stay & (mine == b))[take]))
+            if out:
+                some, cell, stay = (np.concatenate(x) for x in zip(*out))
+                yield pdf.iloc[some].assign(home=stay, cell=cell)
 
     kinds = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
     dealt = nodes.mapInPandas(deal, f"{kinds}, home boolean, cell long")
