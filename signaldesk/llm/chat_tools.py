@@ -65,18 +65,17 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return calls, results, parsed.where(~is_call & ~is_result).select("conv_id", "turn", "role", "text")
 
 
-def levels(calls: DataFrame, most: int = 1_000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """calls with ``level``: 0 without known predecessors, else one more than the highest of them; -1 on or after a cycle.
 
-    Each round settles, by one join, the calls all of whose predecessors are settled; ids are unique within a conversation.
+    Each round settles, by one join, the calls all of whose predecessors are settled, so there are as many rounds as the
+    longest chain of calls; ids are unique within a conversation.
     """
     waits = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("before"))
     known = calls.select("conv_id", F.col("id").alias("before"))
     waits = staged(waits.join(known, ["conv_id", "before"], "left_semi"), "waits")
     settled = staged(calls.select("conv_id", "id").join(waits, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    for _ in range(most):
-        if waits.isEmpty():
-            break
+    while not waits.isEmpty():
         done = settled.select("conv_id", F.col("id").alias("before"), "level")
         state = waits.join(done, ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
         ready = staged(state.where("open = 0").select("conv_id", "id", (F.col("level") + 1).alias("level")), "ready")
@@ -115,21 +114,27 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool
 
 
 def as_tool_traffic(conversations: DataFrame) -> DataFrame:
-    """The given conversations, with each assistant turn preceded by the tool call that would yield it and its result.
+    """The given conversations, with each assistant turn preceded by two tool calls that would yield it and their results.
 
-    The table holds no tool calls of its own, so they are derived from it: turn t calls ``reply`` with counts of the text
-    it answers with, after the call of the assistant turn two before, and the result repeats the text.
+    The table holds no tool calls of its own, so they are derived from it: turn t first calls ``calculate`` on the size of
+    its text and, after that, ``reply`` with the counts; the results are the size and the text.
     """
-    key = F.concat(F.lit("c"), F.col("turn").cast("string"))
-    text = F.coalesce("text", F.lit(""))
-    call = F.to_json(F.struct(F.array(F.struct(
-        key.alias("id"), F.lit("reply").alias("name"),
-        F.create_map(F.lit("words"), F.size(F.split(text, " ")).cast("string"), F.lit("chars"), F.char_length(text).cast("string")).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")))).otherwise(F.array().cast("array<string>")).alias("after"))).alias("tool_calls")))
-    said = conversations.select("conv_id", (F.col("turn") * 3 + 2).alias("turn"), "role", "text")
-    replies = conversations.where("role = 'assistant'")
-    return said.unionByName(replies.select("conv_id", (F.col("turn") * 3).alias("turn"), "role", call.alias("text"))).unionByName(
-        replies.select("conv_id", (F.col("turn") * 3 + 1).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(key.alias("tool_call_id"), text.alias("content"))).alias("text")))
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
+    size, reply = F.concat(F.lit("s"), turn), F.concat(F.lit("r"), turn)
+    words, chars = F.size(F.split(text, " ")).cast("string"), F.char_length(text).cast("string")
+    none = F.array().cast("array<string>")
+    call = F.to_json(F.struct(F.array(
+        F.struct(reply.alias("id"), F.lit("reply").alias("name"), F.create_map(F.lit("words"), words, F.lit("chars"), chars).alias("arguments"), F.array(size).alias("after")),
+        F.struct(size.alias("id"), F.lit("calculate").alias("name"), F.create_map(F.lit("expression"), F.concat_ws("+", words, chars)).alias("arguments"), none.alias("after"))).alias("tool_calls")))
+
+    def result(of: Column, content: Column) -> Column:
+        return F.to_json(F.struct(of.alias("tool_call_id"), content.alias("content")))
+
+    replies = conversations.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.array(
+        F.struct(F.lit("assistant").alias("role"), call.alias("text")), F.struct(F.lit("tool").alias("role"), result(size, chars).alias("text")),
+        F.struct(F.lit("tool").alias("role"), result(reply, text).alias("text")))).alias("k", "m"))
+    return conversations.select("conv_id", (F.col("turn") * 4 + 3).alias("turn"), "role", "text").unionByName(
+        replies.select("conv_id", (F.col("turn") * 4 + F.col("k")).alias("turn"), "m.role", "m.text"))
 
 
 def tool_report(spark: SparkSession, sf_dir: str) -> DataFrame:
