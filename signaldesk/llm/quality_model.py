@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signaldesk.llm.common import small_batches, table
+from signaldesk.llm.common import fresh, small_batches, table
 
 SAMPLE = 4_000
 BUCKETS = 1 << 15
@@ -29,38 +29,47 @@ GOOD_VOTES, BAD_VOTES = np.array([0.03, 0.97]), np.array([0.35, 0.65])   # share
 BELIEF = 0.03    # of the documents
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes of the heuristic labellers; several look at the same defects."""
+def measures(text: Column) -> dict[str, Column]:
+    """What the labellers look at, each taken once from the whole text."""
     t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.char_length(t), F.lit(1))
-    words = F.split(F.btrim(t), "\\s+")
-    n_words = F.size(words)
-    symbols = F.size(F.split(t, "[#*$%&|<>]")) - 1
-    marks = F.size(F.split(t, "[!?]")) - 1
-    stops = F.size(F.split(t, "[.!?]")) - 1
-    capitals = F.size(F.split(t, "[A-Z]")) - 1
-    distinct = F.size(F.array_distinct(words))
-    lines = F.split(t, "\n")
-    odd = F.size(F.split(t, "[^\\p{L}\\p{N}\\s]")) - 1
-    marked = F.size(F.split(t, "[#*$%&!?]{2,}(\\s|$)")) - 1
-    sentences = F.split(t, "[.!?\n]+\\s*")
+    words, lines, sentences = F.split(F.btrim(t), "\\s+"), F.split(t, "\n"), F.split(t, "[.!?\n]+\\s*")
+
+    def count(pattern: str) -> Column:
+        return F.size(F.split(t, pattern)) - 1
+
+    return {
+        "n": F.greatest(F.char_length(t), F.lit(1)), "n_words": F.size(words), "distinct": F.size(F.array_distinct(words)), "symbols": count("[#*$%&|<>]"), "marks": count("[!?]"),
+        "stops": count("[.!?]"), "capitals": count("[A-Z]"), "odd": count("[^\\p{L}\\p{N}\\s]"), "marked": count("[#*$%&!?]{2,}(\\s|$)"),
+        "n_lines": F.size(lines), "distinct_lines": F.size(F.array_distinct(lines)), "n_sentences": F.size(sentences), "distinct_sentences": F.size(F.array_distinct(sentences))}
+
+
+def with_votes(docs: DataFrame, prefix: str = "vote_") -> DataFrame:
+    """Every row with the votes of the heuristic labellers; several look at the same defects."""
+    own = {k: fresh(docs.columns, f"_m_{k}") for k in measures(F.col("text"))}
+    df = docs.select("*", *(c.alias(own[k]) for k, c in measures(F.col("text")).items()))
+    m = {k: F.col(c) for k, c in own.items()}
+    n, n_words = m["n"], m["n_words"]
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(n_words < 15, 0).when(bad, -1).when(good, 1).otherwise(0)
 
-    return {
+    votes = {
         "length": vote(n_words >= 50, n_words < 20),
-        "symbols": vote(symbols < n * 0.002, symbols > n * 0.03),
-        "shouting": vote(capitals < n * 0.06, capitals > n * 0.3),
-        "marks": vote(marks < n_words * 0.05, marks > n_words * 0.3),
-        "sentences": vote((stops > 1) & (n_words < stops * 40), n_words > (stops + 1) * 120),
-        "odd_characters": vote(odd < n * 0.06, odd > n * 0.12),
-        "marked_words": vote(marked < n_words * 0.02, marked > n_words * 0.2),
-        "variety": vote(distinct > n_words * 0.45, (n_words >= 50) & (distinct < n_words * 0.3)),
-        "repeated_sentences": vote(F.size(F.array_distinct(sentences)) > F.size(sentences) * 0.9, F.size(F.array_distinct(sentences)) < F.size(sentences) * 0.6),
-        "repeated_lines": vote((F.size(lines) > 1) & (F.size(F.array_distinct(lines)) > F.size(lines) * 0.8), F.size(F.array_distinct(lines)) < F.size(lines) * 0.5),
+        "symbols": vote(m["symbols"] < n * 0.002, m["symbols"] > n * 0.03),
+        "shouting": vote(m["capitals"] < n * 0.06, m["capitals"] > n * 0.3),
+        "marks": vote(m["marks"] < n_words * 0.05, m["marks"] > n_words * 0.3),
+        "sentences": vote((m["stops"] > 1) & (n_words < m["stops"] * 40), n_words > (m["stops"] + 1) * 120),
+        "odd_characters": vote(m["odd"] < n * 0.06, m["odd"] > n * 0.12),
+        "marked_words": vote(m["marked"] < n_words * 0.02, m["marked"] > n_words * 0.2),
+        "variety": vote(m["distinct"] > n_words * 0.45, (n_words >= 50) & (m["distinct"] < n_words * 0.3)),
+        "repeated_sentences": vote(m["distinct_sentences"] > m["n_sentences"] * 0.9, m["distinct_sentences"] < m["n_sentences"] * 0.6),
+        "repeated_lines": vote((m["n_lines"] > 1) & (m["distinct_lines"] > m["n_lines"] * 0.8), m["distinct_lines"] < m["n_lines"] * 0.5),
         "word_length": vote((n < n_words * 10) & (n > n_words * 4), (n > n_words * 14) | (n < n_words * 3)),
     }
+    return df.select(*docs.columns, *(v.alias(prefix + k) for k, v in votes.items()))
+
+
+VOTES = ("length", "symbols", "shouting", "marks", "sentences", "odd_characters", "marked_words", "variety", "repeated_sentences", "repeated_lines", "word_length")
 
 
 def fit_votes(counts: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, float]:
@@ -118,13 +127,13 @@ def train_scorer(texts: list[str | None], target: np.ndarray, epochs: int = 8, r
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, float]:
-    votes = labellers(F.col("text"))
-    names = list(votes)
-    seen = docs.select(*(v.alias(k) for k, v in votes.items()))
+    names = [f"vote_{k}" for k in VOTES]
+    seen = with_votes(docs.select("doc_id", "text"))
     counts = seen.groupBy(*names).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** 11 rows
     odds, share = fit_votes(counts, names)
     picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(picked.distinct()), "doc_id").limit(SAMPLE).select("text", *(v.alias(k) for k, v in votes.items())).toPandas()
+    few = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").limit(SAMPLE)
+    sample = with_votes(few).select("text", *names).toPandas()
     if not len(sample):
         return odds, names, np.zeros(BUCKETS), share
     at = sample[names].to_numpy(int) + 1
@@ -144,11 +153,12 @@ def with_quality(docs: DataFrame, score: str = "score", posterior: str = "poster
             yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[at] @ value))))) for at, value in map(features, texts)], dtype=float)
 
     probability.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    votes = labellers(F.col("text"))
+    prefix = fresh([c[:6] for c in docs.columns], "_vote_")
     log = F.lit(math.log(share / (1 - share)))
-    for k, name in enumerate(names):
-        log = log + F.element_at(F.array(*(F.lit(float(x)) for x in odds[k])), votes[name] + 2)
-    return docs.withColumn(posterior, 1 / (1 + F.exp(-log))).withColumn(score, F.pandas_udf(probability, "double")(F.col("text")))
+    for k, name in enumerate(VOTES):
+        log = log + F.element_at(F.array(*(F.lit(float(x)) for x in odds[k])), F.col(prefix + name) + 2)
+    voted = with_votes(docs, prefix)
+    return voted.select(*docs.columns, (1 / (1 + F.exp(-log))).alias(posterior), F.pandas_udf(probability, "double")(F.col("text")).alias(score))
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
