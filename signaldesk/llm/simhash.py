@@ -13,6 +13,8 @@
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows and repeated ids
 each keep their row; null ids take part but never name a component (null if no id of the component is known); an empty
 table gives an empty table; other columns play no part; texts are read whole.
+
+The pipeline's near copies are decided by the similarity of the shingle sets themselves; see ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from signaldesk.llm.common import fresh, small_batches, staged, table
 
 SAMPLE = 1 << 15         # fingerprints that shape the tree
 LEAF = 2_000             # nodes a leaf should hold
 SEED = 42
+SIMILAR = (4, 5)         # least similarity of near copies in the pipeline, as a fraction
+BANDS, ROWS = 24, 5      # minima that find its candidates
+MIX = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -282,20 +287,116 @@ def group_documents(docs: DataFrame, shingles: tuple[int, ...], link: Link, keep
     return rows.join(named, key)
 
 
+def shingles_of(text: bytes | None, size: int = 5) -> set[bytes]:
+    """Distinct shingles of ``size`` words; a shorter text is one shingle, a text without words has none."""
+    words = words_of(text)
+    return {b" ".join(g) for g in zip(*(words[k:] for k in range(size)))} or ({b" ".join(words)} if words else set())
+
+
+def band_keys(shingles: set[bytes]) -> tuple[bytes, list[int]]:
+    """The digest of a shingle set and a hash of each band of its minima."""
+    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+    if not len(h):
+        return b"", []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        least = np.minimum(least, ((h[i:i + (1 << 12)] ^ MIX[0, :, None]) * MIX[1, :, None]).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+    return xxhash.xxh3_128_digest(h.tobytes()), keys.view(np.int64).tolist()
+
+
+def shingle_bands(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns of ``keep``, the digest and size of the text's shingle set, and its band keys."""
+    small_batches(docs.sparkSession)
+
+    def batches(parts):
+        for pdf in parts:
+            sets = [shingles_of(t) for t in pdf.pop("_text")]
+            found = [band_keys(s) for s in sets]
+            yield pdf.assign(digest=[f[0] for f in found], n=[len(s) for s in sets], bands=[f[1] for f in found])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "digest binary, n long, bands array<long>"])
+    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInPandas(batches, schema)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose texts have a Jaccard similarity of at least SIMILAR over their five-word shingles."""
+    small_batches(pairs.sparkSession, 200)
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = staged(texts.join(some, "node").select("node", F.col("text").cast("binary").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+
+    def check(parts):
+        for pdf in parts:
+            ok = np.zeros(len(pdf), bool)
+            for i, (left, right) in enumerate(zip(pdf["left"], pdf["right"])):
+                x, y = shingles_of(left), shingles_of(right)
+                shared = len(x & y)
+                ok[i] = SIMILAR[1] * shared >= SIMILAR[0] * (len(x) + len(y) - shared)
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return staged(both.mapInPandas(check, "a long, b long"), "similar")
+
+
+def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the components over all similar pairs that share a band; nodes: node, n, bands, written already.
+
+    In each round some members of a bucket lead: each is checked against all others of the bucket that are not in its
+    component yet, and then leaves the bucket.  A bucket is done when one component holds the rest of it, so every
+    candidate pair is either checked or joined already, and a large group of copies costs one pair a member.
+    """
+    members = staged(nodes.select(F.explode("bands").alias("bucket"), "node", "n"), "members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    members = staged(members.join(shared, "bucket"), "members")
+    stars = staged(nodes.sparkSession.createDataFrame([], "node long, root long"), "stars")
+    tested = staged(nodes.sparkSession.createDataFrame([], "a long, b long"), "tested")
+    lead = 1
+    while True:
+        rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+        parts = staged(rooted.groupBy("bucket", "root").agg(F.count("*").alias("k")), "parts")
+        main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
+        main = staged(main.where("parts > 1").select("bucket", "main"), "main")
+        if main.isEmpty():
+            return stars
+        rooted = staged(rooted.join(main, "bucket"), "rooted")
+        nth = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+        leaders = rooted.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
+        leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
+        # The ratio of the sizes bounds the similarity.
+        fits = F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]
+        met = rooted.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & fits)
+        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        edges = similar_pairs(pairs, texts)
+        if not edges.isEmpty():
+            stars = staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
+        members = staged(rooted.select("bucket", "node", "n").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "members")
+        lead = min(lead * 8, 512)
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group stays: that of the smallest id (of equal ids, one row).
 
-    Groups: five-word shingles at a similarity of about 0.8 or more.  Single words shift few bits when a text is edited,
-    so their fingerprint (at most 4 bits apart) finds candidates; the five-word fingerprint (at most 12 of 64 bits, a
-    cosine of 0.83) and word counts within a fifth must agree as well.
+    Groups: components of the texts whose five-word shingles have a Jaccard similarity of at least 0.8.  Minima of the
+    shingle hashes find the candidates (texts that agree in all five minima of one of 24 bands: at a similarity of 0.8
+    all but 7 in 100,000 pairs); each candidate is decided by its shingles.
     """
     cols = docs.columns
     row = fresh(cols, "row_")
     # The rows are written once with a number, so that the number is the same wherever it is read again.
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    slim = numbered.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(row).alias("at")).alias("who"), "text")
-    groups = group_documents(slim, (1, 5), Link(4, 12, 0.8), ["who"], "who")
-    chosen = groups.where(F.col("who") == F.col("component")).select(F.col("who.at").alias(row))
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(row).alias("at")).alias("who")
+    rows = staged(shingle_bands(numbered.select(who, "text"), ["who"]), "bands")
+    nodes = rows.groupBy("digest").agg(F.min("who").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = numbered.select(F.col(row).alias("at"), "text").join(nodes.select("node", F.col("first.at").alias("at")), "at").select("node", "text")
+    stars = similar_components(nodes.select("node", "n", "bands"), texts)
+    rooted = staged(nodes.select("node", "first").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first"), "rooted")
+    chosen = staged(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias(row)), "chosen")
     return numbered.join(chosen, row, "left_semi").select(*cols)
 
 

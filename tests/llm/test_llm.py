@@ -225,6 +225,38 @@ def test_one_near_copy_stays(docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_match_brute_force_jaccard(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    rows = []
+    for i, n in enumerate([50, 60, 80, 120, 200, 400] * 12):
+        own = [str(w) for w in rng.choice(vocabulary, n)]
+        rows.append((10 * i, " ".join(own)))
+        for k in range(1, 4):  # edited copies on both sides of the bound
+            w = list(own)
+            for at in rng.choice(n, max(1, n * k // 75), replace=False):
+                w[at] = f"new{rng.integers(10 ** 6)}"
+            rows.append((10 * i + k, " ".join(w)))
+        rows.append((10 * i + 4, " ".join(own + own[:n * 3 // 10])))  # repeats a passage of its own
+    rows += [(9000 + i, "one very common passage that stands in many texts " * 3 + " ".join(rng.choice(vocabulary, 60))) for i in range(40)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    want = sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
 def test_tool_calls_link_and_order(spark):
     call = ('{"tool_calls":[{"id":"b","name":"search","arguments":{"query":"x","limit":"ten"},"after":["a"]},'
             '{"id":"a","name":"calculate","arguments":{"expression":"1\\n\\"2"},"after":["gone"]},{"id":"p","name":"zip","arguments":{},"after":["q"]},{"id":"q","name":"search","arguments":{},"after":["p"]}]}')
