@@ -68,22 +68,31 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def levels(calls: DataFrame) -> DataFrame:
     """calls with ``level``: 0 without known predecessors, else one more than the highest of them; -1 on or after a cycle.
 
-    Each round settles, by one join, the calls all of whose predecessors are settled, so there are as many rounds as the
-    longest chain of calls; ids are unique within a conversation.
+    A call's level is the highest of its ``floor`` and, for each of its links, the level of the link's target plus ``d``.
+    In each round a link to a settled call goes into the floor, and a link to a call with one link itself jumps to that
+    call's target, so chains take a round for each doubling of their length; only where calls with several open links
+    follow one another does a round settle no more than the next of them.  Ids are unique within a conversation.
     """
-    waits = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("before"))
-    known = calls.select("conv_id", F.col("id").alias("before"))
-    waits = staged(waits.join(known, ["conv_id", "before"], "left_semi"), "waits")
-    settled = staged(calls.select("conv_id", "id").join(waits, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    while not waits.isEmpty():
-        done = settled.select("conv_id", F.col("id").alias("before"), "level")
-        state = waits.join(done, ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
-        ready = staged(state.where("open = 0").select("conv_id", "id", (F.col("level") + 1).alias("level")), "ready")
+    far = F.lit(1 << 40)  # only jumps round a cycle get there
+    known = calls.select("conv_id", F.col("id").alias("to"))
+    links = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("to")).join(known, ["conv_id", "to"], "left_semi")
+    links = staged(links.select("conv_id", "id", F.lit(0).cast("long").alias("floor"), "to", F.lit(1).cast("long").alias("d")), "links")
+    settled = staged(calls.select("conv_id", "id").join(links, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    while not links.isEmpty():
+        heads = links.groupBy("conv_id", F.col("id").alias("to")).agg(F.max("floor").alias("low"), F.count("*").alias("n"), F.max(F.struct("to", "d")).alias("one"))
+        heads = staged(heads.unionByName(settled.select("conv_id", F.col("id").alias("to"), F.col("level").alias("low"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("struct<to:string,d:long>").alias("one"))), "heads")
+        met = links.join(heads, ["conv_id", "to"]).select(
+            "conv_id", "id", F.greatest("floor", F.least(F.col("low") + F.col("d"), far)).alias("floor"),
+            F.when(F.col("n") == 1, F.col("one.to")).when(F.col("n") > 1, F.col("to")).alias("to"),
+            F.when(F.col("n") == 1, F.least(F.col("d") + F.col("one.d"), far)).otherwise(F.col("d")).alias("d"))
+        met = staged(met.groupBy("conv_id", "id", "to").agg(F.max("floor").alias("floor"), F.max("d").alias("d")), "met")
+        floors = staged(met.groupBy("conv_id", "id").agg(F.max("floor").alias("low"), F.count("to").alias("n")), "floors")
+        ready = floors.where("n = 0").select("conv_id", "id", F.col("low").alias("level"))
         if ready.isEmpty():
             break
-        settled = staged(settled.unionByName(ready), "levels")
-        waits = staged(waits.join(ready, ["conv_id", "id"], "left_anti"), "waits")
-    return calls.join(settled, ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+        settled = settled.unionByName(ready)
+        links = staged(met.where("to IS NOT NULL").join(floors.where("n > 0"), ["conv_id", "id"]).select("conv_id", "id", F.col("low").alias("floor"), "to", "d"), "links")
+    return calls.join(settled, ["conv_id", "id"], "left").withColumn("level", F.coalesce(F.col("level").cast("int"), F.lit(-1)))
 
 
 def link_tools(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
@@ -117,24 +126,34 @@ def as_tool_traffic(conversations: DataFrame) -> DataFrame:
     """The given conversations, with each assistant turn preceded by two tool calls that would yield it and their results.
 
     The table holds no tool calls of its own, so they are derived from it: turn t first calls ``calculate`` on the size of
-    its text and, after that, ``reply`` with the counts; the results are the size and the text.
+    its text, after the ``reply`` of the assistant turn two before, and then ``reply`` with the counts; the results are the
+    size and the text.  So a conversation of alternating turns is one chain.  A hash of conversation and turn gives five of eight turns a flaw:
+    the reply is called again, has a faulty argument, no result or two, or a result without a call and two calls that
+    wait for each other come along.
     """
     text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
-    size, reply = F.concat(F.lit("s"), turn), F.concat(F.lit("r"), turn)
+    case = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
+    size, reply, p, q = (F.concat(F.lit(k), turn) for k in "srpq")
     words, chars = F.size(F.split(text, " ")).cast("string"), F.char_length(text).cast("string")
-    none = F.array().cast("array<string>")
-    call = F.to_json(F.struct(F.array(
-        F.struct(reply.alias("id"), F.lit("reply").alias("name"), F.create_map(F.lit("words"), words, F.lit("chars"), chars).alias("arguments"), F.array(size).alias("after")),
-        F.struct(size.alias("id"), F.lit("calculate").alias("name"), F.create_map(F.lit("expression"), F.concat_ws("+", words, chars)).alias("arguments"), none.alias("after"))).alias("tool_calls")))
+    last = F.concat(F.lit("r"), (F.col("turn") - 2).cast("string"))
 
-    def result(of: Column, content: Column) -> Column:
-        return F.to_json(F.struct(of.alias("tool_call_id"), content.alias("content")))
+    def made(id: Column, name: str, arguments: dict[str, Column], after: Column) -> Column:
+        return F.struct(id.alias("id"), F.lit(name).alias("name"), F.create_map(*(x for k, v in arguments.items() for x in (F.lit(k), v))).alias("arguments"), F.array(after).alias("after"))
+
+    def call(*calls: Column) -> Column:
+        return F.struct(F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(*calls).alias("tool_calls"))).alias("text"))
 
-    replies = conversations.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.array(
-        F.struct(F.lit("assistant").alias("role"), call.alias("text")), F.struct(F.lit("tool").alias("role"), result(size, chars).alias("text")),
-        F.struct(F.lit("tool").alias("role"), result(reply, text).alias("text")))).alias("k", "m"))
-    return conversations.select("conv_id", (F.col("turn") * 4 + 3).alias("turn"), "role", "text").unionByName(
-        replies.select("conv_id", (F.col("turn") * 4 + F.col("k")).alias("turn"), "m.role", "m.text"))
+    def result(of: Column, content: Column) -> Column:
+        return F.struct(F.lit("tool").alias("role"), F.to_json(F.struct(of.alias("tool_call_id"), content.alias("content"))).alias("text"))
+
+    replied = made(reply, "reply", {"words": F.when(case == 1, F.lit("many")).otherwise(words), "chars": chars}, size)
+    sized = made(size, "calculate", {"expression": F.concat_ws("+", words, chars)}, last)
+    said = F.array(
+        call(replied, sized), result(size, chars), F.when(case != 2, result(reply, text)), F.when(case == 0, call(replied)), F.when(case == 3, result(reply, text)),
+        F.when(case == 4, call(made(p, "search", {"query": chars}, q), made(q, "search", {"query": words}, p))), F.when(case == 4, result(F.concat(F.lit("x"), turn), chars)))
+    replies = conversations.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(said).alias("k", "m")).where("m IS NOT NULL")
+    return conversations.select("conv_id", (F.col("turn") * 8 + 7).alias("turn"), "role", "text").unionByName(
+        replies.select("conv_id", (F.col("turn") * 8 + F.col("k")).alias("turn"), "m.role", "m.text"))
 
 
 def tool_report(spark: SparkSession, sf_dir: str) -> DataFrame:

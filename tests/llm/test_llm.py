@@ -274,6 +274,36 @@ def test_tool_calls_link_and_order(spark):
     assert chat_tools.link_tools(df.limit(0)).count() == 0
 
 
+def test_derived_calls_form_one_chain_with_flaws(spark):
+    talk = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"text {c} {t}") for c in range(12) for t in range(20)], "conv_id long, turn long, role string, text string")
+    got = chat_tools.link_tools(chat_tools.as_tool_traffic(talk)).toPandas()
+    calls = got[(got["kind"] == "call") & (got["status"] != "repeated")]
+    for r in calls.itertuples():
+        t = int(r.id[1:])
+        assert r.level == {"s": t - 1, "r": t}.get(r.id[0], -1)
+    assert set(got["status"]) == {"plain", "linked", "repeated", "open", "orphan"}
+    assert "words is no integer" in set(calls["fault"]) and (calls["level"] == -1).any()
+
+
+def test_levels_match_brute_force_in_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    after = {(1, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(200)}
+    after |= {(2, f"c{i}"): [f"c{k}" for k in sorted({int(k) for k in rng.integers(0, i, min(i, 2))})] + ["gone"] for i in range(60)}
+    after |= {(3, "a"): ["c"], (3, "b"): ["a"], (3, "c"): ["b"], (3, "d"): ["c", "e"], (3, "e"): [], (3, "f"): ["f"], (3, "g"): ["e", "e"]}
+    want = {}
+    while True:
+        new = {k: 1 + max((want[k[0], b] for b in v if (k[0], b) in after), default=-1) for k, v in after.items() if k not in want and all((k[0], b) in want for b in v if (k[0], b) in after)}
+        if not new:
+            break
+        want |= new
+    rounds = []
+    monkeypatch.setattr(chat_tools, "staged", lambda df, label, real=chat_tools.staged: rounds.append(label) or real(df, label))
+    df = spark.createDataFrame([(*k, v) for k, v in after.items()], "conv_id long, id string, after array<string>")
+    got = {(r["conv_id"], r["id"]): r["level"] for r in chat_tools.levels(df).collect()}
+    assert got == {k: want.get(k, -1) for k in after}
+    assert len(rounds) <= 100
+
+
 def test_decontamination_finds_verbatim_and_paraphrased_passages(spark, docs, none):
     rng = np.random.default_rng(5)
     common, rare = [f"c{k}" for k in range(40)], [f"r{k}" for k in range(4000)]
