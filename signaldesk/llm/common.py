@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows that one Arrow batch may hold; texts are long, so a batch stays at a few MB.
+#: Rows and bytes that one Arrow batch may hold: whichever is reached first ends it, so long texts come in small batches.
 BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
 
 #: Word separators of the word contracts: space and the ASCII controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of texts can hold in a Python worker."""
+    """Bound what one Arrow batch of texts can hold in a Python worker.
+
+    The bound in bytes is the same for every operator, so it holds for plans that run after another operator was built.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signaldesk.llm import bpe, chat_tools, decontam, licenses, quality_model, quality_rules, shards, simhash, toxicity, url_filters
+from signaldesk.llm import bpe, chat_tools, decontam, licenses, phrases, quality_model, quality_rules, shards, simhash, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shard_report,
@@ -19,8 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat_tools.tool_report,
     "op9_decontamination": decontam.leak_report,
     "op10_license_scans": licenses.license_report,
+    "op11_phrases": phrases.collocation_report,
+    "op12_token_counts": token_counts.count_report,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.QUALITY_SQL,
     "op6_url_filters": url_filters.URL_SQL,
+    "op11_phrases": phrases.COLLOCATION_SQL,
 }
