@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signaldesk.llm import bpe, chat_tools, decontam, licenses, phrases, quality_model, quality_rules, shards, simhash, token_counts, toxicity, url_filters
+from signaldesk.llm import alignment, bpe, chat_tools, decontam, licenses, phrases, quality_model, quality_rules, shards, simhash, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": shards.shard_report,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scans": licenses.license_report,
     "op11_phrases": phrases.collocation_report,
     "op12_token_counts": token_counts.count_report,
+    "op13_alignment": alignment.alignment_report,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.QUALITY_SQL,
