@@ -40,10 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: For rows of some MB each: the writer looks after every row whether its buffer is full, not after every hundredth.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def staged(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage is cut, a lost executor costs one scan."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,12 +28,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from signaldesk.llm.common import small_batches, staged, table
+from signaldesk.llm.common import LARGE_ROWS, small_batches, staged, table
 
-SHARD_WORDS = 1 << 20      # words of a shard; one text adds at most as many at a time
-RANGE_WORDS = 1 << 21      # words that a prefix range should hold
+SHARD_WORDS = 1 << 19      # words of a shard; one text adds at most as many at a time
+RANGE_WORDS = 1 << 19      # words that a prefix range should hold
 SAMPLES = 64               # n-grams of a shard that shape the ranges
-FAN = 256                  # shards whose parts meet in one union
+FAN = 2_048                # shards whose parts meet in one union
 BITS = 21                  # of a word's number within a shard
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10)
 BREAK = b"\xff"            # stands between pieces; no UTF-8 text holds this byte
@@ -434,7 +434,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int
 
     ``inside``: a candidate goes if a longer one that holds it has at least this share of its count, in percent.
     """
-    shards = staged(shard_transducers(docs).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    shards = staged(shard_transducers(docs).withColumn("shard", F.monotonically_increasing_id()), "shards", LARGE_ROWS)
     cuts = splitters(shards, range_words)
     counts = staged(range_counts(tree_unions(range_blobs(shards, cuts), shards.count()), least), "counts")
     totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
