@@ -246,7 +246,7 @@ def to_row(x: Fragment) -> list:
 
 
 def from_row(r) -> Fragment:
-    return Fragment(list(r.head_a), list(r.head_b), [r.groups] if r.groups else [], [r.pairs] if r.pairs else [], list(r.tail_a), list(r.tail_b), r.n_a, r.n_b, r.cut, r.ok)
+    return Fragment(r.head_a.tolist(), r.head_b.tolist(), [r.groups] if r.groups else [], [r.pairs] if r.pairs else [], r.tail_a.tolist(), r.tail_b.tolist(), r.n_a, r.n_b, r.cut, r.ok)
 
 
 def long_texts(docs: DataFrame, path_a: str, path_b: str, chunk: int, piece: int, fan: int) -> DataFrame:

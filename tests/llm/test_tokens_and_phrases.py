@@ -88,7 +88,7 @@ def test_groups_equal_plain_alignment(chunk, byte_model, piece_model):
 
 
 def test_fragments_compose_in_any_tree(byte_model, piece_model):
-    pair = alignment.Pair(bpe.vocabulary_path(), token_counts.vocabulary_path(), 4)
+    pair = alignment.Pair(bpe.vocabulary_path(), token_counts.vocabulary_path(), 2)
     text = " " + "".join(texts(12, 4))
     a, b = byte_model.encode(text, add_special_tokens=False).ids, piece_model.encode(text[1:])
     parts, rng = pair.ranges(a, b), random.Random(5)
