@@ -467,24 +467,23 @@ def _(spark, sf):
 
 _STAGED = f"""
     , w AS (SELECT DISTINCT company_id FROM watchlist_members),
-      f1 AS (SELECT * FROM filings WHERE status IN ('pending', 'failed', 'stale') AND attempts < 3 AND filed_at >= {S.AF} - INTERVAL 21 DAY AND ingest_origin = 'sec_poll'
-        ORDER BY filed_at DESC, filing_id DESC LIMIT 200),
+      f1 AS (SELECT * FROM filings WHERE status IN ('pending', 'failed', 'stale') AND attempts < 3 AND filed_at >= {S.AF} - INTERVAL 21 DAY AND ingest_origin = 'sec_poll'),
       f2 AS (SELECT f1.*, coalesce(p.pct, 0.0) AS cap, {S.recency('filed_at', S.AF)} AS rec, f1.company_id IN (SELECT company_id FROM w) AS watched FROM f1 LEFT JOIN percentile p ON p.company_id = f1.company_id),
       f3 AS (SELECT *, {S.cents(f"0.30 * {S.form_base('normalized_form_type', 50.0)} + 0.30 * {S.material("concat_ws(' ', title, event_type, nullif(array_to_string(item_numbers, ' '), ''))")} + 0.20 * cap + 0.20 * rec + CASE WHEN watched THEN 20.0 ELSE 0.0 END")} AS cheap FROM f2),
-      f4 AS (SELECT *, row_number() OVER (ORDER BY cheap DESC, filed_at DESC, filing_id DESC) AS place FROM f3 QUALIFY place <= 50),
+      f4 AS (SELECT * FROM f3),
       f5 AS (SELECT f4.*, {S.cents(f"0.30 * {S.form_base('f4.normalized_form_type', 50.0)} + 0.30 * {S.material('t.raw_text')} + 0.20 * cap + 0.20 * rec")} + CASE WHEN watched THEN 20.0 ELSE 0.0 END AS priority
         FROM f4 JOIN filing_text t ON t.filing_id = f4.filing_id),
-      qf AS (SELECT 'filing' AS queue, filing_id AS item_id, priority, row_number() OVER (ORDER BY priority DESC, place) AS rk, watched OR normalized_form_type = '8-K' OR
+      qf AS (SELECT 'filing' AS queue, filing_id AS item_id, priority, row_number() OVER (ORDER BY priority DESC, cheap DESC, filed_at DESC, filing_id DESC) AS rk, watched OR normalized_form_type = '8-K' OR
           coalesce(event_type IN {S.listed(K.FILING_OVERRIDE_EVENTS)}, false) AS eligible, normalized_form_type IN {S.listed(K.FILING_FULL_TIER_FORMS)} OR watched OR
           coalesce(event_type IN {S.listed(K.FILING_FULL_TIER_EVENTS)}, false) AS full_tier FROM f5),
       hit AS (SELECT DISTINCT news_id FROM (SELECT news_id, unnest(company_tag_ids) AS c FROM news) WHERE c IN (SELECT company_id FROM w)),
       ncap AS (SELECT news_id, max(pct) AS cap FROM (SELECT news_id, unnest(company_tag_ids) AS company_id FROM news) t JOIN percentile p ON t.company_id = p.company_id GROUP BY 1),
-      n1 AS (SELECT * FROM news WHERE status IN ('pending', 'failed', 'stale') AND attempts < 3 AND published_at >= {S.AN} - INTERVAL 5 DAY ORDER BY published_at DESC, news_id DESC LIMIT 320),
+      n1 AS (SELECT * FROM news WHERE status IN ('pending', 'failed', 'stale') AND attempts < 3 AND published_at >= {S.AN} - INTERVAL 5 DAY),
       n2 AS (SELECT n1.*, coalesce(c.cap, 0.0) AS cap, {S.recency('published_at', S.AN)} AS rec, h.news_id IS NOT NULL AS watched FROM n1 LEFT JOIN ncap c ON c.news_id = n1.news_id
         LEFT JOIN hit h ON h.news_id = n1.news_id),
       n3 AS (SELECT *, {S.cents(f"0.25 * source_weight * 100.0 + 0.30 * {S.material('excerpt')} + 0.15 * cap + 0.30 * rec")} AS base FROM n2),
-      n4 AS (SELECT *, row_number() OVER (ORDER BY base + CASE WHEN watched THEN 20.0 ELSE 0.0 END DESC, published_at DESC, news_id DESC) AS place FROM n3 QUALIFY place <= 80),
-      qn AS (SELECT 'news' AS queue, news_id AS item_id, base + CASE WHEN watched THEN 20.0 ELSE 0.0 END AS priority, row_number() OVER (ORDER BY base + CASE WHEN watched THEN 20.0 ELSE 0.0 END DESC, place) AS rk,
+      n4 AS (SELECT * FROM n3),
+      qn AS (SELECT 'news' AS queue, news_id AS item_id, base + CASE WHEN watched THEN 20.0 ELSE 0.0 END AS priority, row_number() OVER (ORDER BY base + CASE WHEN watched THEN 20.0 ELSE 0.0 END DESC, published_at DESC, news_id DESC) AS rk,
           is_official OR coalesce(event_type IN {S.listed(K.NEWS_OVERRIDE_EVENTS)}, false) OR watched AS eligible,
           is_official OR coalesce(event_type IN {S.listed(K.NEWS_FULL_TIER_EVENTS)}, false) OR watched AS full_tier FROM n4),
       qa AS (SELECT * FROM qf UNION ALL SELECT * FROM qn)
@@ -492,16 +491,17 @@ _STAGED = f"""
 _STAGED_VIEWS = ("filings", "filing_text", "news", "percentile", "watchlist_members")
 
 
-def _candidates(spark, sf):
-    c, m = V.companies(spark, sf), V.watchlist_members(spark, sf)
-    return (ENR.filing_candidates(V.filings(spark, sf), V.filing_text(spark, sf), c, m, AF, 3),
-            ENR.news_candidates(V.news(spark, sf), c, m, AN, 8))
+def _queues(spark, sf):
+    c, m, n = V.companies(spark, sf), V.watchlist_members(spark, sf), V.news(spark, sf)
+    return ((ENR.filing_queue(V.filings(spark, sf), c, m, AF), ENR.filing_texts(V.filing_text(spark, sf)), ENR.filing_score),
+            (ENR.news_queue(n, c, m, AN), ENR.news_texts(n), ENR.news_score))
 
 
 @query("srt_6_staged_candidates", S.sql(_STAGED + """
-    SELECT queue, item_id, CAST(rk AS INT) AS rank, round(priority, 2) AS priority, eligible, CASE WHEN full_tier THEN 'full_ai' ELSE 'short_ai' END AS tier FROM qa""", *_STAGED_VIEWS))
+    SELECT queue, item_id, CAST(rk AS INT) AS rank, round(priority, 2) AS priority, eligible, CASE WHEN full_tier THEN 'full_ai' ELSE 'short_ai' END AS tier FROM qa
+    WHERE rk <= CASE WHEN queue = 'filing' THEN 50 ELSE 80 END""", *_STAGED_VIEWS))
 def _(spark, sf):
-    f, n = _candidates(spark, sf)
+    f, n = (ENR.candidates(*q, k).select("queue", "item_id", "rank", "priority", "eligible", "tier") for q, k in zip(_queues(spark, sf), (50, 80)))
     return f.unionByName(n).select("queue", "item_id", "rank", F.round("priority", 2).alias("priority"), "eligible", "tier")
 
 
@@ -513,8 +513,8 @@ def _(spark, sf):
           CASE WHEN s.ok THEN s.bk END, CASE WHEN s.ok THEN s.tr END
         FROM (SELECT x.*, x.bk IS NOT NULL AND x.tr IS NOT NULL AND x.took < x.mx AS ok FROM (SELECT q.queue, q.rk, q.item_id, k.p, k.o, k.fu, k.sh, k.took, k.mx,
             CASE WHEN k.p > 0 THEN 'primary' WHEN q.eligible AND k.o > 0 THEN 'override' END AS bk, CASE WHEN q.full_tier AND k.fu > 0 THEN 'full_ai' WHEN k.sh > 0 THEN 'short_ai' END AS tr
-          FROM walk k JOIN qa q ON q.queue = k.queue AND q.rk = k.rk + 1) x) s)
-    SELECT queue, item_id, CAST(rk AS INT) AS rank, budget_kind, tier FROM walk WHERE tier IS NOT NULL""", *_STAGED_VIEWS)[5:])
+          FROM walk k JOIN qa q ON q.queue = k.queue AND q.rk = k.rk + 1 WHERE k.took < k.mx) x) s)
+    SELECT queue, item_id, CAST(took AS INT) AS rank, budget_kind, tier FROM walk WHERE tier IS NOT NULL""", *_STAGED_VIEWS)[5:])
 def _(spark, sf):
-    f, n = _candidates(spark, sf)
-    return ENR.selection(f, "filing", 3).unionByName(ENR.selection(n, "news", 8))
+    f, n = _queues(spark, sf)
+    return ENR.selection(*f, "filing", 3).unionByName(ENR.selection(*n, "news", 8))

@@ -95,21 +95,20 @@ _ADMIT = f"""
         FROM (SELECT x.*, x.bk IS NOT NULL AND x.tr IS NOT NULL AND x.took < 25 AS ok FROM (
           SELECT q.queue, q.rk, q.item_id, k.p, k.o, k.fu, k.sh, k.took, CASE WHEN k.p > 0 THEN 'primary' WHEN q.eligible AND k.o > 0 THEN 'override' END AS bk,
             CASE WHEN q.full_tier AND k.fu > 0 THEN 'full_ai' WHEN k.sh > 0 THEN 'short_ai' END AS tr
-          FROM walk k JOIN q ON q.queue = k.queue AND q.rk = k.rk + 1 WHERE q.rk <= 80) x) s)
+          FROM walk k JOIN q ON q.queue = k.queue AND q.rk = k.rk + 1) x) s)
     """
 
 
 @query("win_7_budgeted_admission", "WITH RECURSIVE " + S.sql(_ADMIT + """
-    SELECT queue, item_id, CAST(rk AS INT) AS rank, budget_kind, tier FROM walk WHERE tier IS NOT NULL""", "news", "watchlist_members")[5:])
+    SELECT queue, item_id, CAST(took AS INT) AS rank, budget_kind, tier FROM walk WHERE tier IS NOT NULL""", "news", "watchlist_members")[5:])
 def _(spark, sf):
     n = G.flag_watched(V.news(spark, sf).filter(F.col("status").isin(*K.QUEUE_STATUSES) & (F.col("attempts") < 3)),
                        V.watchlist_members(spark, sf), "news_id")
     n = n.withColumn("queue", F.date_format("published_at", "yyyy-MM-dd"))
-    best = RK.top_n(n, ["queue"], RK.importance_order("published_at", "news_id"), 80, rank="rank")
-    cand = best.select("queue", F.col("news_id").alias("item_id"), "rank",
+    cand = n.select("queue", F.col("news_id").alias("item_id"), "composite_score", "published_at",
                        C.news_override_eligible("is_official", "event_type", "watched").alias("eligible"),
                        C.news_tier("is_official", "event_type", "watched").alias("tier"), F.lit(0).cast("bigint").alias("micro"))
-    return admission.admit(cand, primary=12, override=8, full=8, short=30, limit=25)
+    return admission.admit(cand, RK.importance_order("published_at", "item_id"), primary=12, override=8, full=8, short=30, limit=25)
 
 
 @query("win_8_group_page", S.sql("""

@@ -111,8 +111,12 @@ def news_pending(title, body, source_weight, market, recency) -> dict[str, Colum
 
 def filing_queue_priority(norm_form, text, market, recency, watched=None) -> Column:
     """Full-text priority; the watchlist bonus is added after rounding."""
+    return filing_queue_priority_of(norm_form, material_score(text), market, recency, watched)
+
+
+def filing_queue_priority_of(norm_form, material, market, recency, watched=None) -> Column:
     base = form_base(norm_form, K.FORM_BASE_QUEUE_DEFAULT)
-    score = cents(0.30 * base + 0.30 * material_score(text) + 0.20 * col(market) + 0.20 * col(recency))
+    score = cents(0.30 * base + 0.30 * col(material) + 0.20 * col(market) + 0.20 * col(recency))
     return score if watched is None else score + F.when(col(watched), 20.0).otherwise(0.0)
 
 
@@ -126,8 +130,12 @@ def filing_cheap_priority(norm_form, title, description, event_type, item_array,
 
 
 def news_queue_priority(source_weight, body, market, recency, watched=None) -> Column:
+    return news_queue_priority_of(source_weight, material_score(body), market, recency, watched)
+
+
+def news_queue_priority_of(source_weight, material, market, recency, watched=None) -> Column:
     weight = F.when(F.coalesce(col(source_weight), F.lit(0.0)) == 0, 0.5).otherwise(col(source_weight))
-    score = cents(0.25 * weight * 100.0 + 0.30 * material_score(body) + 0.15 * col(market)
+    score = cents(0.25 * weight * 100.0 + 0.30 * col(material) + 0.15 * col(market)
                   + 0.30 * col(recency))
     return score if watched is None else cents(score + F.when(col(watched), 20.0).otherwise(0.0))
 
