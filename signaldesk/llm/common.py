@@ -51,6 +51,25 @@ def staged(df: DataFrame, label: str, options: dict[str, str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a table by buckets of ``key``, sorted in each: joins on the key read it as it lies, without an exchange."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more (what was made of them is written itself)."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.toUri().getPath().startswith(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).toUri().getPath()):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that no column of the input has, whatever its case."""
     taken = {c.lower() for c in columns}

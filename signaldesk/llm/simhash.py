@@ -28,13 +28,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from signaldesk.llm.common import fresh, small_batches, staged, table
+from signaldesk.llm.common import bucketed, discard, fresh, small_batches, staged, table
 
 SAMPLE = 1 << 15         # fingerprints that shape the tree
 LEAF = 2_000             # nodes a leaf should hold
 SEED = 42
 SIMILAR = (4, 5)         # least similarity of near copies in the pipeline, as a fraction
 BANDS, ROWS = 24, 5      # minima that find its candidates
+PHASES = (0, 1), (1, 4), (4, BANDS)   # bands looked at together
+GROUP = 256              # pairs of a leader that are checked together
 MIX = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -322,60 +324,81 @@ def shingle_bands(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts have a Jaccard similarity of at least SIMILAR over their five-word shingles."""
+    """Pairs (leader, node) whose texts have a Jaccard similarity of at least SIMILAR over their five-word shingles.
+
+    A leader's pairs are dealt to groups of about ``GROUP``; a group gets each member's text and the leader's text once.
+    ``texts`` is bucketed by node, so it is not exchanged again.
+    """
     small_batches(pairs.sparkSession, 200)
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = staged(texts.join(some, "node").select("node", F.col("text").cast("binary").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+    held = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = staged(pairs.join(held, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), "groups").alias("group")), "dealt")
+    members = dealt.join(texts.hint("merge"), "node").select("leader", "group", "node", F.col("text").alias("right"))
+    leaders = dealt.select("leader", "group").distinct().join(texts.select(F.col("node").alias("leader"), F.col("text").alias("left")).hint("merge"), "leader")
+    both = members.join(leaders.hint("merge"), ["leader", "group"]).select("leader", "node", "left", "right")
 
     def check(parts):
+        last, x = None, set()
         for pdf in parts:
             ok = np.zeros(len(pdf), bool)
-            for i, (left, right) in enumerate(zip(pdf["left"], pdf["right"])):
-                x, y = shingles_of(left), shingles_of(right)
+            for i, (leader, left, right) in enumerate(zip(pdf["leader"], pdf["left"], pdf["right"])):
+                if leader != last:
+                    last, x = leader, shingles_of(left)
+                y = shingles_of(right)
                 shared = len(x & y)
                 ok[i] = SIMILAR[1] * shared >= SIMILAR[0] * (len(x) + len(y) - shared)
-            yield pdf.loc[ok, ["a", "b"]]
+            yield pd.DataFrame({"a": pdf["leader"][ok], "b": pdf["node"][ok]})
 
-    return staged(both.mapInPandas(check, "a long, b long"), "similar")
+    found = staged(both.mapInPandas(check, "a long, b long"), "similar")
+    discard(dealt)
+    return found
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the components over all similar pairs that share a band; nodes: node, n, bands, written already.
 
-    In each round some members of a bucket lead: each is checked against all others of the bucket that are not in its
-    component yet, and then leaves the bucket.  A bucket is done when one component holds the rest of it, so every
-    candidate pair is either checked or joined already, and a large group of copies costs one pair a member.
+    Bands are taken in ``PHASES``: what the first ones join needs no more checks in the later ones.  In each round some
+    members of a bucket lead: each is checked against all others of the bucket that are not in its component yet, and
+    then leaves the bucket.  A bucket is done when one component holds the rest of it, so every candidate pair is either
+    checked or joined already, and a large group of copies costs about one pair a member.
     """
-    members = staged(nodes.select(F.explode("bands").alias("bucket"), "node", "n"), "members")
+    spark = nodes.sparkSession
+    members = staged(nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n"), "members")
     shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = staged(members.join(shared, "bucket"), "members")
-    stars = staged(nodes.sparkSession.createDataFrame([], "node long, root long"), "stars")
-    tested = staged(nodes.sparkSession.createDataFrame([], "a long, b long"), "tested")
-    lead = 1
-    while True:
-        rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-        parts = staged(rooted.groupBy("bucket", "root").agg(F.count("*").alias("k")), "parts")
-        main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
-        main = staged(main.where("parts > 1").select("bucket", "main"), "main")
-        if main.isEmpty():
-            return stars
-        rooted = staged(rooted.join(main, "bucket"), "rooted")
-        nth = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        leaders = rooted.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
-        leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
-        # The ratio of the sizes bounds the similarity.
-        fits = F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]
-        met = rooted.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & fits)
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        edges = similar_pairs(pairs, texts)
-        if not edges.isEmpty():
-            stars = staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
-        members = staged(rooted.select("bucket", "node", "n").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "members")
-        lead = min(lead * 8, 512)
+    all_members = staged(members.join(shared, "bucket"), "shared")
+    discard(members)
+    texts = bucketed(texts.join(all_members.select("node").distinct(), "node", "left_semi").select("node", F.col("text").cast("binary").alias("text")), "node")
+    stars = staged(spark.createDataFrame([], "node long, root long"), "stars")
+    tested = staged(spark.createDataFrame([], "leader long, node long"), "tested")
+    for low, high in PHASES:
+        members, lead = all_members.where(F.col("band").between(low, high - 1)).drop("band"), 1
+        while True:
+            rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+            parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+            main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
+            main = staged(main.where("parts > 1").select("bucket", "main"), "main")
+            if main.isEmpty():
+                break
+            left = staged(rooted.join(main, "bucket"), "left")
+            nth = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+            leaders = left.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
+            leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
+            # The ratio of the sizes bounds the similarity.
+            fits = F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]
+            met = left.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & fits)
+            # Of two leaders that meet, the smaller one leads.
+            pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), (F.col("leader") < F.col("node")).alias("first"))
+            pairs = pairs.groupBy("a", "b").agg(F.max("first").alias("first")).select(
+                F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("node"))
+            seen = tested.unionByName(tested.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
+            pairs = staged(pairs.join(seen, ["leader", "node"], "left_anti"), "pairs")
+            tested = tested.unionByName(pairs)
+            edges = similar_pairs(pairs, texts)
+            if not edges.isEmpty():
+                stars = staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
+            members = staged(left.select("bucket", "node", "n").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "members")
+            discard(rooted, main, left, leaders)
+            lead = min(lead * 8, 512)
+    return stars
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

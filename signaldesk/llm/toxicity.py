@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signaldesk.llm.common import fresh, keep_where, small_batches, table
+from signaldesk.llm.common import fresh, keep_where, small_batches, staged, table
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,7 @@ class Settings:
     seed: int = 7
 
 
+SLICE = 512   # windows read at once when all are scored
 _JUNK = re.compile(r"[^\w\n]|_")
 GRAMS = (3, 5)
 
@@ -210,43 +211,56 @@ class Network:
         return g
 
 
-def train(windows: list[list[str]], groups: np.ndarray, toxic: np.ndarray, s: Settings = Settings()) -> Network:
-    """windows: token lists; groups: the document of each; toxic: the label of each document."""
+@dataclass
+class Sample:
+    """Training windows as numbers: places of their tokens among the vocabulary's, and the vocabulary's features."""
+
+    index: np.ndarray    # (steps, windows); 0: no token
+    pad: np.ndarray
+    groups: np.ndarray   # the document of each window, from 0 on, in order
+    toxic: np.ndarray    # the label of each document
+    words: np.ndarray
+    grams: np.ndarray
+    owners: np.ndarray
+
+
+def train(sample: Sample, s: Settings = Settings()) -> Network:
     net, rng = Network(s), np.random.default_rng(s.seed)
-    vocab = {t: i for i, t in enumerate(dict.fromkeys(t for w in windows for t in w), 1)}
-    words, grams, owners = Features(s).of(["", *vocab])
-    index = np.zeros((s.window, len(windows)), np.int64)
-    pad = np.ones((s.window, len(windows)), bool)
-    for k, w in enumerate(windows):
-        index[:len(w), k] = [vocab[t] for t in w]
-        pad[:len(w), k] = False
+    index, pad, groups, toxic = sample.index, sample.pad, sample.groups, sample.toxic
+    words, grams, owners = sample.words, sample.grams, sample.owners
     starts = np.flatnonzero(np.append(True, np.diff(groups) != 0))
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     gram_at = np.searchsorted(owners, np.arange(len(words) + 1))
 
     def logits() -> np.ndarray:
-        projected = net.project(net.inputs(words, grams, owners))
-        return np.concatenate([net.forward(projected, index[:, i:i + 2048], pad[:, i:i + 2048])[0] for i in range(0, len(windows), 2048)])
+        out = np.empty(len(groups), np.float32)
+        for i in range(0, len(groups), SLICE):
+            ids, local = np.unique(index[:, i:i + SLICE], return_inverse=True)
+            out[i:i + SLICE] = net.forward(net.project(net.inputs(*chosen(ids))), local.reshape(s.window, -1), pad[:, i:i + SLICE])[0]
+        return out
+
+    def chosen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of some tokens of the vocabulary."""
+        n = gram_at[ids + 1] - gram_at[ids]
+        return words[ids], grams[np.repeat(gram_at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(ids)), n)
 
     step = 0
     for epoch in range(s.epochs):
         if epoch:
             scores = logits()
-            top = np.array([a + np.argmax(scores[a:b]) for a, b in zip(starts, np.append(starts[1:], len(windows)))])
+            top = np.array([a + np.argmax(scores[a:b]) for a, b in zip(starts, np.append(starts[1:], len(groups)))])
             clean = np.flatnonzero(toxic[groups] == 0)
             hard = clean[np.argsort(-scores[clean])[:2 * len(starts)]]
             take = np.concatenate([top, hard, rng.choice(clean, min(len(clean), len(starts)), replace=False)])
         else:
-            take = np.concatenate([starts + rng.integers(0, np.diff(np.append(starts, len(windows)))) for _ in range(4)])
+            take = np.concatenate([starts + rng.integers(0, np.diff(np.append(starts, len(groups)))) for _ in range(4)])
         take = rng.permutation(take)
         for i in range(0, len(take), s.batch):
             cols = take[i:i + s.batch]
             ids, local = np.unique(index[:, cols], return_inverse=True)
             local, blank = local.reshape(s.window, -1), pad[:, cols]
-            n = gram_at[ids + 1] - gram_at[ids]
-            own = np.repeat(np.arange(len(ids)), n)
-            mine = grams[np.repeat(gram_at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            seen = np.where(rng.random(len(ids)) < s.hidden_words, 0, words[ids])
+            known, mine, own = chosen(ids)
+            seen = np.where(rng.random(len(ids)) < s.hidden_words, 0, known)
             x = net.inputs(seen, mine, own)
             y = toxic[groups[cols]].astype(np.float32)
             logit, memo = net.forward(net.project(x), local, blank, keep=True)
@@ -308,8 +322,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sample_of(windows, vocabulary, s: Settings) -> Sample:
+    """windows: doc_id, toxic, at, keys; vocabulary: key, word, grams; both Arrow tables."""
+    key = vocabulary["key"].to_numpy()
+    key, first = np.unique(key, return_index=True)
+    held = vocabulary["grams"].combine_chunks().take(first)
+    length = np.diff(held.offsets.to_numpy())
+    order = np.lexsort((windows["at"].to_numpy(), windows["doc_id"].to_numpy()))
+    parts = windows["keys"].combine_chunks().take(order)
+    ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    flat = 1 + np.searchsorted(key, parts.flatten().to_numpy())
+    steps = np.arange(s.window)[:, None]
+    size = np.diff(ends)
+    pad = steps >= size
+    index = np.zeros(pad.shape, np.int32)
+    index.T[~pad.T] = flat
+    groups, ids = pd.factorize(windows["doc_id"].to_numpy()[order])
+    toxic = np.zeros(len(ids), np.int64)
+    np.maximum.at(toxic, groups, windows["toxic"].to_numpy()[order])
+    # Token 0 stands for none: no word, no grams.
+    return Sample(index, pad, groups, toxic, np.append(0, vocabulary["word"].to_numpy()[first]), held.flatten().to_numpy().astype(np.int32), np.repeat(np.arange(1, len(key) + 1), length))
+
+
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[Network | None, float]:
-    """The network, or None and the share of toxic labels."""
+    """The network, or None and the share of toxic labels.
+
+    Workers cut the windows and number their tokens; the driver gets numbers alone, of at most ``per_class`` documents of
+    ``most_windows`` windows each, one text an id (of several, the first in order).
+    """
+    small_batches(docs.sparkSession, 500)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     ids = None
     for value, most in enumerate(s.per_class):
@@ -324,18 +365,28 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[N
                 words = tokens_of(text)
                 spans = windows_of(len(words), s)
                 if len(spans) <= s.most_windows:
-                    rows += [(doc, int(toxic), "\n".join(words[a:b])) for a, b in spans]
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "tokens"])
+                    rows += [(doc, int(toxic), at, words[a:b]) for at, (a, b) in enumerate(spans)]
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "at", "tokens"])
 
-    # The ids are at most few rows, whatever the input.
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids.limit(few)), "doc_id").mapInPandas(cut, "doc_id long, toxic int, tokens string").toPandas()
-    if sample["toxic"].nunique() < 2:
+    def features(parts):
+        made = Features(s)
+        for pdf in parts:
+            word, grams, owners = made.of(list(pdf["token"]))
+            ends = np.searchsorted(owners, np.arange(len(pdf) + 1)).tolist()
+            yield pd.DataFrame({"key": pdf["key"], "word": word, "grams": pd.Series([grams[a:b] for a, b in zip(ends, ends[1:])], index=pdf.index, dtype=object)})
+
+    # The ids are at most few rows, whatever the input; both labels of an id count as toxic.
+    known = docs.select("doc_id", "text").join(F.broadcast(ids.limit(few)), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    windows = staged(known.mapInPandas(cut, "doc_id long, toxic int, at int, tokens array<string>"), "windows")
+    if windows.select("toxic").distinct().count() < 2:
         share = usable.agg(F.avg("toxic")).first()[0]
         return None, float(share or 0)
-    sample = sample.sort_values(["doc_id", "tokens"], kind="stable")
-    groups, _ = pd.factorize(sample["doc_id"])
-    toxic = sample.groupby(groups)["toxic"].max().to_numpy()
-    return train([t.split("\n") if t else [] for t in sample["tokens"]], groups, toxic, s), 0.0
+    tokens = windows.select(F.explode("tokens").alias("token")).distinct().select(F.xxhash64("token").alias("key"), "token")
+    vocabulary = tokens.mapInPandas(features, "key long, word int, grams array<int>").toArrow()
+    numbered = windows.select("doc_id", "toxic", "at", F.transform("tokens", lambda t: F.xxhash64(t)).alias("keys")).toArrow()
+    sample = sample_of(numbered, vocabulary, s)
+    del vocabulary, numbered
+    return train(sample, s), 0.0
 
 
 def with_score(docs: DataFrame, net: Network | None, prior: float, name: str = "score") -> DataFrame:
