@@ -142,16 +142,17 @@ def _(spark, sf):
 def _rerank_sql(pct):
     return f"""
     , k AS (SELECT filing_id, lag(filing_id) OVER (PARTITION BY company_id, {_GRP} ORDER BY filed_at, filing_id) AS prior_id FROM filings),
-      ft AS (SELECT filing_id, {S.material('raw_text')} AS mat, CASE WHEN len({_NUMS}) > 0 THEN list_sum({_NUMS}) / len({_NUMS}) END AS mean,
-        list_distinct(regexp_split_to_array(lower(raw_text), '\\s+')) AS ws FROM filing_text),
+      ft AS (SELECT filing_id, {S.material('raw_text')} AS mat, CASE WHEN len({_NUMS}) > 0 THEN list_sum({_NUMS}) / len({_NUMS}) END AS mean FROM filing_text)
+    {S.SHARED_WORDS.format(links="SELECT k.* FROM k JOIN filings f ON f.filing_id = k.filing_id AND f.status = 'complete'")},
       x AS (SELECT f.filing_id, f.company_id, f.status, f.normalized_form_type, f.event_type, f.filed_at, k.prior_id, c.market_cap IS NOT NULL AS has_cap, coalesce(p.pct, 0.0) AS cap,
           {S.form_base('normalized_form_type', 55.0)} AS base, {S.recency('filed_at', S.AF)} AS rec, a.mat, f.importance_score AS llm,
           CASE WHEN a.mean IS NULL THEN 10.0::DOUBLE WHEN b.mean IS NULL THEN 55.0 WHEN b.mean = 0 THEN 60.0 ELSE
             {S.cents('least(abs(a.mean - b.mean) / greatest(abs(b.mean), 1.0) * 100.0, 100.0)')} END AS quant,
           CASE WHEN b.filing_id IS NULL THEN 65.0::DOUBLE WHEN f.status = 'complete' THEN
-            {S.cents('(1.0 - len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(list_concat(a.ws, b.ws)))) * 100.0')} END AS nov
+            {S.cents('(1.0 - coalesce(sh.n, 0)::DOUBLE / (wa.n + wb.n - coalesce(sh.n, 0))) * 100.0')} END AS nov
         FROM filings f JOIN {pct[0]} c ON c.company_id = f.company_id AND c.is_active LEFT JOIN {pct[1]} p ON p.company_id = f.company_id JOIN k ON k.filing_id = f.filing_id
-          JOIN ft a ON a.filing_id = f.filing_id LEFT JOIN ft b ON b.filing_id = k.prior_id),
+          JOIN ft a ON a.filing_id = f.filing_id LEFT JOIN ft b ON b.filing_id = k.prior_id LEFT JOIN shared sh ON sh.filing_id = f.filing_id
+          LEFT JOIN word_counts wa ON wa.filing_id = f.filing_id LEFT JOIN word_counts wb ON wb.filing_id = k.prior_id),
       y AS (SELECT *, CASE WHEN status = 'complete' THEN {S.cents('0.25 * nov + 0.20 * quant + 0.15 * mat + 0.15 * llm + 0.25 * rec')}
           ELSE {S.cents('0.35 * base + 0.30 * mat + 0.35 * rec')} END AS imp FROM x),
       rr AS (SELECT *, CASE WHEN status = 'complete' THEN {S.cents('0.20 * cap + 0.50 * imp + 0.30 * rec')} ELSE {S.cents('0.35 * cap + 0.40 * imp + 0.25 * rec')} END AS comp FROM y)

@@ -489,22 +489,16 @@ def _(spark, sf):
     return p.select("filing_id", M.quantitative_delta("mean", "prior.mean").alias("delta"))
 
 
-_PAIR = S.sql("""
-    , c AS (SELECT f.filing_id, f.raw_text AS now, p.raw_text AS prior FROM filing_text f LEFT JOIN filing_text p ON p.filing_id = f.filing_id - 1)
-    """, "filing_text")
-
-
 def _text_pairs(spark, sf):
-    t = V.filing_text(spark, sf).select("filing_id", F.col("raw_text").alias("now"))
+    t = V.filing_text(spark, sf).select("filing_id", M.word_set("raw_text").alias("now"))
     p = t.select((F.col("filing_id") + 1).alias("filing_id"), F.col("now").alias("prior"))
     return t.join(p, "filing_id", "left")
 
 
-@query("mth_3_novelty_words", _PAIR + f"""
-    , w AS (SELECT filing_id, prior IS NULL AS first, list_distinct(regexp_split_to_array(lower(now), '\\s+')) AS a,
-        list_distinct(regexp_split_to_array(lower(prior), '\\s+')) AS b FROM c)
-    SELECT filing_id, CASE WHEN first THEN 65.0::DOUBLE ELSE {S.cents('(1.0 - len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) * 100.0')}
-      END AS novelty FROM w""")
+@query("mth_3_novelty_words", S.sql(S.SHARED_WORDS.format(links="SELECT filing_id, filing_id - 1 AS prior_id FROM filing_text") + f"""
+    SELECT t.filing_id, CASE WHEN p.filing_id IS NULL THEN 65.0::DOUBLE ELSE {S.cents('(1.0 - coalesce(s.n, 0)::DOUBLE / (a.n + b.n - coalesce(s.n, 0))) * 100.0')} END AS novelty
+    FROM filing_text t LEFT JOIN filing_text p ON p.filing_id = t.filing_id - 1 LEFT JOIN word_counts a ON a.filing_id = t.filing_id
+      LEFT JOIN word_counts b ON b.filing_id = p.filing_id LEFT JOIN shared s ON s.filing_id = t.filing_id""", "filing_text"))
 def _(spark, sf):
     return _text_pairs(spark, sf).select("filing_id", M.novelty("now", "prior").alias("novelty"))
 

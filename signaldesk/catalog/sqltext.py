@@ -59,6 +59,22 @@ def has_any(lowered: str, words) -> str:
     return "(" + " OR ".join(f"contains({lowered}, {q(w)})" for w in words) + ")"
 
 
+#: Distinct words of each filing (its title's and its document's, as numbers), how many, and how many it shares with the one it is linked to.
+SHARED_WORDS = """
+    , doc_words AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(regexp_replace(lower(text), '^\\s+', ''), '\\s+'))) AS word
+        FROM documents WHERE text IS NOT NULL),
+      title_words AS (SELECT title, unnest(list_distinct(regexp_split_to_array(lower(title), '\\s+'))) AS word FROM (SELECT DISTINCT title FROM filings)),
+      numbers AS (SELECT word, row_number() OVER () AS no FROM (SELECT word FROM doc_words UNION SELECT word FROM title_words)),
+      doc_numbers AS (SELECT doc_id, no FROM doc_words JOIN numbers USING (word)),
+      title_numbers AS (SELECT title, no FROM title_words JOIN numbers USING (word)),
+      words AS (SELECT filing_id, no FROM filings JOIN doc_numbers ON doc_id = filing_id % (SELECT max(doc_id) + 1 FROM documents)
+        UNION SELECT filing_id, no FROM filing_text JOIN filings USING (filing_id) JOIN title_numbers USING (title)),
+      word_counts AS (SELECT filing_id, count(*) AS n FROM words GROUP BY 1),
+      shared AS (SELECT k.filing_id, count(*) AS n FROM ({links}) k JOIN words a ON a.filing_id = k.filing_id
+        JOIN words b ON b.filing_id = k.prior_id AND b.no = a.no GROUP BY 1)
+    """
+
+
 def material(text: str) -> str:
     low = f"lower(coalesce({text}, ''))"
     total = " + ".join(f"CASE WHEN contains({low}, {q(w)}) THEN {x} ELSE 0.0 END" for w, x in K.MATERIAL_WEIGHTS.items())

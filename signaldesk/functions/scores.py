@@ -53,14 +53,17 @@ def quantitative_delta(mean_now, mean_prior) -> Column:
     )
 
 
+def word_set(text) -> Column:
+    """The distinct words of a whole text as sorted 64-bit hashes; null without text."""
+    words = F.transform(F.split(F.lower(col(text)), r"\s+"), lambda w: F.xxhash64(w))
+    return F.when(F.nullif(col(text), F.lit("")).isNotNull(), F.array_sort(F.array_distinct(words)))
+
+
 def novelty(now, prior) -> Column:
-    """Text dissimilarity 0..100 of whole texts: one minus the Jaccard overlap of word sets; no text 0, no prior text 65."""
-    has_now = F.nullif(col(now), F.lit("")).isNotNull()
-    has_prior = F.nullif(col(prior), F.lit("")).isNotNull()
-    a = F.array_distinct(F.split(F.lower(col(now)), r"\s+"))
-    b = F.array_distinct(F.split(F.lower(col(prior)), r"\s+"))
-    ratio = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    return F.when(~has_now, 0.0).when(~has_prior, 65.0).otherwise(cents((1.0 - ratio) * 100.0))
+    """Text dissimilarity 0..100 by ``word_set`` of both: one minus the Jaccard overlap; no text 0, no prior text 65."""
+    shared = F.size(F.array_intersect(col(now), col(prior)))
+    ratio = shared / (F.size(col(now)) + F.size(col(prior)) - shared)
+    return F.when(col(now).isNull(), 0.0).when(col(prior).isNull(), 65.0).otherwise(cents((1.0 - ratio) * 100.0))
 
 
 def filing_complete(novelty_c, quant, material, llm, recency, market) -> dict[str, Column]:

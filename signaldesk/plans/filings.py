@@ -8,6 +8,7 @@ from signaldesk.functions import classify as C, dates as D, scores as M, summari
 from signaldesk.functions.dates import col
 from signaldesk.operators import filters as O, linking, ranking as RK, sync
 from signaldesk import constants as K
+from signaldesk.runtime import is_small, staged
 
 PENDING_NOTES = ("Pending summary rank uses market cap, filing form weight, material keywords, and recency.",)
 COMPLETE_NOTES = (
@@ -111,8 +112,7 @@ def ingest(raw: DataFrame, stored: DataFrame, companies: DataFrame, as_of, origi
 def rerank(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, company_ids: DataFrame | None = None) -> DataFrame:
     """Rescore filings of active companies against their previous filing.
 
-    Texts are read once for their small features (numbers, keywords); only
-    complete filings with a prior fetch both texts, for the novelty score.
+    Texts are read once, for their features: keywords, numbers and word hashes.
     """
     scope = companies.filter("is_active")
     if company_ids is not None:
@@ -122,18 +122,17 @@ def rerank(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, co
     pct = RK.market_percentiles(companies)
     rows = linked.join(scope.select("company_id", F.col("market_cap").isNotNull().alias("has_cap")), "company_id").join(
         pct, "company_id", "left").withColumn("market", F.coalesce("pct", F.lit(0.0))).drop("pct")
-    features = texts.withColumn("nums", M.number_list("raw_text")).select(
-        "filing_id", M.material_score("raw_text").alias("material"), M.mean_of("nums").alias("mean"))
-    prior_means = features.select(F.col("filing_id").alias("prior_id"), F.col("mean").alias("prior_mean"))
-    complete = rows.filter(F.col("status") == "complete").select("filing_id", "prior_id")
-    body = texts.select("filing_id", "raw_text")
-    pairs = complete.join(body, "filing_id", "left").join(
-        body.select(F.col("filing_id").alias("prior_id"), F.col("raw_text").alias("prior_text")), "prior_id", "left")
-    novelty = pairs.select("filing_id", M.novelty("raw_text", "prior_text").alias("novelty"))
-    rows = rows.join(features, "filing_id", "left").join(prior_means, "prior_id", "left").join(
-        novelty, "filing_id", "left").withColumns({
-            "recency": D.recency_score("filed_at", as_of), "material": F.coalesce("material", F.lit(0.0)),
-            "quant": M.quantitative_delta("mean", "prior_mean")})
+    if company_ids is not None:
+        wanted = rows.select(F.explode(F.array_compact(F.array("filing_id", "prior_id"))).alias("filing_id")).distinct()
+        # A small scope reaches the scan; else the features of all texts are made and the join drops the rest.
+        texts = texts.join(F.broadcast(wanted), "filing_id", "left_semi") if is_small(wanted) else texts
+    # Each text becomes its features where it is read; only they are exchanged.
+    features = staged(texts.withColumn("nums", M.number_list("raw_text")).select(
+        "filing_id", M.material_score("raw_text").alias("material"), M.mean_of("nums").alias("mean"), M.word_set("raw_text").alias("words")), "features")
+    prior = features.select(F.col("filing_id").alias("prior_id"), F.col("mean").alias("prior_mean"), F.col("words").alias("prior_words"))
+    rows = rows.join(features, "filing_id", "left").join(prior, "prior_id", "left").withColumns({
+        "recency": D.recency_score("filed_at", as_of), "material": F.coalesce("material", F.lit(0.0)),
+        "quant": M.quantitative_delta("mean", "prior_mean"), "novelty": M.novelty("words", "prior_words")})
     done = M.filing_complete("novelty", "quant", "material", F.coalesce("importance_score", F.lit(0.0)), "recency", "market")
     wait = M.filing_pending("normalized_form_type", "material", "recency", "market")
     is_done = F.col("status") == "complete"

@@ -89,8 +89,9 @@ def test_material_and_delta(spark):
 
 def test_novelty(spark):
     a, b = "Revenue increased 45%. FDA approval expected", "Revenue increased 5%."
-    r = one(spark, x=M.novelty(lit(a), lit(a)), y=M.novelty(lit(a), lit(None).cast("string")), z=M.novelty(lit(""), lit(b)),
-            w=M.novelty(lit("a b"), lit("b c")))
+    w = lambda t: M.word_set(lit(t))
+    r = one(spark, x=M.novelty(w(a), w(a)), y=M.novelty(w(a), M.word_set(lit(None).cast("string"))), z=M.novelty(w(""), w(b)),
+            w=M.novelty(w("a b"), w("b c")))
     assert (r.x, r.y, r.z, r.w) == (0.0, 65.0, 0.0, 66.67)
 
 
