@@ -54,13 +54,17 @@ def _(spark, sf):
     return sync.new_by_key(incoming, stored, "accession_number").select("filing_id")
 
 
-@query("jn_5_either_key", S.sql("""
+@query("jn_5_either_key", "WITH RECURSIVE " + S.sql("""
     , x AS (SELECT news_id, 'https://s.example/' || (news_id % 997) AS url, sha256(title || (news_id % 211)) AS hash, source_name, composite_score AS score FROM news0),
       kept AS (SELECT * FROM x WHERE url NOT IN (SELECT url FROM x WHERE source_name = 'view' AND score > 100)
         AND hash NOT IN (SELECT hash FROM x WHERE source_name = 'view' AND score > 100)),
-      u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY news_id) AS a FROM kept),
-      h AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY news_id) AS b FROM u WHERE a = 1)
-    SELECT news_id FROM h WHERE b = 1""", "news0"))
+      n AS (SELECT news_id, row_number() OVER (ORDER BY news_id) AS i, dense_rank() OVER (ORDER BY url) - 1 AS u, dense_rank() OVER (ORDER BY hash) - 1 AS h FROM kept),
+      blank AS (SELECT repeat('0', CAST(greatest(max(u), max(h)) + 1 AS INT))::BIT AS z FROM n),
+      walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS news_id, z AS urls, z AS hashes, false AS ok FROM blank
+        UNION ALL SELECT s.i, s.news_id, CASE WHEN s.free THEN set_bit(s.urls, s.u, 1) ELSE s.urls END, CASE WHEN s.free THEN set_bit(s.hashes, s.h, 1) ELSE s.hashes END, s.free
+        FROM (SELECT n.i, n.news_id, k.urls, k.hashes, CAST(n.u AS INT) AS u, CAST(n.h AS INT) AS h,
+            get_bit(k.urls, CAST(n.u AS INT)) = 0 AND get_bit(k.hashes, CAST(n.h AS INT)) = 0 AS free FROM walk k JOIN n ON n.i = k.i + 1) s)
+    SELECT news_id FROM walk WHERE ok""", "news0")[5:])
 def _(spark, sf):
     n = V.news(spark, sf).select(
         "news_id", "source_name", "composite_score", F.concat(F.lit("https://s.example/"), (F.col("news_id") % 997).cast("string")).alias("url"),

@@ -10,6 +10,7 @@ from signaldesk.functions.dates import at
 from signaldesk.operators.ranking import top_n
 
 ANCHOR_CHARS = 8
+SHORTEST = 3
 
 
 def sponsor_aliases(companies: DataFrame) -> DataFrame:
@@ -43,24 +44,44 @@ def _char_grams(text: str, size: int) -> Column:
         F.array().cast("array<string>"))
 
 
+def _grams_up_to(text: str) -> Column:
+    return F.array_distinct(F.flatten(F.array(*[_char_grams(text, size) for size in range(SHORTEST, ANCHOR_CHARS + 1)])))
+
+
+def rarest_part(aliases: DataFrame, parts: Column, held: DataFrame) -> DataFrame:
+    """aliases with ``_k``: of each alias's parts the one that the fewest names hold.
+
+    A name that has all parts has the rarest one, so one equi join on it finds every match, and a part that most names
+    share is used only where an alias has no other.  ``held``: a row (_k) for each part that a name holds.  Aliases with a
+    part that no name holds are left out.
+    """
+    cols = aliases.columns
+    split = aliases.select(*cols, F.explode(F.array_distinct(parts)).alias("_k"))
+    known = held.join(split.select("_k").distinct(), "_k", "left_semi").groupBy("_k").agg(F.count("*").alias("_n"))
+    best = split.join(known, "_k", "left").groupBy(*cols).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("_part"))
+    return best.where("_part.n > 0").select(*cols, F.col("_part._k").alias("_k"))
+
+
+def phrase_candidates(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, _low, company_id, loose): names that hold the rarest characters in a row of an alias phrase."""
+    phrases = aliases.filter(F.length("loose") >= SHORTEST).select("company_id", "loose").distinct()
+    # A phrase is cut into grams as long as itself, up to ANCHOR_CHARS; two-word phrases have at least 3 characters.
+    own = F.when(F.length("loose") <= ANCHOR_CHARS, F.array("loose")).otherwise(_char_grams("loose", ANCHOR_CHARS))
+    held = names.select("name", "_low", F.explode(_grams_up_to("_low")).alias("_k"))
+    return held.join(rarest_part(phrases, own, held.select("_k")), "_k").drop("_k")
+
+
 def name_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, company_id) pairs that pass the existence test.
 
-    Equal trimmed text, equal compact text, or an alias phrase inside the name.
-    Containment is an equi join on the phrase's leading characters against the
-    name's character grams of that length, then a check: no theta join.
+    Equal trimmed text, equal compact text, or an alias phrase inside the name; every join is an equi join.
     """
     n = names.select("name").distinct().withColumn("_low", F.lower("name"))
     by_text = n.withColumn("raw_lower", F.trim("_low")).join(
         aliases.select("raw_lower", "company_id"), "raw_lower").select("name", "company_id")
     by_compact = n.withColumn("compact", F.regexp_replace("_low", "[^a-z0-9]+", "")).join(
         aliases.select("compact", "company_id"), "compact").select("name", "company_id")
-    phrases = aliases.filter(F.col("loose").isNotNull()).select(
-        "company_id", "loose", F.substring("loose", 1, ANCHOR_CHARS).alias("_gram"))
-    # An anchor is as long as its phrase, up to ANCHOR_CHARS; two-word phrases have at least 3 characters.
-    grams = F.array_distinct(F.flatten(F.array(*[_char_grams("_low", size) for size in range(3, ANCHOR_CHARS + 1)])))
-    inside = n.select("name", "_low", F.explode(grams).alias("_gram")).join(phrases, "_gram").filter(
-        F.contains("_low", F.col("loose"))).select("name", "company_id")
+    inside = phrase_candidates(n, aliases).filter(F.contains("_low", F.col("loose"))).select("name", "company_id")
     return by_text.unionByName(by_compact).unionByName(inside).distinct()
 
 
@@ -119,21 +140,20 @@ def name_scores(names: DataFrame, aliases: DataFrame) -> DataFrame:
     Scores depend on names only, so they are made once per distinct name.
     Every way to score is reached by an equi join: equal text, compact or core
     form; an alias that is a leading part of the name; or an alias whose
-    longest word is one of the name's words (the rest is then checked).
+    rarest word is one of the name's words (the rest is then checked).
     """
     n = names.select("name").distinct().withColumns({
         "n_raw": F.lower(F.trim("name")), "n_norm": T.sponsor_text("name"), "n_compact": T.compact_name("name"),
         "n_core": T.core_compact_name("name")}).withColumn("_words", F.split("n_norm", " "))
     a = aliases.select("company_id", "alias_pos", "original", "raw_lower", "norm", "compact", "core")
-    words = F.split("norm", " ")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    by_word = n.withColumn("_k", F.explode(F.array_distinct("_words")))
     heads = F.transform("_words", lambda w, i: F.array_join(F.slice("_words", 1, i + 1), " "))
     keyed = [
         (n.withColumn("_k", F.col("n_raw")), a.withColumn("_k", F.col("raw_lower"))),
         (n.withColumn("_k", F.col("n_compact")), a.withColumn("_k", F.col("compact"))),
         (n.withColumn("_k", F.col("n_core")), a.withColumn("_k", F.col("core"))),
         (n.withColumn("_k", F.explode(heads)), a.withColumn("_k", F.col("norm"))),
-        (n.withColumn("_k", F.explode(F.array_distinct("_words"))), a.filter(F.contains("norm", F.lit(" "))).withColumn("_k", longest)),
+        (by_word, rarest_part(a.filter(F.contains("norm", F.lit(" "))), F.split("norm", " "), by_word.select("_k"))),
     ]
     score = match_score(F.col("n_norm"), F.col("n_raw"), F.col("n_compact"), F.col("n_core"))
     found = None

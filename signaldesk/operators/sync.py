@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signaldesk.operators.ranking import top_n
+from signaldesk.runtime import staged
 
 
 def new_by_key(incoming: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
@@ -14,16 +15,35 @@ def new_by_key(incoming: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
 
 
 def new_by_either(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...], ordinal: str) -> DataFrame:
-    """Rows none of whose keys is stored; inside the batch the first of each key stays.
+    """Rows to store when they come in the order of ``ordinal`` and each needs all of its keys to be free.
 
-    One anti join per key keeps every join an equi join.
+    A key is taken by stored rows and by earlier rows that were stored themselves; a row that was turned away takes
+    nothing.  In each round the rows without an open earlier rival are accepted and their rivals turned away, until no
+    row is open.  A null key is no key; rows of one ordinal come in any one order.  Every join is an equi join.
     """
     rows = incoming
     for key in keys:
         rows = new_by_key(rows, stored, key)
-    for key in keys:
-        rows = top_n(rows, [key], [F.col(ordinal).asc()], 1)
-    return rows
+    if len(keys) == 1:
+        nulls = rows.where(F.col(keys[0]).isNull())
+        return top_n(rows.where(F.col(keys[0]).isNotNull()), [keys[0]], [F.col(ordinal).asc()], 1).unionByName(nulls)
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "either-rows")
+    open_, accepted = rows.select(*keys, F.struct(ordinal, "_row").alias("_at")), []
+    while True:
+        first = open_
+        for key in keys:
+            least = open_.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_at").alias(f"_{key}"))
+            first = first.join(least, key, "left")
+        won = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_{key}") == F.col("_at"), F.col(key).isNull()) for key in keys])
+        accepted.append(staged(first.where(won).select(*keys, "_at"), "either-won"))
+        rest = open_.join(accepted[-1].select("_at"), "_at", "left_anti")
+        for key in keys:
+            rest = new_by_key(rest, accepted[-1], key)
+        open_ = staged(rest, "either-open")
+        if open_.isEmpty():
+            break
+    taken = reduce(DataFrame.unionByName, accepted).select("_at._row")
+    return rows.join(taken, "_row", "left_semi").drop("_row")
 
 
 def _any_differs(pairs: list[tuple[Column, Column]]) -> Column:

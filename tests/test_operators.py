@@ -94,6 +94,43 @@ def test_anti_joins_are_idempotent(spark):
     assert sync.new_by_either(first, first, ("url", "h"), "o").count() == 0
 
 
+def test_a_row_that_was_turned_away_takes_no_key(spark):
+    rows = spark.createDataFrame([(1, "u1", "h1"), (2, "u2", "h1"), (3, "u2", "h3")], "o int, url string, h string")
+    assert sorted(r.o for r in sync.new_by_either(rows, rows.limit(0), ("url", "h"), "o").collect()) == [1, 3]
+
+
+def test_either_key_acceptance_follows_the_order(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", "c", None]) and f"u{rng.randint(0, 90)}", f"h{rng.randint(0, 90)}" if rng.random() < 0.9 else None) for i in range(400)]
+    rows += [(1000 + i, f"chain{i // 2}", f"link{(i + 1) // 2}") for i in range(12)]
+    stored = [(-1, "u1", "h1"), (-2, "u2", "x")]
+    schema = "o int, url string, h string"
+    got = sync.new_by_either(spark.createDataFrame(rows, schema).repartition(5), spark.createDataFrame(stored, schema), ("url", "h"), "o")
+    urls, hashes, want = {s[1] for s in stored}, {s[2] for s in stored}, []
+    for o, url, h in rows:
+        if url not in urls and h not in hashes:
+            want.append(o)
+            urls |= {url} - {None}
+            hashes |= {h} - {None}
+    assert sorted(r.o for r in got.collect()) == want
+
+
+def test_sponsor_candidates_stay_near_the_matches(spark):
+    rng = random.Random(4)
+    # All names and aliases lead with the same words.
+    code = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    codes = sorted({code() for _ in range(300)})
+    names = spark.createDataFrame([(f"International Pharma Holdings {c.title()} {k}",) for c in codes for k in ("GmbH", "Ltd", "Trust")], "name string")
+    aliases = P.sponsor_aliases(spark.createDataFrame([(i, f"T{i}", f"International Pharma Holdings {c}", [], []) for i, c in enumerate(codes)],
+                                                             "company_id long, ticker string, name string, aliases array<string>, trial_aliases array<string>"))
+    n = names.withColumn("_low", F.lower("name"))
+    pairs = P.phrase_candidates(n, aliases).count()
+    found = {(r["name"], r["company_id"]) for r in P.name_matches(names, aliases).collect()}
+    want = {(r["name"], a["company_id"]) for r in names.collect() for a in aliases.collect() if a["loose"] and a["loose"] in r["name"].lower()}
+    assert found == want and len(want) == 3 * len(codes)
+    assert pairs <= 3 * len(want)
+
+
 def test_snapshot_sync_insert_update_prune_and_failed_scope(spark):
     schema = "company_id int, nct_id string, title string, meta map<string,string>"
     new = spark.createDataFrame([(1, "N1", "new title", {"a": "2"}), (1, "N2", "x", {}), (2, "N5", "y", {})], schema)
@@ -128,7 +165,7 @@ def test_sponsor_matching(spark):
 def test_admission_spills_and_overrides(spark):
     rows = [("q", i, i, i in (3, 5), "full_ai" if i < 4 else "short_ai", 0) for i in range(1, 8)]
     cand = spark.createDataFrame(rows, "queue string, item_id bigint, rank int, eligible boolean, tier string, micro bigint")
-    got = [(r.item_id, r.budget_kind, r.tier) for r in admission.admit(cand, 2, 2, 1, 3, 10).orderBy("rank").collect()]
+    got = [(r.item_id, r.budget_kind, r.tier) for r in admission.admit(cand, [F.col("rank").asc()], 2, 2, 1, 3, 10).orderBy("rank").collect()]
     assert got == [(1, "primary", "full_ai"), (2, "primary", "short_ai"), (3, "override", "short_ai"), (5, "override", "short_ai")]
 
 
