@@ -2,12 +2,12 @@
 
 A call is an assistant message of the form ``{"tool_calls": [{"id", "name", "arguments", "after"}]}``; a result is a
 ``tool`` message ``{"tool_call_id", "content"}``.  Calls and results are hash-joined by (conversation, identifier); calls
-are ordered so that each stands after those its ``after`` list names; arguments are checked against the tool's schema;
-every message is written as JSON with sorted keys.  Messages of other roles or forms pass through as plain messages.
+are ordered so that each stands after those its ``after`` list names; arguments keep their JSON types and are checked
+against the tool's schema; every message is written as JSON with sorted keys at every depth.  Messages of other roles or forms pass through as plain messages.
 
 Defined results: a null text is written as empty content; null ids never link; of repeated ids the earliest call and the
 earliest result link and the others are marked ``repeated``; a result without a call is ``orphan``, a call without a
-result ``open``; calls on a cycle keep level -1; an empty table gives an empty table; other columns play no part.
+result ``open``; missing arguments are written as ``{}``; calls on a cycle keep level -1; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from signaldesk.llm.common import staged, table
 
-CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>,after:array<string>>>>"
+CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant,after:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 
 #: Argument schemas: name of the tool, then argument, type and whether it is required.
 SCHEMAS = {"reply": {"chars": ("integer", True), "words": ("integer", True), "lines": ("integer", False)},
            "search": {"query": ("string", True), "limit": ("integer", False)},
            "calculate": {"expression": ("string", True)}}
-TYPES = {"integer": "^-?[0-9]+$", "number": "^-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$", "string": "(?s)^.*$"}
+#: A JSON value's type, as the schema of a variant names it.
+TYPES = {"integer": "^(BIGINT|DECIMAL\\([0-9]+,0\\))$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "string": "^STRING$",
+         "object": "^OBJECT.*$", "array": "^ARRAY.*$"}
 
 
 def quoted(text: Column) -> Column:
@@ -32,25 +34,25 @@ def quoted(text: Column) -> Column:
 
 
 def schema_fault(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> Column:
-    """Null if the arguments fit the tool's schema, else the first fault."""
+    """Null if the arguments (a variant) fit the tool's schema, else the first fault."""
+    fields_of = F.try_variant_get(arguments, "$", "map<string,variant>")
     fault = F.lit("unknown tool")
     for tool, fields in schemas.items():
         checks = []
         for field, (kind, required) in sorted(fields.items()):
-            value = F.try_element_at(arguments, F.lit(field))
+            value = F.try_element_at(fields_of, F.lit(field))
             if required:
                 checks.append(F.when(value.isNull(), F.lit(f"missing {field}")))
-            checks.append(F.when(~value.rlike(TYPES[kind]), F.lit(f"{field} is no {kind}")))
-        extra = F.array_except(F.map_keys(arguments), F.array(*(F.lit(f) for f in sorted(fields))))
+            checks.append(F.when(~F.schema_of_variant(value).rlike(TYPES[kind]), F.lit(f"{field} is no {kind}")))
+        extra = F.array_except(F.map_keys(fields_of), F.array(*(F.lit(f) for f in sorted(fields))))
         checks.append(F.when(F.size(extra) > 0, F.concat(F.lit("unexpected "), F.array_min(extra))))
         fault = F.when(name == tool, F.coalesce(*checks)).otherwise(fault)
-    return F.when(name.isNull(), F.lit("no name")).when(arguments.isNull(), F.lit("no arguments")).otherwise(fault)
+    return F.when(name.isNull(), F.lit("no name")).when(arguments.isNull(), F.lit("no arguments")).when(fields_of.isNull(), F.lit("arguments are no object")).otherwise(fault)
 
 
 def canonical_arguments(arguments: Column) -> Column:
-    """A JSON object with sorted keys."""
-    entries = F.array_sort(F.map_entries(F.coalesce(arguments, F.create_map().cast("map<string,string>"))))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"]))), ","), F.lit("}"))
+    """JSON with sorted keys: a variant holds the fields of its objects in order."""
+    return F.coalesce(F.to_json(arguments), F.lit("{}"))
 
 
 def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,15 +103,16 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool
     first_call = F.row_number().over(W.partitionBy("conv_id", "id").orderBy("turn", "place"))
     first_result = F.row_number().over(W.partitionBy("conv_id", "id").orderBy("turn", "content"))
     usable = F.col("id").isNotNull() & F.col("conv_id").isNotNull()
+    calls = calls.withColumns({"fault": schema_fault(F.col("name"), F.col("arguments"), schemas), "arguments": canonical_arguments(F.col("arguments"))})
     calls = staged(calls.withColumn("nth", F.when(usable, first_call)), "calls")
     results = staged(results.withColumn("nth", F.when(usable, first_result)), "results")
     linked = levels(calls.where("nth = 1").drop("nth")).join(
         results.where("nth = 1").select("conv_id", "id", F.col("turn").alias("result_turn"), F.lit(True).alias("answered")), ["conv_id", "id"], "left")
     others = calls.where("nth IS NULL OR nth > 1").drop("nth").withColumns({"level": F.lit(-1), "result_turn": F.lit(None).cast(dict(messages.dtypes)["turn"]), "answered": F.lit(None).cast("boolean")})
     status = F.when(F.col("level").isNull(), "repeated").when(F.col("answered") & (F.col("result_turn") < F.col("turn")), "answered early").when(F.col("answered"), "linked").otherwise("open")
-    body = F.concat(F.lit('{"arguments":'), canonical_arguments(F.col("arguments")), F.lit(',"id":'), quoted(F.col("id")), F.lit(',"name":'), quoted(F.col("name")), F.lit("}"))
+    body = F.concat(F.lit('{"arguments":'), F.col("arguments"), F.lit(',"id":'), quoted(F.col("id")), F.lit(',"name":'), quoted(F.col("name")), F.lit("}"))
     made = linked.withColumn("status", status).unionByName(others.withColumn("status", F.when(usable, "repeated").otherwise("open"))).select(
-        "conv_id", "turn", "place", F.lit("call").alias("kind"), "id", "level", "status", schema_fault(F.col("name"), F.col("arguments"), schemas).alias("fault"), body.alias("json"))
+        "conv_id", "turn", "place", F.lit("call").alias("kind"), "id", "level", "status", "fault", body.alias("json"))
     named = calls.where("nth = 1").select("conv_id", "id", F.lit(True).alias("called"))
     answers = results.join(named, ["conv_id", "id"], "left").select(
         "conv_id", "turn", F.lit(0).alias("place"), F.lit("result").alias("kind"), "id", F.lit(None).cast("int").alias("level"),
@@ -134,11 +137,14 @@ def as_tool_traffic(conversations: DataFrame) -> DataFrame:
     text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
     case = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
     size, reply, p, q = (F.concat(F.lit(k), turn) for k in "srpq")
-    words, chars = F.size(F.split(text, " ")).cast("string"), F.char_length(text).cast("string")
+    words, chars = F.size(F.split(text, " ")), F.char_length(text)
     last = F.concat(F.lit("r"), (F.col("turn") - 2).cast("string"))
 
-    def made(id: Column, name: str, arguments: dict[str, Column], after: Column) -> Column:
-        return F.struct(id.alias("id"), F.lit(name).alias("name"), F.create_map(*(x for k, v in arguments.items() for x in (F.lit(k), v))).alias("arguments"), F.array(after).alias("after"))
+    def json(**arguments: Column) -> Column:
+        return F.to_json(F.struct(*(v.alias(k) for k, v in arguments.items())))
+
+    def made(id: Column, name: str, arguments: Column, after: Column) -> Column:
+        return F.struct(id.alias("id"), F.lit(name).alias("name"), F.parse_json(arguments).alias("arguments"), F.array(after).alias("after"))
 
     def call(*calls: Column) -> Column:
         return F.struct(F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(*calls).alias("tool_calls"))).alias("text"))
@@ -146,11 +152,11 @@ def as_tool_traffic(conversations: DataFrame) -> DataFrame:
     def result(of: Column, content: Column) -> Column:
         return F.struct(F.lit("tool").alias("role"), F.to_json(F.struct(of.alias("tool_call_id"), content.alias("content"))).alias("text"))
 
-    replied = made(reply, "reply", {"words": F.when(case == 1, F.lit("many")).otherwise(words), "chars": chars}, size)
-    sized = made(size, "calculate", {"expression": F.concat_ws("+", words, chars)}, last)
+    replied = made(reply, "reply", F.when(case == 1, json(words=F.lit("many"), chars=chars)).otherwise(json(words=words, chars=chars)), size)
+    sized = made(size, "calculate", json(expression=F.concat_ws("+", words.cast("string"), chars.cast("string"))), last)
     said = F.array(
-        call(replied, sized), result(size, chars), F.when(case != 2, result(reply, text)), F.when(case == 0, call(replied)), F.when(case == 3, result(reply, text)),
-        F.when(case == 4, call(made(p, "search", {"query": chars}, q), made(q, "search", {"query": words}, p))), F.when(case == 4, result(F.concat(F.lit("x"), turn), chars)))
+        call(replied, sized), result(size, chars.cast("string")), F.when(case != 2, result(reply, text)), F.when(case == 0, call(replied)), F.when(case == 3, result(reply, text)),
+        F.when(case == 4, call(made(p, "search", json(query=chars.cast("string")), q), made(q, "search", json(query=words.cast("string")), p))), F.when(case == 4, result(F.concat(F.lit("x"), turn), chars.cast("string"))))
     replies = conversations.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(said).alias("k", "m")).where("m IS NOT NULL")
     return conversations.select("conv_id", (F.col("turn") * 8 + 7).alias("turn"), "role", "text").unionByName(
         replies.select("conv_id", (F.col("turn") * 8 + F.col("k")).alias("turn"), "m.role", "m.text"))

@@ -3,7 +3,7 @@
 Texts are taken as bytes, A-Z lower-cased; words are runs of a-z, 0-9 and bytes above 127.  One automaton over the
 space-joined words finds the base phrases, further notice phrases and identifier tags at once.  The expression after a
 tag is parsed into and/or/with with the usual precedence and evaluated to its labels and to whether every way of
-fulfilling it is share-alike.
+fulfilling it is share-alike; a text is share-alike by its expressions or by the phrases it holds.
 
 Defined results: a null or empty text has no words, no places, null first and last words, empty labels and score 0;
 repeated rows are scanned alike; an empty table gives an empty table; other columns play no part; texts are read whole.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,37 +38,40 @@ _TOKEN = re.compile(rb"[()]|[a-z0-9][a-z0-9.+-]*")
 _TAGGED = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
 
 
-def to_postfix(tokens: list[str]) -> list[str] | None:
-    """Shunting yard: operands and operators in postfix order; None if the expression is malformed."""
-    out, ops, operand = [], [], False
-    for t in tokens:
-        if t == "(":
-            if operand:
-                return None
-            ops.append(t)
-        elif t == ")":
-            if not operand:
-                return None
-            while ops and ops[-1] != "(":
-                out.append(ops.pop())
-            if not ops:
-                return None
-            ops.pop()
-        elif t in BINDS:
-            if not operand:
-                return None
-            while ops and ops[-1] != "(" and BINDS[ops[-1]] >= BINDS[t]:
+def leading_postfix(tokens: list[str]) -> tuple[list[str], int]:
+    """Shunting yard: operands and operators in postfix order of the longest leading part that is well formed, and its length."""
+    out: list[str] = []
+    ops: list[str] = []
+    operand, depth, best = False, 0, (0, (), 0)
+    for at, t in enumerate(tokens, 1):
+        if t in BINDS or t == ")":
+            if not operand or (t == ")" and not depth):
+                break
+            while ops and ops[-1] != "(" and (t == ")" or BINDS[ops[-1]] >= BINDS[t]):
                 out.append(ops.pop())
+            if t == ")":
+                ops.pop()
+                depth -= 1
+            else:
+                ops.append(t)
+                operand = False
+        elif operand:
+            break
+        elif t == "(":
             ops.append(t)
-            operand = False
+            depth += 1
         else:
-            if operand:
-                return None
             out.append(t)
             operand = True
-    if not operand or "(" in ops:
-        return None
-    return out + ops[::-1]
+        if operand and not depth:
+            best = len(out), tuple(ops), at   # outside brackets at most one operator of each rank is open
+    return out[:best[0]] + list(best[1][::-1]), best[2]
+
+
+def to_postfix(tokens: list[str]) -> list[str] | None:
+    """Operands and operators in postfix order; None if the expression is malformed."""
+    postfix, used = leading_postfix(tokens)
+    return postfix if tokens and used == len(tokens) else None
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
@@ -85,12 +89,8 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
 
 def expression_labels(line: bytes) -> tuple[set[str], bool]:
     """Of the longest leading part of the line that is a well-formed expression (comment ends may follow)."""
-    tokens = [t.decode() for t in _TOKEN.findall(line)]
-    for end in range(len(tokens), 0, -1):
-        postfix = to_postfix(tokens[:end])
-        if postfix:
-            return evaluate(postfix)
-    return set(), False
+    postfix, _ = leading_postfix([t.decode() for t in _TOKEN.findall(line)])
+    return evaluate(postfix) if postfix else (set(), False)
 
 
 def _table() -> bytes:
@@ -112,25 +112,30 @@ def _scan(parts):
 
     def one(text: bytes | None):
         words = (text or b"").translate(words_only).split()
-        joined = " " + b" ".join(words).decode("latin-1") + " "
-        base, labels, places, notices, alike = set(), set(), [], 0, False
-        for end, phrase in found.iter(joined):
+        joined = b" " + b" ".join(words) + b" "
+        base, labels, starts, notices, tagged = set(), set(), [], 0, False
+        for end, phrase in found.iter(joined.decode("latin-1")):
             if phrase in BASE_PHRASES:
                 base.add(BASE_PHRASES[phrase])
-                places.append(joined.count(" ", 0, end - len(phrase)) - 1)
-            elif phrase == TAG:
-                for line in _TAGGED.findall(text.translate(lower)):
-                    got, share = expression_labels(line)
-                    labels |= got
-                    alike |= share
-                notices += 1
+                starts.append(end - len(phrase))
             else:
-                labels.add(NOTICE_PHRASES[phrase])
                 notices += 1
+                tagged |= phrase == TAG
+                labels |= {NOTICE_PHRASES[phrase]} if phrase != TAG else set()
         labels |= base
+        alike = bool(labels & SHARE_ALIKE)
+        for line in _TAGGED.findall(text.translate(lower)) if tagged else ():
+            got, share = expression_labels(line)
+            labels |= got
+            alike |= share
+        places = []
+        if starts:
+            # A place's number is that of the blanks before it.
+            blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            places = (np.searchsorted(blanks, starts) - 1).tolist()
         score = 1 - 0.25 ** len(places) * 0.5 ** notices
         return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
-                ",".join(sorted(labels)), score, alike or bool(labels & SHARE_ALIKE))
+                ",".join(sorted(labels)), score, alike)
 
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "share_alike")
     for pdf in parts:

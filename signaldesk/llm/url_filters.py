@@ -4,8 +4,8 @@ Host rules name a host (with its subdomains) and a path prefix; the longest that
 method decides: every pattern rule lists literal tokens it cannot match without, is filed under the one that the fewest
 urls hold, and its regular expression runs only on urls that hold that token.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, fits no host rule and holds no rule
-tokens, so it is allowed; repeated rows are judged alike; an empty table gives an empty table; other columns play no
+Defined results: a null url, or one without ``://``, has an empty host and path and fits no host rule; pattern rules
+still read what there is, and a null or empty url is allowed; repeated rows are judged alike; an empty table gives an empty table; other columns play no
 part.  Token counts that reach the driver are those of rule tokens only, so the rule list bounds them.
 """
 
@@ -35,24 +35,31 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens``: runs of a-z and 0-9 that every url matching ``pattern`` (on the url in lower case) holds."""
+    """``tokens``: runs of a-z and 0-9 that every url matching ``pattern`` (on the url in lower case) holds, whole.
+
+    So the pattern must name what stands on both sides of a token, or a longer run could match that is filed elsewhere.
+    """
 
     verdict: str
     tokens: tuple[str, ...]
     pattern: str
 
+    def __post_init__(self):
+        for token in self.tokens:
+            if not re.search(rf"[^a-z0-9]{token}[^a-z0-9?*+{{]", self.pattern):
+                raise ValueError(f"{self.pattern} does not bound its token {token} on both sides")
+
 
 #: The host rules of the contract.
 HOST_RULES = (HostRule("allow", "com", "/"), HostRule("block", "example.com", "/en/"), HostRule("allow", "www.example.com", "/en/"),
               HostRule("block", "net", "/es/"), HostRule("block", "net", "/fr/"))
-#: Pattern rules for urls that no host rule fits; any block outweighs an allow.
+#: Pattern rules for urls that no host rule fits; a url that none blocks is allowed.
 PATTERN_RULES = (
     PatternRule("block", ("casino",), r"[/.-]casino[.-]"), PatternRule("block", ("free", "bets"), r"[/.-]free-bets[.-]"),
     PatternRule("block", ("cheap", "pills"), r"[/.-]cheap-pills[.-]"), PatternRule("block", ("ads", "track"), r"[/.-]ads-track[.-]"),
     PatternRule("block", ("adult",), r"[/.-]adult[/.-]"), PatternRule("block", ("login",), r"/login([/?#.]|$)"),
     PatternRule("block", ("cgi", "bin"), r"/cgi-bin/"), PatternRule("block", ("sessionid",), r"[?&;]sessionid=[0-9a-f]+"),
-    PatternRule("block", ("utm", "source", "popunder"), r"[?&]utm_source=popunder"), PatternRule("block", ("wp", "admin"), r"/wp-admin/"),
-    PatternRule("allow", ("utm", "source", "feed"), r"[?&]utm_source=feed"), PatternRule("allow", ("page", "ref"), r"[?&]page=[0-9]+&ref="))
+    PatternRule("block", ("utm", "source", "popunder"), r"[?&]utm_source=popunder([^a-z0-9]|$)"), PatternRule("block", ("wp", "admin"), r"/wp-admin/"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
