@@ -23,17 +23,17 @@ AF, AN = V.AS_OF_FILINGS, V.AS_OF_NEWS
 
 # ---- flagship -------------------------------------------------------------------
 @query("flagship_pending_filings", S.sql(f"""
-    , x AS (SELECT f.*, c.name, {S.form_base('normalized_form_type', 55.0)} AS base, {S.material('title')} AS mat, {S.recency('filed_at', S.AF)} AS rec,
-        coalesce(p.pct, 0.0) AS cap FROM filings f JOIN companies c ON f.company_id = c.company_id AND c.is_active
+    , x AS (SELECT f.*, c.name, {S.form_base('f.normalized_form_type', 55.0)} AS base, {S.material('t.raw_text')} AS mat, {S.recency('f.filed_at', S.AF)} AS rec,
+        coalesce(p.pct, 0.0) AS cap FROM filings f JOIN filing_text t ON t.filing_id = f.filing_id JOIN companies c ON f.company_id = c.company_id AND c.is_active
         LEFT JOIN percentile p ON f.company_id = p.company_id WHERE status = 'pending'),
       y AS (SELECT *, {S.cents('0.35 * base + 0.30 * mat + 0.35 * rec')} AS imp FROM x),
       z AS (SELECT *, {S.cents('0.35 * cap + 0.40 * imp + 0.25 * rec')} AS comp FROM y)
     SELECT filing_id, company_id, name, form_type, strftime(filed_at, '%Y-%m-%d') AS filed_on, {S.cents('cap')} AS market_cap_score,
       {S.cents('0.60 * base + 0.40 * mat')} AS importance_score, imp AS impact_score, comp AS composite_score, {S.bucket('filed_at', S.AF)} AS freshness_bucket,
       {S.filing_reason('event_type', 'normalized_form_type', S.cents('cap'), 'imp', 'rec')} AS priority_reason
-    FROM z ORDER BY comp DESC, filed_at DESC, filing_id DESC LIMIT 50""", "filings", "companies", "percentile"))
+    FROM z ORDER BY comp DESC, filed_at DESC, filing_id DESC LIMIT 50""", "filings", "filing_text", "companies", "percentile"))
 def _(spark, sf):
-    return PF.rank_pending(V.filings(spark, sf), V.companies(spark, sf), AF, 50)
+    return PF.rank_pending(V.filings(spark, sf), V.filing_text(spark, sf), V.companies(spark, sf), AF, 50)
 
 
 # ---- DS-1 -----------------------------------------------------------------------
@@ -358,14 +358,12 @@ _SIC_TEXT = S.look_up("c.sic", K.COVERED_SIC)
           WHEN 'filing' THEN title || ' (' || strftime(occurred_at, '%b %-d, %Y') || ')' WHEN 'regulatory' THEN 'FDA catalyst: ' || title || ' (' || strftime(occurred_at, '%b %-d, %Y') || ')'
           ELSE title END, '|' ORDER BY pos) AS lines FROM ca WHERE pos <= 4 GROUP BY 1),
       fc AS (SELECT company_id, count(*) AS n FROM filings GROUP BY 1),
-      l20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY {_FRANK}, filed_at DESC, composite_score DESC, filing_id DESC) AS rn FROM filings) WHERE rn <= 20),
-      lf AS (SELECT company_id, filing_id FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY filed_at DESC, composite_score DESC, filing_id DESC) AS r2 FROM l20) WHERE r2 = 1),
-      n20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY composite_score DESC, published_at DESC, news_id DESC) AS rn FROM nr) WHERE rn <= 20),
-      ln AS (SELECT cid, news_id FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY published_at DESC, composite_score DESC, news_id DESC) AS r2 FROM n20) WHERE r2 = 1),
+      lf AS (SELECT company_id, filing_id FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY filed_at DESC, composite_score DESC, filing_id DESC) AS r2 FROM filings) WHERE r2 = 1),
+      ln AS (SELECT cid, news_id FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY published_at DESC, composite_score DESC, news_id DESC) AS r2 FROM nr) WHERE r2 = 1),
       lt AS (SELECT company_id, nct_id FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY last_update_date DESC NULLS LAST, trial_id DESC) AS rn FROM trials) WHERE rn = 1),
       st AS (SELECT company_id, count(DISTINCT story) AS n FROM (SELECT unnest(company_tag_ids) AS company_id, coalesce(dedupe_group_id, 'news:' || news_id) AS story FROM news) GROUP BY 1)
     SELECT c.company_id, coalesce(fc.n, 0) AS filings_count, coalesce(st.n, 0) AS stories, lf.filing_id AS latest_filing, ln.news_id AS latest_news, lt.nct_id AS latest_trial,
-      coalesce(nullif(trim(substr(x.raw_text, 1, 420), ' '), ''), {_SIC_TEXT}, 'Covered public life sciences issuer.') AS business_summary, coalesce(cl.lines, '') AS lines
+      coalesce(nullif(trim(x.raw_text, ' '), ''), {_SIC_TEXT}, 'Covered public life sciences issuer.') AS business_summary, coalesce(cl.lines, '') AS lines
     FROM companies c LEFT JOIN fc ON fc.company_id = c.company_id LEFT JOIN st ON st.company_id = c.company_id LEFT JOIN lf ON lf.company_id = c.company_id
       LEFT JOIN filing_text x ON x.filing_id = lf.filing_id LEFT JOIN ln ON ln.cid = c.company_id LEFT JOIN lt ON lt.company_id = c.company_id
       LEFT JOIN cl ON cl.company_id = c.company_id WHERE c.is_active""", *CATALYST_VIEWS, "filing_text"))
@@ -377,21 +375,21 @@ def _(spark, sf):
 
 
 def _brief_sql(limit: int, members: str = "watchlist_members") -> str:
-    top, rel_n = max(limit, 12), _RELW_N.format("true")
+    rel_n = _RELW_N.format("true")
     rel_f = S.personal("composite_score", S.recency("filed_at", S.AF), "true", "true", "event_type")
     cal_key = f"CASE WHEN starts_at >= {S.AF} THEN 0 ELSE 1 END, CASE WHEN starts_at >= {S.AF} THEN epoch(starts_at) ELSE -epoch(starts_at) END, composite_score DESC, event_id DESC"
     return f"""
     , bm AS (SELECT * FROM {members}),
       bf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rel DESC, filed_at DESC, filing_id DESC) AS pos FROM (SELECT f.*, m.watchlist_id AS w, {rel_f} AS rel
-        FROM filings f JOIN bm m ON m.company_id = f.company_id WHERE filed_at >= {S.AF} - INTERVAL 120 DAY)) WHERE pos <= {top}),
+        FROM filings f JOIN bm m ON m.company_id = f.company_id WHERE filed_at >= {S.AF} - INTERVAL 120 DAY))),
       bx AS (SELECT DISTINCT news_id, watchlist_id AS w FROM (SELECT news_id, unnest(company_tag_ids) AS c FROM news WHERE published_at >= {S.AN} - INTERVAL 30 DAY) n JOIN bm ON bm.company_id = n.c),
       br AS (SELECT * FROM (SELECT n.*, w, row_number() OVER (PARTITION BY w, coalesce(dedupe_group_id, 'news:' || n.news_id) ORDER BY is_official DESC, composite_score DESC, published_at DESC,
         n.news_id DESC) AS rr FROM news n JOIN bx ON bx.news_id = n.news_id) WHERE rr = 1),
-      bn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rel DESC, published_at DESC, news_id DESC) AS pos FROM (SELECT *, {rel_n} AS rel FROM br)) WHERE pos <= {top}),
+      bn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rel DESC, published_at DESC, news_id DESC) AS pos FROM (SELECT *, {rel_n} AS rel FROM br))),
       bt AS (SELECT * FROM (SELECT t.*, m.watchlist_id AS w, row_number() OVER (PARTITION BY m.watchlist_id ORDER BY last_update_date DESC NULLS LAST, trial_id DESC) AS pos FROM trials t JOIN bm m
-        ON m.company_id = t.company_id) WHERE pos <= {min(limit, 12)}),
+        ON m.company_id = t.company_id)),
       bc AS (SELECT * FROM (SELECT c.*, m.watchlist_id AS w, row_number() OVER (PARTITION BY m.watchlist_id ORDER BY {cal_key}) AS pos FROM calendar c JOIN bm m ON m.company_id = c.company_tag_ids[1]
-        WHERE starts_at >= {S.AF} - INTERVAL 90 DAY AND starts_at <= {S.AF} + INTERVAL 180 DAY) WHERE pos <= {min(max(limit, 10), 12)}),
+        WHERE starts_at >= {S.AF} - INTERVAL 90 DAY AND starts_at <= {S.AF} + INTERVAL 180 DAY)),
       bu AS (SELECT w, 'filing-' || filing_id AS id, filed_at AS tm, composite_score AS sc FROM bf UNION ALL SELECT w, 'news-' || news_id, published_at, composite_score FROM bn
         UNION ALL SELECT w, 'trial-' || trial_id, CAST(coalesce(last_update_date, primary_completion_date, start_date) AS TIMESTAMP), 0.0 FROM bt
         UNION ALL SELECT w, 'regulatory-' || event_id, starts_at, composite_score FROM bc),
@@ -405,7 +403,7 @@ def _brief_sql(limit: int, members: str = "watchlist_members") -> str:
       w2 AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY k0, k1, k2, id) AS pos FROM w1)
     SELECT w AS watchlist_id, 'filings' AS section, CAST(pos AS INT) AS pos, CAST(filing_id AS VARCHAR) AS item FROM bf WHERE pos <= 20
     UNION ALL SELECT w, 'news', CAST(pos AS INT), CAST(news_id AS VARCHAR) FROM bn WHERE pos <= 20
-    UNION ALL SELECT w, 'trials', CAST(pos AS INT), nct_id FROM bt UNION ALL SELECT w, 'timeline', CAST(pos AS INT), id FROM bl WHERE pos <= 20
+    UNION ALL SELECT w, 'trials', CAST(pos AS INT), nct_id FROM bt WHERE pos <= 20 UNION ALL SELECT w, 'timeline', CAST(pos AS INT), id FROM bl WHERE pos <= 20
     UNION ALL SELECT w, 'catalysts', CAST(pos AS INT), id FROM w2 WHERE pos <= 10""", *CATALYST_VIEWS, "watchlist_members"))
 def _(spark, sf):
     return B.watchlist_briefing(V.watchlist_members(spark, sf), V.filings(spark, sf), V.news(spark, sf), V.trials(spark, sf),

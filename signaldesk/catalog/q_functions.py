@@ -220,17 +220,16 @@ _SECT = ("business", "risk_factors", "md&a", "liquidity")
 
 
 @query("str_26_summary_source", S.sql("""
-    , s AS (SELECT filing_id, raw_text, substr(raw_text, 1, 4000) AS b1, CASE WHEN filing_id % 2 = 0 THEN substr(raw_text, 200) END AS b2,
-        filing_id % 3 = 0 AS none FROM filing_text)
-    SELECT filing_id, sha256(CASE WHEN none THEN substr(raw_text, 1, 18000) ELSE '[business]' || chr(10) || substr(b1, 1, 3000) ||
-        coalesce(chr(10) || chr(10) || '[md&a]' || chr(10) || substr(b2, 1, 3000), '') END) AS full_hash,
-      sha256(CASE WHEN none THEN substr(raw_text, 1, 8000) ELSE '[business]' || chr(10) || substr(b1, 1, 1800) ||
-        coalesce(chr(10) || chr(10) || '[md&a]' || chr(10) || substr(b2, 1, 1800), '') END) AS short_hash FROM s""", "filing_text"))
+    , s AS (SELECT filing_id, raw_text, [coalesce(CASE k WHEN 'risk_factors' THEN normalized_form_type WHEN 'business' THEN raw_text WHEN 'md&a' THEN CASE WHEN filing_id % 2 = 0 THEN raw_text || ' again' END
+          WHEN 'legal_proceedings' THEN 'of ' || raw_text END, '') FOR k IN ORDERED] AS bodies, filing_id % 3 = 0 AS none FROM filing_text),
+      b AS (SELECT *, list_filter(list_transform(list_zip(ORDERED, bodies), lambda x: CASE WHEN x[2] <> '' THEN '[' || x[1] || ']' || chr(10) || x[2] END), lambda x: x IS NOT NULL) AS blocks FROM s)
+    SELECT filing_id, sha256(CASE WHEN none THEN raw_text ELSE array_to_string(blocks, chr(10) || chr(10)) END) AS full_hash,
+      sha256(CASE WHEN none THEN raw_text ELSE array_to_string(blocks[1:3], chr(10) || chr(10)) END) AS short_hash FROM b""".replace("ORDERED", S.listed(K.SECTION_ORDER).replace("(", "[").replace(")", "]")), "filing_text"))
 def _(spark, sf):
     t = V.filing_text(spark, sf)
     sections = F.when(F.col("filing_id") % 3 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(
-        F.lit("md&a"), F.when(F.col("filing_id") % 2 == 0, F.substring("raw_text", 200, 10_000_000)),
-        F.lit("business"), F.substring("raw_text", 1, 4000)))
+        F.lit("md&a"), F.when(F.col("filing_id") % 2 == 0, F.concat("raw_text", F.lit(" again"))), F.lit("legal_proceedings"), F.concat(F.lit("of "), "raw_text"),
+        F.lit("business"), F.col("raw_text"), F.lit("risk_factors"), F.col("normalized_form_type")))
     t = t.withColumn("sections", sections)
     return t.select("filing_id", F.sha2(R.summary_source("sections", "raw_text"), 256).alias("full_hash"),
                     F.sha2(R.summary_source("sections", "raw_text", "short_ai"), 256).alias("short_hash"))
@@ -249,7 +248,7 @@ def _(spark, sf):
 
 def _flags(label, words):
     return ("array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(low, {S.q(w)}) THEN {S.q(label + ': ' + w)} END" for w in words)
-            + "], lambda x: x IS NOT NULL)[1:3], '; ')")
+            + "], lambda x: x IS NOT NULL), '; ')")
 
 
 @query("str_28_rule_summary", S.sql(f"""
@@ -257,7 +256,7 @@ def _flags(label, words):
         (SELECT t.filing_id, f.title, t.raw_text FROM filing_text t JOIN filings f ON f.filing_id = t.filing_id)),
       p AS (SELECT *, lower(sq) AS low, list_filter(list_transform(string_split(regexp_replace(sq, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
         lambda x: trim(x)), lambda x: x <> '') AS sent FROM s)
-    SELECT filing_id, coalesce(nullif(substr(array_to_string(sent[1:2], ' '), 1, 700), ''), title) AS summary,
+    SELECT filing_id, coalesce(nullif(array_to_string(sent[1:2], ' '), ''), title) AS summary,
       CASE WHEN len(sent) > 0 THEN array_to_string(sent[1:3], ' | ') ELSE coalesce(title, '') END AS takeaways,
       {_flags(*K.SUMMARY_FLAG_WORDS['risk_flags'])} AS risk_flags, {_flags(*K.SUMMARY_FLAG_WORDS['opportunity_flags'])} AS opportunity_flags,
       {_flags(*K.SUMMARY_FLAG_WORDS['material_changes'])} AS material_changes,
@@ -272,19 +271,22 @@ def _(spark, sf):
                     "importance_score")
 
 
-@query("str_29_list_summary", S.sql("""
-    SELECT filing_id, CASE WHEN title IS NOT NULL AND normalized_form_type = '8-K' THEN title
+@query("str_29_list_summary", S.sql(r"""
+    , l AS (SELECT filing_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM filing_text),
+      w AS (SELECT filing_id, lines, list_transform(lines, lambda x: list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) AS words FROM l),
+      h AS (SELECT filing_id, lines, list_transform(list_zip(lines, words), lambda z: len(z[2]) <= 8 AND len(z[2]) > 0 AND NOT (ends_with(z[1], '.') AND len(z[2]) > 4)
+          AND len(list_filter(z[2], lambda y: regexp_matches(y, '^\p{Lu}'))) >= greatest(1, len(z[2]) // 2)) AS heading FROM w),
+      b AS (SELECT filing_id, coalesce(list_filter(list_zip(lines, heading), lambda z: NOT z[2])[1][1], lines[1]) AS snippet FROM h)
+    SELECT f.filing_id, CASE WHEN title IS NOT NULL AND normalized_form_type = '8-K' THEN title
       WHEN title IS NOT NULL AND event_type IS NOT NULL AND normalized_form_type = '6-K' THEN
         upper(substr(replace(event_type, '-', ' '), 1, 1)) || substr(replace(event_type, '-', ' '), 2) || ': ' || title
       WHEN len(item_numbers) > 0 AND normalized_form_type = '8-K' THEN 'Current event filing covering item ' ||
         array_to_string(item_numbers[1:3], ', ') || '.'
-      WHEN status = 'complete' AND filing_id % 2 = 0 THEN 'revenue grew in the quarter.'
-      WHEN status = 'complete' THEN 'Business Overview' ELSE substr(coalesce(title, ''), 1, 240) END AS line FROM filings""", "filings"))
+      WHEN status = 'complete' THEN coalesce(b.snippet, title, '') ELSE coalesce(title, '') END AS line FROM filings f JOIN b ON b.filing_id = f.filing_id""".replace("\\\\", "\\"), "filings", "filing_text"))
 def _(spark, sf):
-    f = V.filings(spark, sf)
-    body = F.when(F.col("filing_id") % 2 == 0, F.lit("Business Overview\nrevenue grew in the quarter.")).otherwise(
-        F.lit("Business Overview\nOur Products"))
-    f = f.withColumn("sections", F.when(F.col("status") == "complete", F.create_map(F.lit("business"), body)))
+    # Complete filings show the first line of prose of their text; no title, so that many rows reach it.
+    f = V.filings(spark, sf).join(V.filing_text(spark, sf).select("filing_id", "raw_text"), "filing_id")
+    f = f.withColumn("sections", F.when(F.col("status") == "complete", F.create_map(F.lit("business"), F.col("raw_text"))))
     return f.select("filing_id", R.list_summary("normalized_form_type", "title", "event_type", "item_numbers", "sections",
                                                 F.lit(None).cast("string")).alias("line"))
 
@@ -329,18 +331,21 @@ def _(spark, sf):
 
 
 @query("str_32_score_explanation", S.sql(f"""
-    SELECT filing_id, {S.cents(S.form_base('normalized_form_type', 55.0))} AS form_weight, {S.material('title')} AS material_events,
-      {S.cents(S.recency('filed_at', S.AF))} AS recency, CASE WHEN c.market_cap IS NOT NULL THEN 'high' ELSE 'degraded' END AS confidence,
+    SELECT f.filing_id, {S.cents(S.form_base('f.normalized_form_type', 55.0))} AS form_weight, {S.material('t.raw_text')} AS material_events,
+      {S.cents(S.recency('f.filed_at', S.AF))} AS recency, {S.cents('coalesce(p.pct, 0.0)')} AS market_cap, CASE WHEN c.market_cap IS NOT NULL THEN 'high' ELSE 'degraded' END AS confidence,
       CAST(1 AS BIGINT) AS notes
-    FROM filings f JOIN companies c ON f.company_id = c.company_id""", "filings", "companies"))
+    FROM filings f JOIN filing_text t ON t.filing_id = f.filing_id JOIN companies c ON f.company_id = c.company_id LEFT JOIN percentile p ON p.company_id = f.company_id""",
+                                     "filings", "filing_text", "companies", "percentile"))
 def _(spark, sf):
     from signaldesk.plans.filings import pending_explanation
 
-    f = V.filings(spark, sf).join(V.companies(spark, sf).select("company_id", "market_cap"), "company_id")
-    e = pending_explanation("normalized_form_type", M.material_score("title"), D.recency_score("filed_at", AF), F.lit(0.0),
+    companies = V.companies(spark, sf)
+    f = V.filings(spark, sf).join(companies.select("company_id", "market_cap"), "company_id").join(_text_features(spark, sf), "filing_id").join(
+        market_percentiles(companies), "company_id", "left")
+    e = pending_explanation("normalized_form_type", F.col("mat"), D.recency_score("filed_at", AF), F.coalesce("pct", F.lit(0.0)),
                             F.col("market_cap").isNotNull())
     return f.select("filing_id", e.alias("e")).select(
-        "filing_id", *[F.element_at("e.components", k).alias(k) for k in ("form_weight", "material_events", "recency")],
+        "filing_id", *[F.element_at("e.components", k).alias(k) for k in ("form_weight", "material_events", "recency", "market_cap")],
         "e.confidence", F.size("e.rationale").cast("bigint").alias("notes"))
 
 
@@ -503,6 +508,10 @@ def _(spark, sf):
     return _text_pairs(spark, sf).select("filing_id", M.novelty("now", "prior").alias("novelty"))
 
 
+def _text_features(spark, sf):
+    return V.filing_text(spark, sf).select("filing_id", M.material_score("raw_text").alias("mat"))
+
+
 def _scored(fn):
     return [c.alias(n) for n, c in fn.items()]
 
@@ -521,15 +530,15 @@ def _(spark, sf):
 
 
 @query("mth_5_filing_pending", S.sql(f"""
-    , x AS (SELECT f.filing_id, {S.form_base('normalized_form_type', 55.0)} AS base, {S.material('title')} AS mat,
-        {S.recency('filed_at', S.AF)} AS rec, coalesce(p.pct, 0.0) AS cap FROM filings f LEFT JOIN percentile p ON f.company_id = p.company_id),
+    , x AS (SELECT f.filing_id, {S.form_base('f.normalized_form_type', 55.0)} AS base, {S.material('raw_text')} AS mat,
+        {S.recency('f.filed_at', S.AF)} AS rec, coalesce(p.pct, 0.0) AS cap FROM filings f JOIN filing_text t ON t.filing_id = f.filing_id LEFT JOIN percentile p ON f.company_id = p.company_id),
       y AS (SELECT *, {S.cents('0.35 * base + 0.30 * mat + 0.35 * rec')} AS impact_score FROM x)
     SELECT filing_id, {S.cents('cap')} AS market_cap_score, {S.cents('0.60 * base + 0.40 * mat')} AS importance_score, impact_score,
-      {S.cents('0.35 * cap + 0.40 * impact_score + 0.25 * rec')} AS composite_score FROM y""", "filings", "percentile"))
+      {S.cents('0.35 * cap + 0.40 * impact_score + 0.25 * rec')} AS composite_score FROM y""", "filings", "filing_text", "percentile"))
 def _(spark, sf):
     pct = market_percentiles(V.companies(spark, sf))
-    f = V.filings(spark, sf).join(pct, "company_id", "left").withColumns({
-        "mat": M.material_score("title"), "rec": D.recency_score("filed_at", AF), "cap": F.coalesce("pct", F.lit(0.0))})
+    f = V.filings(spark, sf).join(pct, "company_id", "left").join(_text_features(spark, sf), "filing_id").withColumns({
+        "rec": D.recency_score("filed_at", AF), "cap": F.coalesce("pct", F.lit(0.0))})
     return f.select("filing_id", *_scored(M.filing_pending("normalized_form_type", "mat", "rec", "cap")))
 
 
@@ -569,28 +578,28 @@ def _(spark, sf):
 @query("mth_8_queue_priority", S.sql(_NEWSCAP + f"""
     , w AS (SELECT DISTINCT company_id FROM watchlist_members),
       hit AS (SELECT DISTINCT news_id FROM (SELECT news_id, unnest(company_tag_ids) AS c FROM news0) WHERE c IN (SELECT company_id FROM w)),
-      f AS (SELECT g.*, coalesce(p.pct, 0.0) AS cap, {S.recency('filed_at', S.AF)} AS rec, g.company_id IN (SELECT company_id FROM w) AS watched
-        FROM filings g LEFT JOIN percentile p ON g.company_id = p.company_id)
-    SELECT 'filing' AS kind, filing_id AS id, {S.cents(f"0.30 * {S.form_base('normalized_form_type', 50.0)} + 0.30 * {S.material('title')} + 0.20 * cap + 0.20 * rec")}
+      f AS (SELECT g.*, t.raw_text, coalesce(p.pct, 0.0) AS cap, {S.recency('g.filed_at', S.AF)} AS rec, g.company_id IN (SELECT company_id FROM w) AS watched
+        FROM filings g JOIN filing_text t ON t.filing_id = g.filing_id LEFT JOIN percentile p ON g.company_id = p.company_id)
+    SELECT 'filing' AS kind, filing_id AS id, {S.cents(f"0.30 * {S.form_base('normalized_form_type', 50.0)} + 0.30 * {S.material('raw_text')} + 0.20 * cap + 0.20 * rec")}
         + CASE WHEN watched THEN 20.0 ELSE 0.0 END AS full_priority,
       {S.cents(f"0.30 * {S.form_base('normalized_form_type', 50.0)} + 0.30 * {S.material("concat_ws(' ', title, event_type, nullif(array_to_string(item_numbers, ' '), ''))")} + 0.20 * cap + 0.20 * rec + CASE WHEN watched THEN 20.0 ELSE 0.0 END")}
         AS cheap_priority FROM f
-    UNION ALL SELECT 'news', x.news_id, {S.cents(f"0.25 * source_weight * 100.0 + 0.30 * {S.material('title')} + 0.15 * cap + 0.30 * rec")}
+    UNION ALL SELECT 'news', x.news_id, {S.cents(f"0.25 * source_weight * 100.0 + 0.30 * {S.material('excerpt')} + 0.15 * cap + 0.30 * rec")}
         + CASE WHEN h.news_id IS NOT NULL THEN 20.0 ELSE 0.0 END,
       {S.cents(S.cents(f"0.25 * source_weight * 100.0 + 0.30 * {S.material('excerpt')} + 0.15 * cap + 0.30 * rec") + " + CASE WHEN h.news_id IS NOT NULL THEN 20.0 ELSE 0.0 END")}
-      FROM x LEFT JOIN hit h ON x.news_id = h.news_id""", "news", "percentile", "filings", "watchlist_members"))
+      FROM x LEFT JOIN hit h ON x.news_id = h.news_id""", "news", "percentile", "filings", "filing_text", "watchlist_members"))
 def _(spark, sf):
     members = V.watchlist_members(spark, sf)
     pct = market_percentiles(V.companies(spark, sf))
-    f = flag_members(V.filings(spark, sf).join(pct, "company_id", "left"), members).withColumns({
+    f = flag_members(V.filings(spark, sf).join(pct, "company_id", "left"), members).join(_text_features(spark, sf), "filing_id").withColumns({
         "cap": F.coalesce("pct", F.lit(0.0)), "rec": D.recency_score("filed_at", AF)})
     f = f.select(F.lit("filing").alias("kind"), F.col("filing_id").alias("id"),
-                 M.filing_queue_priority("normalized_form_type", "title", "cap", "rec", "watched").alias("full_priority"),
+                 M.filing_queue_priority_of("normalized_form_type", "mat", "cap", "rec", "watched").alias("full_priority"),
                  M.filing_cheap_priority("normalized_form_type", "title", F.lit(None).cast("string"), "event_type",
                                          "item_numbers", "cap", "rec", "watched").alias("cheap_priority"))
     n = flag_watched(_news_cap(spark, sf), members, "news_id")
     n = n.select(F.lit("news").alias("kind"), F.col("news_id").alias("id"),
-                 (M.news_queue_priority("source_weight", "title", "cap", "rec")
+                 (M.news_queue_priority("source_weight", "excerpt", "cap", "rec")
                   + F.when(F.col("watched"), 20.0).otherwise(0.0)).alias("full_priority"),
                  M.news_queue_priority("source_weight", "excerpt", "cap", "rec", "watched").alias("cheap_priority"))
     return f.unionByName(n)

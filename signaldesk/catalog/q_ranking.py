@@ -73,7 +73,7 @@ _FRANK = S.look_up("normalized_form_type", {f: i for i, f in enumerate(K.FORM_LI
 @query("win_6_form_runs", S.sql(f"""
     , p AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY {_FRANK}, filed_at DESC, composite_score DESC, filing_id DESC) AS pos FROM filings),
       c AS (SELECT *, CASE WHEN lag(normalized_form_type) OVER (PARTITION BY company_id ORDER BY pos) = normalized_form_type THEN 0 ELSE 1 END AS ch
-        FROM p WHERE pos <= 20), r AS (SELECT *, sum(ch) OVER (PARTITION BY company_id ORDER BY pos) AS run FROM c)
+        FROM p), r AS (SELECT *, sum(ch) OVER (PARTITION BY company_id ORDER BY pos) AS run FROM c)
     SELECT company_id, run::BIGINT AS run, normalized_form_type, count(*) AS n, CAST(min(pos) AS INT) AS first_pos FROM r GROUP BY ALL""", "filings"))
 def _(spark, sf):
     return RK.form_runs(V.filings(spark, sf))

@@ -137,8 +137,7 @@ def _(spark, sf):
       t AS (SELECT page_id, p, regexp_replace(root || href, '[?#].*$', '') AS link, {sql_strip(_BASIC.format('inner_html'))} AS title FROM a
         WHERE starts_with(href, '/')),
       f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY p) AS first FROM t WHERE length(title) >= 4)
-    SELECT page_id, CAST(pos AS INT) AS pos, title, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS pos FROM f WHERE first = 1)
-    WHERE pos <= 12""")
+    SELECT page_id, CAST(pos AS INT) AS pos, title, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS pos FROM f WHERE first = 1)""")
 def _(spark, sf):
     return P.link_entries(V.pages(spark, sf), "page_id", "url", "html", min_title=4).select("page_id", "pos", "title", "link")
 
@@ -188,19 +187,24 @@ def _(spark, sf):
 
 
 @query("src_10_narrow_scan", """
-    SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars >= 1000""")
+    SELECT doc_id, lang, source, n_chars FROM documents""")
 def _(spark, sf):
-    return V.table(spark, sf, "documents").filter("n_chars >= 1000").select("doc_id", "lang", "source", "n_chars")
+    return V.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
 @query("src_11_trial_tables", S.sql("""
-    SELECT (SELECT count(*) FROM studies) AS studies, (SELECT count(*) FROM sponsors) AS sponsors,
-      (SELECT count(*) FROM conditions) AS conditions, (SELECT count(*) FROM interventions) AS interventions""",
+    SELECT 'study' AS part, nct_id, brief_title AS value, overall_status AS note FROM studies
+    UNION ALL SELECT 'sponsor', nct_id, name, lead_or_collaborator FROM sponsors
+    UNION ALL SELECT 'condition', nct_id, name, NULL FROM conditions UNION ALL SELECT 'intervention', nct_id, name, NULL FROM interventions""",
                                     "studies", "sponsors", "conditions", "interventions"))
 def _(spark, sf):
-    counts = {n: getattr(V, n)(spark, sf).agg(F.count(F.lit(1))).scalar() for n in ("sponsors", "conditions", "interventions")}
-    return V.studies(spark, sf).agg(F.count(F.lit(1)).alias("studies")).select(
-        "studies", *[c.alias(n) for n, c in counts.items()])
+    def part(rows, name: str, value: str, note):
+        return rows.select(F.lit(name).alias("part"), "nct_id", F.col(value).alias("value"), note.cast("string").alias("note"))
+
+    none = F.lit(None)
+    return part(V.studies(spark, sf), "study", "brief_title", F.col("overall_status")).unionByName(
+        part(V.sponsors(spark, sf), "sponsor", "name", F.col("lead_or_collaborator"))).unionByName(
+        part(V.conditions(spark, sf), "condition", "name", none)).unionByName(part(V.interventions(spark, sf), "intervention", "name", none))
 
 
 @query("snk_1_idempotent_append", """

@@ -16,8 +16,7 @@ def sentences(flat) -> Column:
 
 
 def flag_hits(lowered: Column, label: str, words) -> Column:
-    hits = F.array_compact(F.array(*[F.when(lowered.contains(w), F.lit(f"{label}: {w}")) for w in words]))
-    return F.slice(hits, 1, 3)
+    return F.array_compact(F.array(*[F.when(lowered.contains(w), F.lit(f"{label}: {w}")) for w in words]))
 
 
 def with_rule_summary(df: DataFrame, title: str, text: str) -> DataFrame:
@@ -31,7 +30,7 @@ def with_rule_summary(df: DataFrame, title: str, text: str) -> DataFrame:
     hits = sum((F.when(F.col("_low").contains(w), 1).otherwise(0) for w in K.SUMMARY_IMPORTANCE_WORDS), F.lit(0))
     out = staged.withColumns({
         "summary": F.coalesce(
-            F.nullif(F.substring(F.array_join(F.slice("_sent", 1, 2), " "), 1, 700), F.lit("")), col(title)),
+            F.nullif(F.array_join(F.slice("_sent", 1, 2), " "), F.lit("")), col(title)),
         "key_takeaways": F.when(F.size("_sent") > 0, F.slice("_sent", 1, 3)).otherwise(F.array(col(title))),
         "importance_score": F.least(30.0 + 10.0 * hits, F.lit(100.0)),
         **{name: flag_hits(F.col("_low"), label, words) for name, (label, words) in K.SUMMARY_FLAG_WORDS.items()},
@@ -40,15 +39,15 @@ def with_rule_summary(df: DataFrame, title: str, text: str) -> DataFrame:
 
 
 def summary_source(sections, raw_text, tier: str = "full_ai") -> Column:
-    """Text handed to a summariser: titled section excerpts, else the start of the raw text."""
-    per_section, whole, count = (1800, 8000, 3) if tier == "short_ai" else (3000, 18000, len(K.SECTION_ORDER))
+    """Text handed to a summariser: titled sections (the first three for the short tier), else the raw text; all whole."""
+    count = 3 if tier == "short_ai" else len(K.SECTION_ORDER)
     ordered = F.filter(
         F.array(*[F.struct(F.lit(name).alias("name"), col(sections)[name].alias("body")) for name in K.SECTION_ORDER]),
         lambda s: s["body"].isNotNull())
     blocks = F.transform(F.slice(ordered, 1, count),
-                         lambda s: F.concat(F.lit("["), s["name"], F.lit("]\n"), F.substring(s["body"], 1, per_section)))
+                         lambda s: F.concat(F.lit("["), s["name"], F.lit("]\n"), s["body"]))
     return F.when(F.size(ordered) > 0, F.array_join(blocks, "\n\n")).otherwise(
-        F.substring(F.coalesce(col(raw_text), F.lit("")), 1, whole))
+        F.coalesce(col(raw_text), F.lit("")))
 
 
 def summary_status(old_summary, old_hash, old_version, source_text, version: str, old_status) -> Column:
@@ -64,13 +63,6 @@ def looks_like_heading(line: Column) -> Column:
     return (n > 0) & (n <= 18) & ~(line.endswith(".") & (n > 4)) & (capital >= F.greatest(F.lit(1), F.floor(n / 2)))
 
 
-def word_cut(text: Column, limit: int) -> Column:
-    """Cut before ``limit`` characters at the last space, with dots; short text is kept."""
-    cut = F.substring(text, 1, limit - 3)
-    cut = F.when(cut.contains(" "), F.regexp_replace(cut, r"(?s) [^ ]*$", "")).otherwise(cut)
-    return F.when(F.length(text) > limit, F.concat(cut, F.lit("..."))).otherwise(text)
-
-
 SNIPPET_SECTIONS = ("md&a", "business", "risk_factors", "legal_proceedings", "financial_statements")
 
 
@@ -78,17 +70,16 @@ def section_snippet(sections) -> Column:
     body = F.coalesce(*[F.nullif(col(sections)[name], F.lit("")) for name in SNIPPET_SECTIONS])
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     prose = F.filter(lines, lambda x: ~((F.size(F.split(x, r"\s+")) <= 8) & looks_like_heading(x)))
-    return word_cut(F.coalesce(F.get(prose, F.lit(0)), F.get(lines, F.lit(0))), 240)
+    return F.coalesce(F.get(prose, F.lit(0)), F.get(lines, F.lit(0)))
 
 
 def list_summary(norm_form, title, event_type, item_array, sections, description) -> Column:
     """What a list shows when no summary exists yet."""
     has_title = F.nullif(col(title), F.lit("")).isNotNull()
     event = F.replace(col(event_type), F.lit("-"), F.lit(" "))
-    event = F.concat(F.upper(F.substring(event, 1, 1)), F.lower(F.substring(event, 2, 1000)))
+    event = F.concat(F.upper(F.substring(event, 1, 1)), F.lower(F.substr(event, F.lit(2))))
     items = F.array_join(F.slice(col(item_array), 1, 3), ", ")
-    fallback = F.substring(F.coalesce(F.nullif(col(description), F.lit("")), F.nullif(col(title), F.lit("")), F.lit("")),
-                           1, 240)
+    fallback = F.coalesce(F.nullif(col(description), F.lit("")), F.nullif(col(title), F.lit("")), F.lit(""))
     ladder = (
         F.when(has_title & (col(norm_form) == "8-K"), col(title))
         .when(has_title & col(event_type).isNotNull() & col(norm_form).isin("8-K", "6-K"),

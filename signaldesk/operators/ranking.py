@@ -145,13 +145,29 @@ def latest_per_company(df: DataFrame, ts: str, key: str) -> DataFrame:
     return top_n(df, ["company_id"], [F.col(ts).desc(), F.col("composite_score").desc(), F.col(key).desc()], 1)
 
 
-def form_runs(filings: DataFrame, per_company: int = 20) -> DataFrame:
-    """Runs of neighbouring equal form types in each company's displayed list."""
-    listed = top_n(filings, ["company_id"], company_list_order(), per_company, rank="pos")
-    w = Window.partitionBy("company_id").orderBy("pos")
-    starts = F.coalesce((F.col("normalized_form_type") != F.lag("normalized_form_type").over(w)).cast("int"), F.lit(1))
-    return listed.withColumn("run", F.sum(starts).over(w)).groupBy("company_id", "run", "normalized_form_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+def form_runs(filings: DataFrame) -> DataFrame:
+    """Runs of neighbouring equal form types in each company's list, over its whole history.
+
+    The list is cut into pieces (form priority, day), so one company's history is spread over many tasks.  A piece is
+    summed up by its runs: their rows, its first and its last form.  Where a piece starts with the form that the piece
+    before ends with, the two runs are one; run numbers and places are running sums over the (few) pieces.
+    """
+    form, piece = F.col("normalized_form_type"), ["company_id", "_rank", "_day"]
+    rows = filings.withColumns({"_rank": form_rank("normalized_form_type"), "_day": F.col("filed_at").cast("date")})
+    inside = Window.partitionBy(*piece).orderBy(*company_list_order())
+    starts = F.when(F.row_number().over(inside) == 1, 0).otherwise(F.coalesce((form != F.lag(form).over(inside)).cast("int"), F.lit(1)))
+    rows = rows.withColumns({"_start": starts, "_at": F.row_number().over(inside)}).withColumn("_run", F.sum("_start").over(inside))
+    runs = rows.groupBy(*piece, "_run", form).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at"))
+    pieces = runs.groupBy(*piece).agg(
+        F.sum("n").alias("_rows"), F.max("_run").alias("_inner"), F.min_by(form, "_run").alias("_first"), F.max_by(form, "_run").alias("_last"))
+    across = Window.partitionBy("company_id").orderBy(F.col("_rank").asc(), F.col("_day").desc())
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce((F.col("_first") != F.lag("_last").over(across)).cast("int"), F.lit(1))
+    pieces = pieces.withColumn("_opens", opens).select(
+        *piece, (F.coalesce(F.sum(F.col("_opens") + F.col("_inner")).over(before), F.lit(0)) + F.col("_opens")).alias("_run0"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_at0"))
+    return runs.join(pieces, piece).groupBy("company_id", (F.col("_run0") + F.col("_run")).alias("run"), form).agg(
+        F.sum("n").alias("n"), F.min(F.col("_at0") + F.col("_at")).cast("int").alias("first_pos"))
 
 
 def page_local_personal(df: DataFrame, page_order: list[Column], order: list[Column], limit: int,

@@ -52,13 +52,11 @@ def trial_order() -> list[Column]:
     return [F.col("last_update_date").desc_nulls_last(), F.col("trial_id").desc()]
 
 
-def trial_phases(trials: DataFrame, per_company: int = 100) -> DataFrame:
-    """Each company's latest trials (the list shows at most 100) by phase."""
-    latest = top_n(trials, ["company_id"], trial_order(), per_company, rank="pos")
-    return latest.withColumn("phase", F.coalesce("phase", F.lit("Unknown"))).groupBy("company_id", "phase").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "nct_id"))), lambda x: x["nct_id"]).alias("trials"),
-    ).withColumn("phase_rank", phase_rank("phase"))
+def trial_phases(trials: DataFrame) -> DataFrame:
+    """Each company's trials by phase: how many, and the latest one (in ``trial_order``)."""
+    at = F.struct(F.coalesce(F.col("last_update_date").cast("date"), F.lit("0001-01-01").cast("date")), "trial_id")
+    return trials.withColumn("phase", F.coalesce("phase", F.lit("Unknown"))).groupBy("company_id", "phase").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("nct_id", at).alias("latest_trial")).withColumn("phase_rank", phase_rank("phase"))
 
 
 def preset_watchlists(companies: DataFrame) -> DataFrame:
@@ -276,16 +274,14 @@ def company_snapshot(companies, filings, news, trials, calendar, texts, as_of_fi
     """One row per active company: counts, latest items, trend, phases, business text, changes, catalyst lines."""
     active = companies.filter("is_active")
     counts = filings.groupBy("company_id").agg(F.count(F.lit(1)).alias("filings_count"))
-    listed = top_n(filings, ["company_id"], RK.company_list_order(), 20)
-    latest = RK.latest_per_company(listed, "filed_at", "filing_id").select(
+    latest = RK.latest_per_company(filings, "filed_at", "filing_id").select(
         "company_id", F.col("filing_id").alias("latest_filing"), "filing_id")
     detail = latest.join(texts.select("filing_id", "raw_text"), "filing_id")
     detail = R.with_rule_summary(detail.withColumn("_t", F.lit("")), "_t", "raw_text").select(
-        "company_id", "latest_filing", F.trim(F.substring("raw_text", 1, 420)).alias("business_summary"),
+        "company_id", "latest_filing", F.trim("raw_text").alias("business_summary"),
         F.slice(F.when(F.size("material_changes") > 0, F.col("material_changes")).otherwise(F.col("key_takeaways")), 1, 4)
         .alias("change_summary"))
-    recent_news = top_n(company_news(news), ["company_id"], RK.importance_order("published_at", "news_id"), 20)
-    latest_news = RK.latest_per_company(recent_news, "published_at", "news_id").select(
+    latest_news = RK.latest_per_company(company_news(news), "published_at", "news_id").select(
         "company_id", F.col("news_id").alias("latest_news"))
     latest_trial = top_n(trials, ["company_id"], trial_order(), 1).select("company_id", F.col("nct_id").alias("latest_trial"))
     phases = trial_phases(trials).groupBy("company_id").agg(F.sort_array(F.collect_list(
@@ -314,22 +310,19 @@ def watchlist_briefing(members, filings, news, trials, calendar, companies, as_o
     Sections: filings (120 days) and news (30 days) by relevance, trials, timeline, catalysts.
     """
     wl = "watchlist_id"
-    top = max(limit, 12)
 
     def owned(df: DataFrame) -> DataFrame:
         return df.join(members, "company_id")
 
     f = owned(O.recent(filings, "filed_at", as_of_filings, 120)).withColumn("relevance", M.personal_relevance(
         "composite_score", D.recency_score("filed_at", as_of_filings), F.lit(True), F.lit(True), "event_type"))
-    f = top_n(f, [wl], RK.personal_order("filed_at", "filing_id"), top, rank="pos")
     n = company_news(O.recent(news, "published_at", as_of_news, 30), wl, members).withColumn("relevance", M.personal_relevance(
         "composite_score", D.recency_score("published_at", as_of_news), "is_official", F.lit(True), "event_type"))
-    n = top_n(n, [wl], RK.personal_order("published_at", "news_id"), top, rank="pos")
-    t = top_n(owned(trials), [wl], trial_order(), min(limit, 12), rank="pos")
+    t = owned(trials)
     cal = O.calendar_range(calendar, as_of_filings, 90, 180)
     c_hits = cal.select("event_id", F.explode("company_tag_ids").alias("company_id")).join(members, "company_id").select(
         "event_id", wl).distinct()
-    c = top_n(cal.join(c_hits, "event_id"), [wl], calendar_order(as_of_filings), min(max(limit, 10), 12))
+    c = cal.join(c_hits, "event_id")
 
     def keep(df: DataFrame, events) -> DataFrame:
         """Run an event projection and carry the watchlist through its id column."""
@@ -346,10 +339,13 @@ def watchlist_briefing(members, filings, news, trials, calendar, companies, as_o
     def section(df: DataFrame, name: str, item: Column) -> DataFrame:
         return df.select(wl, F.lit(name).alias("section"), "pos", item.alias("item"))
 
+    def best(df: DataFrame, order: list[Column]) -> DataFrame:
+        return top_n(df, [wl], order, limit, rank="pos")
+
     return (
-        section(f.filter(F.col("pos") <= limit), "filings", F.col("filing_id").cast("string"))
-        .unionByName(section(n.filter(F.col("pos") <= limit), "news", F.col("news_id").cast("string")))
-        .unionByName(section(t, "trials", F.col("nct_id")))
+        section(best(f, RK.personal_order("filed_at", "filing_id")), "filings", F.col("filing_id").cast("string"))
+        .unionByName(section(best(n, RK.personal_order("published_at", "news_id")), "news", F.col("news_id").cast("string")))
+        .unionByName(section(best(t, trial_order()), "trials", F.col("nct_id")))
         .unionByName(section(line, "timeline", F.col("id")))
         .unionByName(section(cats, "catalysts", F.col("id")))
     )

@@ -51,11 +51,13 @@ def with_market(df: DataFrame, companies: DataFrame) -> DataFrame:
         "market", F.coalesce("pct", F.lit(0.0))).drop("pct")
 
 
-def rank_pending(filings: DataFrame, companies: DataFrame, as_of, limit: int = 50, text: str = "title") -> DataFrame:
-    """Best pending filings of active companies."""
+def rank_pending(filings: DataFrame, texts: DataFrame, companies: DataFrame, as_of, limit: int = 50) -> DataFrame:
+    """Best pending filings of active companies, scored on their whole texts (filing_id, raw_text)."""
     active = companies.filter("is_active")
-    rows = with_market(filings.filter(F.col("status") == "pending"), active).withColumns({
-        "recency": D.recency_score("filed_at", as_of), "material": M.material_score(text)})
+    # Each text becomes its score where it is read.
+    material = texts.select("filing_id", M.material_score("raw_text").alias("material"))
+    rows = with_market(filings.filter(F.col("status") == "pending"), active).join(material, "filing_id", "left").withColumns({
+        "recency": D.recency_score("filed_at", as_of), "material": F.coalesce("material", F.lit(0.0))})
     scored = rows.withColumns(M.filing_pending("normalized_form_type", "material", "recency", "market"))
     best = RK.page(scored, RK.importance_order("filed_at", "filing_id"), limit)
     return best.select(

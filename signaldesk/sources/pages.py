@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signaldesk import constants as K
 from signaldesk.functions import text as T
@@ -14,8 +14,8 @@ NOT_LINKS = r"^(mailto:|javascript:|#)|^$"
 
 
 def link_entries(pages: DataFrame, key: str, url: str, html: str, path_patterns: tuple[str, ...] = (),
-                 min_title: int = 15, per_page: int = 12) -> DataFrame:
-    """First ``per_page`` usable links of each page: (key, pos, title, link, date_text).
+                 min_title: int = 15, per_page: int | None = None) -> DataFrame:
+    """Usable links of each page (all, or the first ``per_page``): (key, pos, title, link, date_text).
 
     The date is the nearest one after the link, inside its surrounding list
     item or block when the page marks one.
@@ -39,7 +39,8 @@ def link_entries(pages: DataFrame, key: str, url: str, html: str, path_patterns:
         usable = usable.filter(test)
     usable = usable.filter(F.length("title") >= min_title)
     first = top_n(usable, [key, "link"], [F.col("_pos").asc()], 1)
-    return top_n(first, [key], [F.col("_pos").asc()], per_page, rank="pos").select(key, "pos", "title", "link", "date_text")
+    placed = first.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("_pos")))
+    return (placed if per_page is None else placed.filter(F.col("pos") <= per_page)).select(key, "pos", "title", "link", "date_text")
 
 
 def host_of(url) -> Column:
@@ -47,7 +48,7 @@ def host_of(url) -> Column:
 
 
 def article_text(url, html) -> Column:
-    """Text of the site's own block, else of ``<article>``, else of the first 40 paragraphs."""
+    """Text of the site's own block, else of ``<article>``, else of all paragraphs."""
     page = F.regexp_replace(col(html), r"(?s)<!--.*?-->", " ")
     article = F.nullif(F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)</article>", 1), F.lit(""))
     blocks = F.lit(None).cast("string")
@@ -56,7 +57,7 @@ def article_text(url, html) -> Column:
             article, rf'(?is)<(?:div|section)\b[^>]*class\s*=\s*["\'][^"\']*\b{css}\b[^"\']*["\'][^>]*>(.*)</(?:div|section)>', 1),
             F.lit(""))
         blocks = F.coalesce(blocks, F.when(host_of(url).contains(site), block))
-    paragraphs = F.slice(F.regexp_extract_all(page, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), 1, 40)
+    paragraphs = F.regexp_extract_all(page, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
     loose = F.array_join(F.transform(paragraphs, lambda p: T.squeeze(T.unescape_basic(T.strip_markup(p)))), " ")
     return F.coalesce(*[T.squeeze(T.unescape_basic(T.strip_markup(b))) for b in (blocks, article)], loose)
 
@@ -72,10 +73,10 @@ def _meta(html, attribute: str, value: str) -> Column:
 
 
 def published_time(html) -> Column:
-    """Metadata tags, then ``<time datetime>``, then the first date in the leading text."""
+    """Metadata tags, then ``<time datetime>``, then the first date in the text."""
     marked = F.regexp_extract(col(html), r'(?is)<time\b[^>]*\bdatetime\s*=\s*["\']([^"\']+)["\']', 1)
     stated = F.array(*[_meta(html, a, v) for a, v in TIME_METAS], marked)
     # One parser over the candidates, in order; the first that parses wins.
     parsed = F.filter(F.transform(stated, lambda t: parse_published(t)), lambda t: t.isNotNull())
-    lead = F.substring(T.squeeze(T.unescape_basic(T.strip_markup(html))), 1, 1200)
-    return F.coalesce(F.get(parsed, F.lit(0)), parse_month_day_year(T.date_text(lead)))
+    shown = T.squeeze(T.unescape_basic(T.strip_markup(html)))
+    return F.coalesce(F.get(parsed, F.lit(0)), parse_month_day_year(T.date_text(shown)))
