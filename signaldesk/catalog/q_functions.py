@@ -68,11 +68,13 @@ def sql_strip(x):
 
 
 @query("str_6_inline_text", f"""
-    WITH t AS (SELECT page_id, coalesce({_BASIC.format('html')}, '') AS raw FROM pages)
+    WITH t AS (SELECT page_id, coalesce({_BASIC.format('html')}, '') || ' R&D — é’ &unknown; ' || chr(119808 + CAST(page_id % 26 AS INT)) AS raw FROM pages)
     SELECT page_id, CASE WHEN contains(raw, '<') OR contains(raw, '>') THEN {sql_strip('raw')}
       ELSE trim(regexp_replace(raw, '\\s+', ' ', 'g')) END AS text FROM t""")
 def _(spark, sf):
-    return V.pages(spark, sf).select("page_id", T.inline_text("html").alias("text"))
+    # Entities of all kinds behind each page's markup.
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit(" R&#38;D &#x2014; &eacute;&#8217; &unknown; &#"), (F.col("page_id") % 26 + 119808).cast("string"), F.lit(";"))
+    return V.pages(spark, sf).select("page_id", T.inline_text(html).alias("text"))
 
 
 @query("str_7_entity_text", f"SELECT doc_id, {S.entity('text')} AS norm FROM documents")
@@ -88,10 +90,11 @@ def _(spark, sf):
 
 
 @query("str_8_sponsor_text_full", f"""
-    SELECT doc_id, trim(regexp_replace(replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g'), '&', ' and '),
+    SELECT doc_id, trim(regexp_replace(replace(regexp_replace(lower(strip_accents('Nguyen Hoa Dat ab 7 fi ffl ij ' || text)), '[^\\x00-\\x7F]', '', 'g'), '&', ' and '),
       '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents""")
 def _(spark, sf):
-    return V.documents(spark, sf).select("doc_id", T.sponsor_text_full("text").alias("norm"))
+    # Vietnamese, full-width, ligature and double letters before each text.
+    return V.documents(spark, sf).select("doc_id", T.sponsor_text_full(F.concat(F.lit("Nguyễn Hoà Ðat ａｂ ７ ﬁ ﬄ ĳ ".replace("Ð", "D")), "text")).alias("norm"))
 
 
 _SUF = "|".join(K.LEGAL_SUFFIXES)
@@ -516,17 +519,26 @@ def _scored(fn):
     return [c.alias(n) for n, c in fn.items()]
 
 
-@query("mth_4_filing_complete", S.sql(f"""
-    , x AS (SELECT f.filing_id, importance_score AS llm, {S.material('title')} AS mat, {S.recency('filed_at', S.AF)} AS rec,
-        coalesce(p.pct, 0.0) AS cap FROM filings f LEFT JOIN percentile p ON f.company_id = p.company_id),
-      y AS (SELECT *, {S.cents('0.25 * 65.0 + 0.20 * 55.0 + 0.15 * mat + 0.15 * llm + 0.25 * rec')} AS impact_score FROM x)
+@query("mth_4_filing_complete", S.sql(S.SHARED_WORDS.format(links="SELECT filing_id, filing_id - 1 AS prior_id FROM filing_text") + f"""
+    , m AS (SELECT filing_id, {S.material('raw_text')} AS mat, CASE WHEN len({_NUMS}) > 0 THEN list_sum({_NUMS}) / len({_NUMS}) END AS mean FROM filing_text),
+      x AS (SELECT f.filing_id, importance_score AS llm, m.mat, {S.recency('filed_at', S.AF)} AS rec, coalesce(p.pct, 0.0) AS cap,
+          CASE WHEN q.filing_id IS NULL THEN 65.0::DOUBLE ELSE {S.cents('(1.0 - coalesce(s.n, 0)::DOUBLE / (a.n + b.n - coalesce(s.n, 0))) * 100.0')} END AS nov,
+          CASE WHEN m.mean IS NULL THEN 10.0::DOUBLE WHEN q.mean IS NULL THEN 55.0 WHEN q.mean = 0 THEN 60.0
+            ELSE {S.cents('least(abs(m.mean - q.mean) / greatest(abs(q.mean), 1.0) * 100.0, 100.0)')} END AS quant
+        FROM filings f JOIN m ON m.filing_id = f.filing_id LEFT JOIN m q ON q.filing_id = f.filing_id - 1 LEFT JOIN word_counts a ON a.filing_id = f.filing_id
+          LEFT JOIN word_counts b ON b.filing_id = q.filing_id LEFT JOIN shared s ON s.filing_id = f.filing_id LEFT JOIN percentile p ON f.company_id = p.company_id),
+      y AS (SELECT *, {S.cents('0.25 * nov + 0.20 * quant + 0.15 * mat + 0.15 * llm + 0.25 * rec')} AS impact_score FROM x)
     SELECT filing_id, {S.cents('cap')} AS market_cap_score, {S.cents('llm')} AS importance_score, impact_score,
-      {S.cents('0.20 * cap + 0.50 * impact_score + 0.30 * rec')} AS composite_score FROM y""", "filings", "percentile"))
+      {S.cents('0.20 * cap + 0.50 * impact_score + 0.30 * rec')} AS composite_score FROM y""", "filings", "filing_text", "percentile"))
 def _(spark, sf):
     pct = market_percentiles(V.companies(spark, sf))
-    f = V.filings(spark, sf).join(pct, "company_id", "left").withColumns({
-        "mat": M.material_score("title"), "rec": D.recency_score("filed_at", AF), "cap": F.coalesce("pct", F.lit(0.0))})
-    return f.select("filing_id", *_scored(M.filing_complete(F.lit(65.0), F.lit(55.0), "mat", "importance_score", "rec", "cap")))
+    t = V.filing_text(spark, sf).withColumn("nums", M.number_list("raw_text")).select(
+        "filing_id", M.material_score("raw_text").alias("mat"), M.mean_of("nums").alias("mean"), M.word_set("raw_text").alias("words"))
+    prior = t.select((F.col("filing_id") + 1).alias("filing_id"), F.col("mean").alias("prior_mean"), F.col("words").alias("prior_words"))
+    f = V.filings(spark, sf).join(pct, "company_id", "left").join(t, "filing_id").join(prior, "filing_id", "left").withColumns({
+        "rec": D.recency_score("filed_at", AF), "cap": F.coalesce("pct", F.lit(0.0)), "nov": M.novelty("words", "prior_words"),
+        "quant": M.quantitative_delta("mean", "prior_mean")})
+    return f.select("filing_id", *_scored(M.filing_complete("nov", "quant", "mat", "importance_score", "rec", "cap")))
 
 
 @query("mth_5_filing_pending", S.sql(f"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -76,15 +78,22 @@ def sponsor_text(name) -> Column:
     return entity_text(F.replace(ascii_only, F.lit("&"), F.lit(" and ")))
 
 
-# Letters whose compatibility form starts with one ASCII letter and marks, by that rule, up to Latin Extended-B.
-_FOLDED = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0xC0, 0x250)}
+# By rule: every letter or digit of the basic plane whose compatibility form is ASCII but for marks.
+_FOLDED = {chr(c): a for c in range(0x80, 0x10000)
+           if unicodedata.category(chr(c))[0] in "LN" and (a := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()).isalnum()}
 _FOLD_FROM = "".join(c for c, a in _FOLDED.items() if len(a) == 1)
 _FOLD_TO = "".join(a for a in _FOLDED.values() if len(a) == 1)
+_FOLD_LONG = {c: a for c, a in _FOLDED.items() if len(a) > 1 and unicodedata.category(c)[0] == "L"}   # ligatures and double letters
 
 
 def sponsor_text_full(name) -> Column:
-    """As ``sponsor_text``, for names beyond Latin-1 letters."""
-    folded = F.translate(F.coalesce(col(name), F.lit("")), _FOLD_FROM, _FOLD_TO)
+    """As ``sponsor_text``, for all letters that have an ASCII form: Vietnamese, full-width, ligatures."""
+    text = F.coalesce(col(name), F.lit(""))
+    folded = F.translate(text, _FOLD_FROM, _FOLD_TO)
+    long = folded
+    for letter, plain in _FOLD_LONG.items():
+        long = F.replace(long, F.lit(letter), F.lit(plain))
+    folded = F.when(folded.rlike("[" + "".join(_FOLD_LONG) + "]"), long).otherwise(folded)
     return entity_text(F.replace(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), F.lit("&"), F.lit(" and ")))
 
 
@@ -102,16 +111,25 @@ def core_compact_name(name) -> Column:
 
 
 # ---- light HTML -----------------------------------------------------------------
-# fixed values: the entities that pages of this kind use
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Names of the language's standard table; the blank that does not break is a plain one here.
+_ENTITIES = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"})
 
 
-def unescape_basic(text) -> Column:
-    out = col(text)
-    for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+def unescape(text) -> Column:
+    """Decodes named, decimal and hexadecimal entities, each once; what is none stays as it is."""
+    parts = F.split(col(text), "&")
+    names = F.from_json(F.lit(_ENTITIES), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).cast("bigint")
+        usable = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(usable, F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        found = F.coalesce(char, F.try_element_at(names, name))
+        return F.coalesce(F.concat(found, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.when(F.size(parts) > 1, F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))).otherwise(col(text))
 
 
 def strip_markup(markup) -> Column:
@@ -126,7 +144,7 @@ def inline_text(markup) -> Column:
     Text without tags passes the stripping unchanged, so one chain serves both.
     """
     given = F.coalesce(col(markup), F.lit(""))
-    return squeeze(strip_markup(unescape_basic(given)))
+    return squeeze(strip_markup(unescape(given)))
 
 
 # ---- extracted text cleaning --------------------------------------------------------

@@ -17,14 +17,11 @@ def covered_companies(issuers: DataFrame, allow: DataFrame | None = None, deny:
     """Issuers in the covered industries, with manual include and exclude lists.
 
     ``allow`` and ``deny`` have one column ``code`` (a padded cik or a ticker).
-    Deny wins over allow, allow wins over the industry test.
+    Deny wins over allow, allow wins over the industry test.  ``limit`` keeps the first covered ones by cik.
     """
     rows = issuers.withColumn("ticker", F.nullif(F.upper(F.trim(F.col("ticker"))), F.lit("")))
     if only_tickers:
         rows = rows.filter(F.col("ticker").isin(*[t.upper() for t in only_tickers]))
-    if limit is not None:
-        rows = rows.limit(limit)
-
     def flag(df: DataFrame, codes: DataFrame | None, name: str) -> DataFrame:
         if codes is None:
             return df.withColumn(name, F.lit(False))
@@ -37,11 +34,12 @@ def covered_companies(issuers: DataFrame, allow: DataFrame | None = None, deny:
         )
 
     rows = flag(flag(rows, allow, "allowed"), deny, "denied")
-    return (
+    covered = (
         rows.filter(~F.col("denied") & (F.col("allowed") | F.col("sic").isin(*K.COVERED_SIC)))
         .withColumn("universe_reason", F.when(F.col("allowed"), "manual-allowlist").otherwise("sic-allowlist"))
         .drop("allowed", "denied")
     )
+    return covered if limit is None else covered.orderBy("cik").limit(limit)
 
 
 def recent(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:

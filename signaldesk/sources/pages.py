@@ -58,8 +58,8 @@ def article_text(url, html) -> Column:
             F.lit(""))
         blocks = F.coalesce(blocks, F.when(host_of(url).contains(site), block))
     paragraphs = F.regexp_extract_all(page, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
-    loose = F.array_join(F.transform(paragraphs, lambda p: T.squeeze(T.unescape_basic(T.strip_markup(p)))), " ")
-    return F.coalesce(*[T.squeeze(T.unescape_basic(T.strip_markup(b))) for b in (blocks, article)], loose)
+    loose = F.array_join(F.transform(paragraphs, lambda p: T.squeeze(T.unescape(T.strip_markup(p)))), " ")
+    return F.coalesce(*[T.squeeze(T.unescape(T.strip_markup(b))) for b in (blocks, article)], loose)
 
 
 # fixed values: page metadata that carries a publication time, in order of trust
@@ -78,5 +78,5 @@ def published_time(html) -> Column:
     stated = F.array(*[_meta(html, a, v) for a, v in TIME_METAS], marked)
     # One parser over the candidates, in order; the first that parses wins.
     parsed = F.filter(F.transform(stated, lambda t: parse_published(t)), lambda t: t.isNotNull())
-    shown = T.squeeze(T.unescape_basic(T.strip_markup(html)))
+    shown = T.squeeze(T.unescape(T.strip_markup(html)))
     return F.coalesce(F.get(parsed, F.lit(0)), parse_month_day_year(T.date_text(shown)))
