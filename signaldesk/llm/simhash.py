@@ -35,7 +35,7 @@ LEAF = 2_000             # nodes a leaf should hold
 SEED = 42
 SIMILAR = (4, 5)         # least similarity of near copies in the pipeline, as a fraction
 BANDS, ROWS = 24, 5      # minima that find its candidates
-PHASES = (0, 1), (1, 4), (4, BANDS)   # bands looked at together
+PHASES = (0, 2), (2, BANDS)   # bands looked at together
 GROUP = 256              # pairs of a leader that are checked together
 MIX = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -255,17 +255,17 @@ def components(edges: DataFrame) -> DataFrame:
         return r["n"], r["h"]
 
     def step(pairs, emit):
-        least = staged(pairs.groupBy("a").agg(F.min("b").alias("m")), "least")
-        return emit(pairs.join(least, "a"))
+        return emit(pairs.join(pairs.groupBy("a").agg(F.min("b").alias("m")), "a"))
 
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = mark(edges)
     while last[0]:
-        both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = step(both, lambda j: j.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
         large = staged(large.distinct(), "large")
         small = step(large, lambda j: j.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b"))
-        edges = staged(small.distinct(), "edges")
+        old, edges = edges, staged(small.distinct(), "edges")
+        discard(old, large)
         now = mark(edges)
         if now == last:
             break
@@ -331,7 +331,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     small_batches(pairs.sparkSession, 200)
     held = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = staged(pairs.join(held, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), "groups").alias("group")), "dealt")
+    dealt = pairs.join(held, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), "groups").alias("group"))
     members = dealt.join(texts.hint("merge"), "node").select("leader", "group", "node", F.col("text").alias("right"))
     leaders = dealt.select("leader", "group").distinct().join(texts.select(F.col("node").alias("leader"), F.col("text").alias("left")).hint("merge"), "leader")
     both = members.join(leaders.hint("merge"), ["leader", "group"]).select("leader", "node", "left", "right")
@@ -348,9 +348,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok[i] = SIMILAR[1] * shared >= SIMILAR[0] * (len(x) + len(y) - shared)
             yield pd.DataFrame({"a": pdf["leader"][ok], "b": pdf["node"][ok]})
 
-    found = staged(both.mapInPandas(check, "a long, b long"), "similar")
-    discard(dealt)
-    return found
+    return staged(both.mapInPandas(check, "a long, b long"), "similar")
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -370,9 +368,10 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     stars = staged(spark.createDataFrame([], "node long, root long"), "stars")
     tested = staged(spark.createDataFrame([], "leader long, node long"), "tested")
     for low, high in PHASES:
-        members, lead = all_members.where(F.col("band").between(low, high - 1)).drop("band"), 1
+        members, lead, read = all_members.where(F.col("band").between(low, high - 1)).drop("band"), 1, []
         while True:
             rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+            discard(*read)
             parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
             main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
             main = staged(main.where("parts > 1").select("bucket", "main"), "main")
@@ -395,8 +394,9 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             edges = similar_pairs(pairs, texts)
             if not edges.isEmpty():
                 stars = staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
-            members = staged(left.select("bucket", "node", "n").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "members")
-            discard(rooted, main, left, leaders)
+            members = left.select("bucket", "node", "n").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+            discard(rooted, main)
+            read = [left, leaders]
             lead = min(lead * 8, 512)
     return stars
 
