@@ -357,20 +357,23 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     Bands are taken in ``PHASES``: what the first ones join needs no more checks in the later ones.  In each round some
     members of a bucket lead: each is checked against all others of the bucket that are not in its component yet, and
     then leaves the bucket.  A bucket is done when one component holds the rest of it, so every candidate pair is either
-    checked or joined already, and a large group of copies costs about one pair a member.
+    checked or joined already.  The members that meet most others lead first: the text that a group of copies was made of is
+    nearer to all of them than they are to each other, so such a group costs about one pair a member.
     """
     spark = nodes.sparkSession
     members = staged(nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n"), "members")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    all_members = staged(members.join(shared, "bucket"), "shared")
-    discard(members)
+    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    met = staged(members.join(shared, "bucket"), "met")
+    degree = met.groupBy("node").agg(F.sum("k").alias("degree"))
+    all_members = staged(met.drop("k").join(degree, "node"), "shared")
+    discard(members, met)
     texts = bucketed(texts.join(all_members.select("node").distinct(), "node", "left_semi").select("node", F.col("text").cast("binary").alias("text")), "node")
     stars = staged(spark.createDataFrame([], "node long, root long"), "stars")
     tested = staged(spark.createDataFrame([], "leader long, node long"), "tested")
     for low, high in PHASES:
         members, lead, read = all_members.where(F.col("band").between(low, high - 1)).drop("band"), 1, []
         while True:
-            rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+            rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", "degree", F.coalesce("root", "node").alias("root")), "rooted")
             discard(*read)
             parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
             main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
@@ -378,7 +381,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             if main.isEmpty():
                 break
             left = staged(rooted.join(main, "bucket"), "left")
-            nth = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+            nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
             leaders = left.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
             leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
             # The ratio of the sizes bounds the similarity.
@@ -394,7 +397,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             edges = similar_pairs(pairs, texts)
             if not edges.isEmpty():
                 stars = staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
-            members = left.select("bucket", "node", "n").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+            members = left.select("bucket", "node", "n", "degree").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
             discard(rooted, main)
             read = [left, leaders]
             lead = min(lead * 8, 512)
