@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from signaldesk import constants as K
 from signaldesk.catalog import query, sqltext as S
 from signaldesk.catalog.q_aggregates import QUEUE_SQL
-from signaldesk.catalog.q_functions import _NUMS, tsfmt
+from signaldesk.catalog.q_functions import _BASIC, _NUMS, tsfmt
 from signaldesk.catalog.q_joins import _GRP, _quotes
 from signaldesk.catalog.q_ranking import CATALYST_SQL, CATALYST_VIEWS, TIMELINE_SQL, _FRANK, _pos, catalyst_rows
 from signaldesk.catalog.q_tagging import BEST_SQL
+from signaldesk.catalog.q_text import _TAGLESS
 from signaldesk.functions import text as T
 from signaldesk.operators import ranking as RK, sync
 from signaldesk.plans import (
@@ -99,7 +100,7 @@ def _entries(spark, sf):
     return e.select(
         F.col("news_id").alias("entry_id"), F.concat("title", named).alias("title"),
         F.concat("canonical_url", F.lit("?utm_source=feed#x")).alias("link"), F.col("excerpt").alias("summary"),
-        F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("published"), F.lit(None).cast("string").alias("article_text"),
+        F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("published"),
         "source_name", "source_weight", F.array(F.lit("biotech")).alias("feed_tags"),
         F.when(F.col("is_official"), "official_company_pr").alias("source_type"), "is_official",
         F.when(F.col("is_official"), F.lit(7).cast("bigint")).alias("seed_company_id"))
@@ -122,20 +123,45 @@ _NEWS_SCORED = f"""
     """
 
 
-@query("ds_3_news_ingest", S.sql(_ENTRY_SQL + f"""
-    , tt AS (SELECT *, CASE WHEN is_official THEN list_concat([7], list_filter(found, lambda x: x <> 7)) ELSE found END AS tags,
-        list_sort(list_distinct(list_concat(['biotech'], {S.topics('title', 'body')}))) AS topics FROM tg
-        WHERE NOT regexp_matches(lower(title), 'webinar|whitepaper|sponsored|advertisement') AND source_name <> 'view')
+def _fetched(spark, sf):
+    """Pages behind every fifth story, each in an older version without its time as well."""
+    p = V.pages(spark, sf)
+    n = V.news(spark, sf).filter("news_id % 5 = 0").select("news_id", "canonical_url").withColumn(
+        "page_id", F.col("news_id") % p.agg(F.max("page_id") + 1).scalar())
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("news_id") % 300).cast("int"))
+    meta = F.concat(F.lit('<body><meta name="pubdate" content="'), day.cast("string"), F.lit('T10:30:00Z">'))
+    both = n.join(p.select("page_id", "html"), "page_id")
+    new = both.select(F.concat("canonical_url", F.lit("?x=1")).alias("url"), F.replace("html", F.lit("<body>"), meta).alias("html"), F.lit(2).alias("fetched_at"))
+    return new.unionByName(both.select(F.col("canonical_url").alias("url"), F.lit("<body><article>old</article></body>").alias("html"), F.lit(1).alias("fetched_at")))
+
+
+_FETCHED_SQL = f"""
+    , pg AS (SELECT page_id, nullif(trim(regexp_replace({_BASIC.format(_TAGLESS)}, '\\s+', ' ', 'g')), '') AS page_body FROM pages),
+      tp AS (SELECT tg.* REPLACE (CASE WHEN news_id % 5 = 0 THEN coalesce(page_body, body) ELSE body END AS body,
+          CASE WHEN news_id % 5 = 0 AND page_id IS NOT NULL THEN CAST(DATE '2024-01-01' + CAST(news_id % 300 AS INT) AS TIMESTAMP) + INTERVAL 630 MINUTE ELSE published_at END AS published_at)
+        FROM tg LEFT JOIN pg ON page_id = news_id % (SELECT max(page_id) + 1 FROM pages)),
+      sd AS (SELECT name AS seed FROM companies WHERE company_id = 7)
+"""
+
+
+@query("ds_3_news_ingest", S.sql(_ENTRY_SQL + _FETCHED_SQL + f"""
+    , tt AS (SELECT *, CASE WHEN is_official THEN list_concat([seed], list_filter(said, lambda x: x <> seed)) ELSE said END AS mentioned FROM (
+      SELECT *, list_filter([CASE WHEN a IN (SELECT company_id FROM act) THEN 'Customer#' || lpad(CAST(a AS VARCHAR), 9, '0') END,
+          CASE WHEN b IN (SELECT company_id FROM act) THEN 'T' || b END], lambda x: x IS NOT NULL) AS said, (SELECT seed FROM sd) AS seed, CASE WHEN is_official THEN list_concat([7], list_filter(found, lambda x: x <> 7)) ELSE found END AS tags,
+        list_sort(list_distinct(list_concat(['biotech'], {S.topics('title', 'body')}))) AS topics FROM tp
+        WHERE NOT regexp_matches(lower(title), 'webinar|whitepaper|sponsored|advertisement') AND source_name <> 'view'))
     """ + _NEWS_SCORED + f"""
-    SELECT news_id, array_to_string(tags, ',') AS tags, array_to_string(topics, ',') AS topics, ev AS event_type, comp AS composite_score,
+    SELECT news_id, array_to_string(tags, ',') AS tags, array_to_string(topics, ',') AS topics, ev AS event_type, comp AS composite_score, imp AS importance_score,
+      array_to_string(mentioned, '|') AS mentioned, {S.news_reason('ev', 'is_official', 'source_weight', 'tags', S.cents('cap'), 'imp', 'rec')} AS priority_reason,
       {S.news_group('tags', 'ev', 'title', 'published_at')} AS dedupe_group_id FROM s2""", "news0", "companies", "percentile"))
 def _(spark, sf):
     e = _entries(spark, sf)
     stored = e.filter("source_name = 'view'").select(
         T.canonical_url("link").alias("canonical_url"), T.content_hash("link", "title").alias("article_hash"))
-    n = PN.ingest(e, stored, V.companies(spark, sf), AN)
+    n = PN.ingest(e, stored, V.companies(spark, sf), AN, pages=_fetched(spark, sf))
     return n.select("news_id", F.array_join(F.transform("company_tag_ids", lambda i: i.cast("string")), ",").alias("tags"),
-                    F.array_join("topic_tags", ",").alias("topics"), "event_type", "composite_score", "dedupe_group_id")
+                    F.array_join("topic_tags", ",").alias("topics"), "event_type", "composite_score", "importance_score",
+                    F.array_join("mentioned", "|").alias("mentioned"), "priority_reason", "dedupe_group_id")
 
 
 # ---- DS-4, DS-5, DS-6 ------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signaldesk.functions import classify as C, dates as D, scores as M, text as T
 from signaldesk.operators import filters as O, ranking as RK, sync, tagging as G
+from signaldesk.sources import pages as P
 from signaldesk.runtime import staged
 
 
@@ -34,11 +35,25 @@ def classify(news: DataFrame) -> DataFrame:
     return typed.withColumn("dedupe_group_id", C.news_dedupe_id("company_tag_ids", "event_type", "title", "published_at"))
 
 
-def ingest(entries: DataFrame, stored: DataFrame, companies: DataFrame, as_of, aliases: DataFrame | None = None) -> DataFrame:
+def latest_articles(pages: DataFrame) -> DataFrame:
+    """(canonical_url, page_text, page_time) of the last version of each page; pages: url, html, fetched_at.
+
+    The markup becomes text and time where it is read; only they are compared and joined.
+    """
+    read = pages.select(T.canonical_url("url").alias("canonical_url"), "fetched_at", F.nullif(P.article_text("url", "html"), F.lit("")).alias("page_text"),
+                        P.published_time("html").alias("page_time"))
+    order = [F.col("fetched_at").desc_nulls_last(), F.col("page_time").desc_nulls_last(), F.col("page_text").desc_nulls_last()]
+    return RK.top_n(read, ["canonical_url"], order, 1).drop("fetched_at")
+
+
+def ingest(entries: DataFrame, stored: DataFrame, companies: DataFrame, as_of, aliases: DataFrame | None = None,
+           pages: DataFrame | None = None) -> DataFrame:
     """Feed entries to new, tagged, classified, scored stories.
 
-    ``entries``: entry_id, title, link, summary, published, article_text, and the feed's source_name, source_weight,
-    feed_tags, source_type, is_official, seed_company_id.  ``stored``: canonical_url, article_hash.
+    ``entries``: entry_id, title, link, summary, published (and ``updated``, where a feed has it), and the feed's
+    source_name, source_weight, feed_tags, source_type, is_official, seed_company_id.  ``stored``: canonical_url,
+    article_hash.  ``pages``: fetched pages (url, html, fetched_at); a page's text and time go before the feed's own.
+    The feed's own company leads the tags and the mentions.
     """
     rows = entries.withColumns({
         "title": T.inline_text("title"), "canonical_url": T.canonical_url("link"),
@@ -46,18 +61,24 @@ def ingest(entries: DataFrame, stored: DataFrame, companies: DataFrame, as_of, a
     }).filter(~C.is_promotional("title"))
     rows = rows.withColumn("article_hash", T.content_hash("canonical_url", "title"))
     fresh = staged(sync.new_by_either(rows, stored, ("canonical_url", "article_hash"), "entry_id"), "news-fresh")
+    if pages is None:
+        fresh = fresh.withColumns({"page_text": F.lit(None).cast("string"), "page_time": F.lit(None).cast("timestamp")})
+    else:
+        fresh = fresh.join(latest_articles(pages), "canonical_url", "left")
+    stated = [D.parse_published(c) for c in ("published", "updated") if c in entries.columns]
     fresh = fresh.withColumns({
         "news_id": F.col("entry_id"),
-        "body": F.coalesce(F.nullif(F.col("article_text"), F.lit("")), "excerpt", "title"),
-        "published_at": F.coalesce(D.parse_published("published"), D.at(as_of)),
+        "body": F.coalesce("page_text", "excerpt", "title"),
+        "published_at": F.coalesce("page_time", *stated, D.at(as_of)),
         "status": F.lit("pending"), "summary_importance": F.lit(0.0),
     })
     known = companies.filter("is_active")
     aliases = G.alias_dictionary(known) if aliases is None else aliases
     tags = G.tag_entities(fresh.select("news_id", F.concat_ws("\n", "title", "body").alias("_t")), "news_id", "_t", aliases)
-    fresh = fresh.join(tags, "news_id", "left").withColumns({
+    seeds = companies.select(F.col("company_id").alias("seed_company_id"), F.col("name").alias("seed_name"))
+    fresh = fresh.join(tags, "news_id", "left").join(seeds, "seed_company_id", "left").withColumns({
         "company_tag_ids": G.seed_first("seed_company_id", F.coalesce("company_tag_ids", F.array().cast("array<bigint>"))),
-        "mentioned": F.coalesce("mentioned", F.array().cast("array<string>")),
+        "mentioned": G.seed_first("seed_name", F.coalesce("mentioned", F.array().cast("array<string>"))),
         "topic_tags": C.merged_topics("feed_tags", C.news_topics("title", "body")),
         # The feed's own class wins; else it follows the source and address.
         "is_official": F.when(F.col("source_type").isNotNull(), F.col("is_official")).otherwise(
