@@ -106,7 +106,7 @@ def test_complete_and_pending_scores(spark):
 def test_rule_summary_and_list_line(spark):
     df = spark.createDataFrame([("T", "One rises.  Two falls! Risk of delay, warning and litigation; approval of trial.")], "t string, x string")
     r = R.with_rule_summary(df, "t", "x").first()
-    assert r.summary == "One rises. Two falls!" and r.risk_flags == ["Risk: risk", "Risk: warning", "Risk: litigation"]
+    assert r.summary == "One rises. Two falls!" and r.risk_flags == ["Risk: risk", "Risk: warning", "Risk: litigation", "Risk: delay"]
     assert r.importance_score == 50.0 and r.material_changes == ["Detected: trial"]
     line = R.list_summary(lit("6-K"), lit("Q2"), lit("foreign-issuer-update"), F.array(lit("1.01")), None, lit(None).cast("string"))
     assert one(spark, a=line)[0] == "Foreign issuer update: Q2"
