@@ -72,31 +72,34 @@ def ingest(raw: DataFrame, stored: DataFrame, companies: DataFrame, as_of, origi
            years_back: int | None = None, per_company: int | None = None) -> DataFrame:
     """Raw filing rows (with text) to new, classified, scored filings.
 
+    Gate, event type and keyword score are made where a text is read; the text itself takes part in no join.
     ``raw``: company_id, accession_number, form, acceptance, document, title, items, raw_text.
     ``stored``: existing filings (company_id, filing_id, accession_number, normalized_form_type, filed_at).
     New rows get the accession number as id in the prior link.
     """
-    fresh = sync.new_by_key(
-        raw.filter(C.is_target_form("form") & F.nullif(F.col("accession_number"), F.lit("")).isNotNull()),
-        stored, "accession_number")
-    gated = fresh.filter(C.passes_ingest_gate("form", "accession_number", "items", "title", "raw_text"))
-    one = RK.top_n(gated, ["accession_number"], [F.col("acceptance").asc()], 1)
+    wanted = raw.filter(C.is_target_form("form") & F.nullif(F.col("accession_number"), F.lit("")).isNotNull()
+                        & C.passes_ingest_gate("form", "accession_number", "items", "title", "raw_text"))
+    read = wanted.withColumns({
+        "normalized_form_type": T.normalize_form("form"), "item_numbers": T.item_numbers("items"), "material": M.material_score("raw_text"),
+    }).withColumn("event_type", C.filing_event_type("normalized_form_type", "item_numbers", "title", "raw_text")).drop("raw_text")
+    fresh = sync.new_by_key(read, stored, "accession_number")
+    one = RK.top_n(fresh, ["accession_number"], [F.col("acceptance").asc()], 1)
     rows = one.withColumns({
-        "form_type": F.upper("form"), "normalized_form_type": T.normalize_form("form"),
-        "filed_at": D.parse_acceptance("acceptance"), "item_numbers": T.item_numbers("items"),
+        "form_type": F.upper("form"), "filed_at": D.parse_acceptance("acceptance"),
     }).withColumns({
-        "event_type": C.filing_event_type("normalized_form_type", "item_numbers", "title", "raw_text"),
         "is_amendment": F.col("form_type").endswith("/A"),
         "ingest_origin": F.lit(origin), "status": F.lit("pending"),
         "freshness_bucket": D.freshness_bucket("filed_at", as_of),
-        "recency": D.recency_score("filed_at", as_of), "material": M.material_score("raw_text"),
+        "recency": D.recency_score("filed_at", as_of),
     })
     if years_back or per_company:
         rows = O.backfill_cut(rows.withColumn("filing_id", F.col("accession_number")), "company_id", "filed_at", as_of,
                               years_back, per_key=per_company).drop("filing_id")
     rows = with_market(rows, companies).withColumn("shown_title", F.coalesce(
         F.nullif(F.col("title"), F.lit("")), F.concat_ws(" ", "name", "form_type")))
-    history = stored.select("company_id", "accession_number", "normalized_form_type", "filed_at").unionByName(
+    # Of the stored history only that of the batch's companies is linked.
+    known = stored.join(rows.select("company_id").distinct(), "company_id", "left_semi")
+    history = known.select("company_id", "accession_number", "normalized_form_type", "filed_at").unionByName(
         rows.select("company_id", "accession_number", "normalized_form_type", "filed_at"))
     prior = linking.prior_strict(history.withColumnRenamed("accession_number", "filing_id")).select(
         F.col("filing_id").alias("accession_number"), F.col("prior_id").alias("prior_accession"))
