@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Zone-less parquet times are read as UTC instants, so time filters need no cast and reach the scan.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+    # Lists of up to this many rows a group are cut in the map tasks, before the exchange.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
