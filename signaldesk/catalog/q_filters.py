@@ -36,8 +36,7 @@ def _(spark, sf):
     SELECT t.filing_id, {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), nullif(f.items, ''), t.raw_text))", K.PERIODIC_6K_WORDS)}
         AS periodic FROM filing_text t JOIN filings f ON t.filing_id = f.filing_id""", "filing_text"))
 def _(spark, sf):
-    f = V.filings(spark, sf).select("filing_id", "title", "items")
-    return V.filing_text(spark, sf).select("filing_id", "raw_text").join(f, "filing_id").select(
+    return V.filing_text(spark, sf, "title", "items").select(
         "filing_id", C.is_periodic_6k("title", "items", "raw_text").alias("periodic"))
 
 
@@ -46,8 +45,7 @@ def _(spark, sf):
         {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), t.raw_text))", K.MATERIAL_8K_WORDS)} AS material
     FROM filing_text t JOIN filings f ON t.filing_id = f.filing_id""", "filing_text"))
 def _(spark, sf):
-    f = V.filings(spark, sf).select("filing_id", "title", "item_numbers")
-    return V.filing_text(spark, sf).select("filing_id", "raw_text").join(f, "filing_id").select(
+    return V.filing_text(spark, sf, "title", "item_numbers").select(
         "filing_id", C.is_material_8k("item_numbers", "title", "raw_text").alias("material"))
 
 
@@ -60,10 +58,8 @@ def _(spark, sf):
           {S.has_any("lower(concat_ws(' ', nullif(f.title, ''), t.raw_text))", K.MATERIAL_8K_WORDS)}
         ELSE true END""", "filing_text"))
 def _(spark, sf):
-    f = V.filings(spark, sf).select("filing_id", "form_type", "accession_number", "title", "items",
-                                    "normalized_form_type")
-    t = V.filing_text(spark, sf).select("filing_id", "raw_text")
-    return f.join(t, "filing_id").filter(
+    t = V.filing_text(spark, sf, "form_type", "accession_number", "title", "items", "normalized_form_type")
+    return t.filter(
         C.passes_ingest_gate("form_type", "accession_number", "items", "title", "raw_text")).select(
         "filing_id", "normalized_form_type")
 
