@@ -134,10 +134,11 @@ def _(spark, sf):
 
 @query("agg_11_trial_phases", S.sql(f"""
     , r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY last_update_date DESC NULLS LAST, trial_id DESC) AS rn FROM trials)
-    SELECT company_id, coalesce(phase, 'Unknown') AS phase, count(*) AS n, arg_min(nct_id, rn) AS latest_trial,
+    SELECT company_id, coalesce(phase, 'Unknown') AS phase, count(*) AS n, arg_min(nct_id, rn) AS latest_trial, string_agg(nct_id, ',' ORDER BY rn) AS trials,
       CAST({S.look_up('any_value(phase)', {p: i for i, p in enumerate(K.PHASE_ORDER)}, '99')} AS INT) AS phase_rank FROM r GROUP BY 1, 2""", "trials"))
 def _(spark, sf):
-    return B.trial_phases(V.trials(spark, sf)).select("company_id", "phase", "n", "latest_trial", "phase_rank")
+    return B.trial_phases(V.trials(spark, sf)).select(
+        "company_id", "phase", "n", "latest_trial", F.array_join("trials", ",").alias("trials"), "phase_rank")
 
 
 @query("agg_12_member_universe", S.sql("""
