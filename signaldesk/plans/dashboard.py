@@ -27,9 +27,8 @@ def dashboard(filings, news, trials, calendar, companies, watchlists, members, a
     soon = O.calendar_range(calendar, as_of_filings, 14, 180)
     soon_order = [F.col("starts_at").asc(), F.col("composite_score").desc(), F.col("event_id").desc()]
     recent_t = RK.page(trials, B.trial_order(), 5)
-    first_lists = RK.page(watchlists.select("watchlist_id"), [F.col("watchlist_id").desc()], 3)
-    # Highlights need only the timeline's top three of three lists.
-    brief = B.watchlist_briefing(members.join(F.broadcast(first_lists), "watchlist_id", "left_semi"), filings, news, trials,
+    # Highlights show the timeline's top three of every list.
+    brief = B.watchlist_briefing(members.join(watchlists.select("watchlist_id"), "watchlist_id", "left_semi"), filings, news, trials,
                                  calendar, companies, as_of_filings, as_of_news, limit=3)
     shown = brief.filter((F.col("section") == "timeline") & (F.col("pos") <= 3)).select(
         F.concat(F.lit("highlights-"), F.col("watchlist_id").cast("string")).alias("section"), F.col("pos").cast("int").alias("pos"), "item")
