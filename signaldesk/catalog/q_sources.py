@@ -222,8 +222,7 @@ def _(spark, sf):
     SELECT lpad(CAST(t.company_id AS VARCHAR), 10, '0') || '/' || f.accession_number AS artifact_key, length(t.raw_text) AS n_chars
     FROM filing_text t JOIN filings0 f ON f.filing_id = t.filing_id""", "filing_text", "filings0"))
 def _(spark, sf):
-    f = V.filings(spark, sf).select("filing_id", "accession_number")
-    t = V.filing_text(spark, sf).join(f, "filing_id").select(
+    t = V.filing_text(spark, sf, "company_id", "accession_number").select(
         F.lpad(F.col("company_id").cast("string"), 10, "0").alias("cik"), "accession_number", "raw_text")
     path = scratch_dir(spark, "artifacts")
     sinks.write_texts(t, path)
