@@ -34,8 +34,13 @@ def reading_list(rows: DataFrame, texts: DataFrame, classes: list[str], k: int,
 
 
 def read(rows: DataFrame, texts: DataFrame, score: Callable[[Column], Column]) -> DataFrame:
-    """Rows with their priority by the whole text; texts: item_id, body."""
-    return rows.join(texts, "item_id").withColumn("priority", score(M.material_score("body"))).drop("body")
+    """Rows with their priority by the whole text; texts: item_id, body, or a function that reads the bodies of given rows.
+
+    A body becomes its keyword score where it is read; only that is joined to the rows.
+    """
+    found = texts(rows) if callable(texts) else texts
+    material = found.select("item_id", M.material_score("body").alias("_material"))
+    return rows.join(material, "item_id").withColumn("priority", score(F.col("_material"))).drop("_material")
 
 
 def best_rows(rows: DataFrame, texts: DataFrame, classes: list[str], k: int, score: Callable[[Column], Column]) -> DataFrame:
