@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signaldesk.functions import classify as C, dates as D, scores as M
 from signaldesk.operators import ranking as RK, sync, tagging as G
+from signaldesk.runtime import staged
 from signaldesk.sources.payloads import calendar_rows
 
 COMPARED = ["title", "starts_at", "ends_at", "committee_name", "summary_text", "company_tag_ids", "priority_reason",
@@ -14,6 +15,8 @@ COMPARED = ["title", "starts_at", "ends_at", "committee_name", "summary_text", "
 
 def enrich(rows: DataFrame, companies: DataFrame, as_of, details: DataFrame | None = None) -> DataFrame:
     """Tag and score calendar rows; ``details`` (canonical_url, detail_title, detail_text) overrides when present."""
+    # The cells are parsed once and the texts tagged once; later branches read what was written.
+    rows = staged(rows, "calendar-rows")
     if details is not None:
         rows = rows.join(details, "canonical_url", "left").withColumns({
             "title": F.coalesce(F.nullif(F.col("detail_title"), F.lit("")), "title"),
@@ -23,7 +26,8 @@ def enrich(rows: DataFrame, companies: DataFrame, as_of, details: DataFrame | No
     text = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("summary_text"), F.lit("")),
                        F.nullif(F.col("context_text"), F.lit("")))
     active = companies.filter("is_active")
-    tagged = G.with_tags(rows.withColumn("_text", text), "canonical_url", "_text", G.alias_dictionary(active)).drop("_text")
+    tags = G.tag_entities(rows.select("canonical_url", text.alias("_text")), "canonical_url", "_text", G.alias_dictionary(active))
+    tagged = G.with_found_tags(rows, "canonical_url", staged(tags, "calendar-tags"))
     scored = G.best_tag_score(tagged, "canonical_url", "company_tag_ids", RK.market_percentiles(companies),
                               out="market_cap_score")
     scored = scored.withColumn("importance_score", M.calendar_importance(
