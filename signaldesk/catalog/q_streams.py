@@ -9,22 +9,24 @@ from signaldesk.sources import views as V
 from signaldesk.streaming import flows as ST
 
 
-def _deliveries(spark, df, key: str, label: str, files: int = 4) -> str:
-    """The table as several files, with every third row delivered a second time in another file."""
+def _deliveries(spark, df, key: str, label: str, batches: int = 4) -> tuple[str, int]:
+    """The table as files, with every third row delivered a second time in another file, and the files of one batch.
+
+    Each part of the table is its own file, so files and the tasks of a batch grow with the table.
+    """
     path = scratch_dir(spark, label)
-    again = df.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(files))).unionByName(
-        df.filter(F.col(key) % 3 == 0).withColumn("_file", F.pmod(F.xxhash64(key) + 1, F.lit(files))))
-    again.repartition(files, "_file").drop("_file").write.parquet(path)
-    return path
+    (df if df.rdd.getNumPartitions() >= batches else df.repartition(batches, key)).write.parquet(path)
+    df.filter(F.col(key) % 3 == 0).write.mode("append").parquet(path)
+    return path, -(-len(spark.read.parquet(path).inputFiles()) // batches)
 
 
 @query("stm_1_incremental_ingest", S.sql("""
     SELECT news_id, event_type, dedupe_group_id, source_type FROM news WHERE news_id % 7 <> 0""", "news"))
 def _(spark, sf):
-    # Four files, one a batch; some stories come twice, and every seventh is stored already.
+    # Four batches of files; some stories come twice, and every seventh is stored already.
     events = V.table(spark, sf, "events")
-    path, files = scratch_dir(spark, "ingest"), _deliveries(spark, events, "event_id", "feed")
-    rows = V.news_from(ST.file_stream(spark, files, 1)).select("news_id", "published_at", "event_type", "dedupe_group_id", "source_type")
+    path, (files, each) = scratch_dir(spark, "ingest"), _deliveries(spark, events, "event_id", "feed")
+    rows = V.news_from(ST.file_stream(spark, files, each)).select("news_id", "published_at", "event_type", "dedupe_group_id", "source_type")
     stored = events.filter("event_id % 7 = 0").select(F.col("event_id").alias("news_id"))
     ST.run_available(rows, ST.append_new(path, "news_id", "published_at", stored, buckets=16), scratch_dir(spark, "ingest-state"))
     return ST.appended(spark, path).select("news_id", "event_type", "dedupe_group_id", "source_type")
@@ -35,10 +37,10 @@ def _(spark, sf):
     SELECT n.event_id, n.composite_score, CASE WHEN o.event_id IS NULL THEN 'insert' WHEN n.composite_score <> o.composite_score THEN 'update' ELSE 'unchanged' END AS action
     FROM calendar n LEFT JOIN o ON o.event_id = n.event_id""", "calendar"))
 def _(spark, sf):
-    path, files = scratch_dir(spark, "snapshot"), _deliveries(spark, V.table(spark, sf, "orders"), "o_orderkey", "orders")
+    path, (files, each) = scratch_dir(spark, "snapshot"), _deliveries(spark, V.table(spark, sf, "orders"), "o_orderkey", "orders")
     stored = V.calendar(spark, sf).filter("title <> 'Public workshop on labeling'").select(
         "event_id", "title", (F.col("composite_score") + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).alias("composite_score"))
-    incoming = V.calendar_from(ST.file_stream(spark, files, 1)).select("event_id", "title", "composite_score")
+    incoming = V.calendar_from(ST.file_stream(spark, files, each)).select("event_id", "title", "composite_score")
     ST.run_available(incoming, ST.upsert_snapshot(path, ["event_id"], ["title", "composite_score"], stored, buckets=16), scratch_dir(spark, "snapshot-state"))
     schema = ", ".join(f"{c} {t}" for c, t in stored.dtypes)
     # A row that came twice was unchanged the second time: the first action counts.

@@ -36,6 +36,12 @@ def _batch_path(path: str, batch: int) -> str:
     return f"{path}/batch={batch}"
 
 
+def held_batch(rows: DataFrame, path: str) -> DataFrame:
+    """A batch as it came, written once: its columns are not made again for each reader."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Buckets:
     """State by key in hash buckets: ``data/version=<batch>/bucket=<n>``, and a manifest with each bucket's last version.
 
@@ -67,7 +73,7 @@ class Buckets:
         """New versions of the buckets that ``placed`` holds whole."""
         spark = placed.sparkSession
         held = {} if batch < 0 else self.manifest(spark, batch)
-        placed.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/data/version={batch}")
+        placed.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/data/version={batch}")
         there = spark.read.schema(placed.schema).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/version={batch}")
         rows = [*(held | {b: batch for b in self.touched(there)}).items()]
         spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch}")
@@ -85,6 +91,7 @@ def append_new(path: str, key: str, order: str, stored: DataFrame, buckets: int
 
     def handle(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
+        rows = held_batch(rows, f"{path}/incoming/batch={batch}")
         known = state.read(spark, schema, batch, state.touched(state.placed(rows)))
         out = f"{path}/rows/batch={batch}"
         sync.new_by_either(rows, known, (key,), order).write.mode("overwrite").parquet(out)
@@ -107,6 +114,7 @@ def upsert_snapshot(path: str, keys: list[str], compared: list[str], initial: Da
 
     def handle(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
+        rows = held_batch(rows, f"{path}/incoming/batch={batch}")
         old = state.read(spark, schema, batch, state.touched(state.placed(rows)))
         out = f"{path}/merged/batch={batch}"
         sync.upsert_actions(rows, old, keys, compared, keep_old_when_null).write.mode("overwrite").parquet(out)
