@@ -14,7 +14,8 @@ Defined results: a null or empty text has fingerprint zero and is linked like an
 each keep their row; null ids take part but never name a component (null if no id of the component is known); an empty
 table gives an empty table; other columns play no part; texts are read whole.
 
-The pipeline's near copies are decided by the similarity of the shingle sets themselves; see ``drop_near_copies``.
+The pipeline's near copies go through the same fingerprints and tree first; each link is then decided by the similarity of the
+shingle sets themselves, and bands of minima find the similar pairs that no fingerprint links; see ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ LEAF = 2_000             # nodes a leaf should hold
 SEED = 42
 SIMILAR = (4, 5)         # least similarity of near copies in the pipeline, as a fraction
 BANDS, ROWS = 24, 5      # minima that find its candidates
-PHASES = (0, 2), (2, BANDS)   # bands looked at together
 GROUP = 256              # pairs of a leader that are checked together
 MIX = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -309,31 +309,46 @@ def band_keys(shingles: set[bytes]) -> tuple[bytes, list[int]]:
 
 
 def shingle_bands(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns of ``keep``, the digest and size of the text's shingle set, and its band keys."""
+    """Columns of ``keep``, the digest and size of the text's five-word shingle set, its band keys, and the fingerprint of the text's three-word shingles."""
     small_batches(docs.sparkSession)
 
     def batches(parts):
         for pdf in parts:
-            sets = [shingles_of(t) for t in pdf.pop("_text")]
+            texts = pdf.pop("_text")
+            sets = [shingles_of(t) for t in texts]
             found = [band_keys(s) for s in sets]
-            yield pdf.assign(digest=[f[0] for f in found], n=[len(s) for s in sets], bands=[f[1] for f in found])
+            prints = np.array([fingerprint(words_of(t), 3) for t in texts], np.int64)
+            yield pdf.assign(digest=[f[0] for f in found], n=[len(s) for s in sets], bands=[f[1] for f in found], fp0=prints)
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "digest binary, n long, bands array<long>"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "digest binary, n long, bands array<long>, fp0 long"])
     return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInPandas(batches, schema)
 
 
+def linked_pairs(nodes: DataFrame, link: Link) -> DataFrame:
+    """(leader, node), written: each node that fingerprints link to others, with one of them; nodes: node, fp0, written already.
+
+    Nodes of one fingerprint meet its smallest node; the fingerprints themselves are linked through the tree.
+    """
+    prints = staged(nodes.groupBy("fp0").agg(F.min("node").alias("node")).withColumn("n_words", F.lit(0).cast("long")), "prints")
+    equal = nodes.join(prints.select("fp0", F.col("node").alias("leader")), "fp0").where("node <> leader").select("leader", "node")
+    across = near_edges(prints, link).select(F.col("b").alias("leader"), F.col("a").alias("node"))
+    found = staged(equal.unionByName(across).distinct(), "linked")
+    discard(prints)
+    return found
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (leader, node) whose texts have a Jaccard similarity of at least SIMILAR over their five-word shingles.
 
     A leader's pairs are dealt to groups of about ``GROUP``; a group gets each member's text and the leader's text once.
-    ``texts`` is bucketed by node, so it is not exchanged again.
+    ``texts`` is bucketed by node, so it is neither exchanged nor sorted: it is read past the pairs of its bucket.
     """
     small_batches(pairs.sparkSession, 200)
     held = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     dealt = pairs.join(held, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), "groups").alias("group"))
-    members = dealt.join(texts.hint("merge"), "node").select("leader", "group", "node", F.col("text").alias("right"))
-    leaders = dealt.select("leader", "group").distinct().join(texts.select(F.col("node").alias("leader"), F.col("text").alias("left")).hint("merge"), "leader")
+    members = dealt.hint("shuffle_hash").join(texts, "node").select("leader", "group", "node", F.col("text").alias("right"))
+    leaders = dealt.select("leader", "group").distinct().hint("shuffle_hash").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("left")), "leader")
     both = members.join(leaders.hint("merge"), ["leader", "group"]).select("leader", "node", "left", "right")
 
     def check(parts):
@@ -351,78 +366,81 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(both.mapInPandas(check, "a long, b long"), "similar")
 
 
-def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the components over all similar pairs that share a band; nodes: node, n, bands, written already.
+def similar_components(nodes: DataFrame, texts: DataFrame, link: Link = Link(2)) -> DataFrame:
+    """(node, root) of the components over all similar pairs; nodes: node, n, bands, fp0, written already; texts: node, text, bucketed by node.
 
-    Bands are taken in ``PHASES``: what the first ones join needs no more checks in the later ones.  In each round some
-    members of a bucket lead: each is checked against all others of the bucket that are not in its component yet, and
-    then leaves the bucket.  A bucket is done when one component holds the rest of it, so every candidate pair is either
-    checked or joined already.  The members that meet most others lead first: the text that a group of copies was made of is
-    nearer to all of them than they are to each other, so such a group costs about one pair a member.
+    Fingerprints come first: what they link is checked by its shingles and joined.  Similar pairs whose fingerprints lie
+    further apart share a band of minima.  In each round some members of a bucket lead: each is checked against all others of
+    the bucket that are not in its component yet, and then leaves the bucket.  A bucket is done when one component holds the
+    rest of it, so every candidate pair is either checked or joined already.  The members that meet most others lead first: the
+    text that a group of copies was made of is nearer to all of them than they are to each other, so such a group costs about
+    one pair a member.
     """
-    spark = nodes.sparkSession
-    members = staged(nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n"), "members")
+    tested = linked_pairs(nodes.select("node", "fp0"), link)
+    stars = staged(components(similar_pairs(tested, texts)), "stars")
+    members = staged(nodes.select(F.explode("bands").alias("bucket"), "node", "n"), "members")
     shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     met = staged(members.join(shared, "bucket"), "met")
-    degree = met.groupBy("node").agg(F.sum("k").alias("degree"))
-    all_members = staged(met.drop("k").join(degree, "node"), "shared")
+    all_members = staged(met.drop("k").join(met.groupBy("node").agg(F.sum("k").alias("degree")), "node"), "shared")
     discard(members, met)
-    texts = bucketed(texts.join(all_members.select("node").distinct(), "node", "left_semi").select("node", F.col("text").cast("binary").alias("text")), "node")
-    stars = staged(spark.createDataFrame([], "node long, root long"), "stars")
-    tested = staged(spark.createDataFrame([], "leader long, node long"), "tested")
-    for low, high in PHASES:
-        members, lead, read = all_members.where(F.col("band").between(low, high - 1)).drop("band"), 1, []
-        while True:
-            rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", "degree", F.coalesce("root", "node").alias("root")), "rooted")
-            discard(*read)
-            parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-            main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
-            main = staged(main.where("parts > 1").select("bucket", "main"), "main")
-            if main.isEmpty():
-                break
-            left = staged(rooted.join(main, "bucket"), "left")
-            nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
-            leaders = left.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
-            leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
-            # The ratio of the sizes bounds the similarity.
-            fits = F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]
-            met = left.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & fits)
-            # Of two leaders that meet, the smaller one leads.
-            pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), (F.col("leader") < F.col("node")).alias("first"))
-            pairs = pairs.groupBy("a", "b").agg(F.max("first").alias("first")).select(
-                F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("node"))
-            seen = tested.unionByName(tested.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
-            pairs = staged(pairs.join(seen, ["leader", "node"], "left_anti"), "pairs")
-            tested = tested.unionByName(pairs)
-            edges = similar_pairs(pairs, texts)
-            if not edges.isEmpty():
-                stars = staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
-            members = left.select("bucket", "node", "n", "degree").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+    members, lead, read = all_members, 1, [all_members]
+    while True:
+        rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", "degree", F.coalesce("root", "node").alias("root")), "rooted")
+        discard(*read)
+        parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+        main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
+        main = staged(main.where("parts > 1").select("bucket", "main"), "main")
+        if main.isEmpty():
             discard(rooted, main)
-            read = [left, leaders]
-            lead = min(lead * 8, 512)
-    return stars
+            return stars
+        left = staged(rooted.join(main, "bucket"), "left")
+        discard(rooted, main)
+        nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
+        leaders = left.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
+        leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
+        # The ratio of the sizes bounds the similarity.
+        fits = F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]
+        met = left.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & fits)
+        # Of two leaders that meet, the smaller one leads.
+        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), (F.col("leader") < F.col("node")).alias("first"))
+        pairs = pairs.groupBy("a", "b").agg(F.max("first").alias("first")).select(
+            F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("node"))
+        seen = tested.unionByName(tested.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
+        pairs = staged(pairs.join(seen, ["leader", "node"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        edges = similar_pairs(pairs, texts)
+        if not edges.isEmpty():
+            old, stars = stars, staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
+            discard(old)
+        discard(edges)
+        members = left.select("bucket", "node", "n", "degree").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        read = [left, leaders]
+        lead = min(lead * 8, 512)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group stays: that of the smallest id (of equal ids, one row).
 
-    Groups: components of the texts whose five-word shingles have a Jaccard similarity of at least 0.8.  Minima of the
-    shingle hashes find the candidates (texts that agree in all five minima of one of 24 bands: at a similarity of 0.8
-    all but 7 in 100,000 pairs); each candidate is decided by its shingles.
+    Groups: components of the texts whose five-word shingles have a Jaccard similarity of at least 0.8.  SimHash
+    fingerprints through the tree find the closest, and minima of the shingle hashes the other candidates (texts that agree in
+    all five minima of one of 24 bands: at a similarity of 0.8 all but 7 in 100,000 pairs); each candidate is decided by its
+    shingles.
     """
     cols = docs.columns
     row = fresh(cols, "row_")
-    # The rows are written once with a number, so that the number is the same wherever it is read again.
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # The rows are written once with a number, in buckets of it: no text is exchanged again but for the pairs to check.
+    numbered = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row)
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(row).alias("at")).alias("who")
     rows = staged(shingle_bands(numbered.select(who, "text"), ["who"]), "bands")
-    nodes = rows.groupBy("digest").agg(F.min("who").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    texts = numbered.select(F.col(row).alias("at"), "text").join(nodes.select("node", F.col("first.at").alias("at")), "at").select("node", "text")
-    stars = similar_components(nodes.select("node", "n", "bands"), texts)
+    # A text stands for all of its shingle set; its row number is the node.
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("who", "n", "bands", "fp0")).alias("first"))
+    nodes = staged(firsts.select(F.col("first.who").alias("first"), "first.n", "first.bands", "first.fp0", F.col("first.who.at").alias("node")), "nodes")
+    discard(rows)
+    texts = numbered.select(F.col(row).alias("node"), F.col("text").cast("binary").alias("text"))
+    stars = similar_components(nodes.select("node", "n", "bands", "fp0"), texts)
     rooted = staged(nodes.select("node", "first").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first"), "rooted")
     chosen = staged(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias(row)), "chosen")
+    discard(nodes, stars, rooted)
     return numbered.join(chosen, row, "left_semi").select(*cols)
 
 

@@ -257,6 +257,22 @@ def test_near_copies_match_brute_force_jaccard(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def test_near_copies_are_found_by_fingerprints(spark):
+    """Without any band, texts whose fingerprints are equal or two bits apart are joined, if their shingles are alike."""
+    rng = np.random.default_rng(5)
+    own, printed = [f"v{k}" for k in rng.choice(3000, 900)], lambda t: simhash.fingerprint(simhash.words_of(t.encode()), 3)
+    apart = lambda t: bin((printed(t) ^ printed(" ".join(own))) & (2 ** 64 - 1)).count("1")
+    edited = next(t for i in range(900) if apart(t := " ".join([*own[:i], "new", *own[i + 1:]])) in (1, 2))
+    texts = [" ".join(own), edited, " ".join(f"v{k}" for k in rng.choice(3000, 900))]
+    prints = [printed(t) for t in texts]
+    prints.append(prints[0])  # a text of the same fingerprint that is not alike
+    texts.append("something else altogether is written here")
+    df = spark.createDataFrame([(i, 900, [], p, t) for i, (p, t) in enumerate(zip(prints, texts))], "node long, n long, bands array<long>, fp0 long, text string")
+    nodes = simhash.staged(df.drop("text"), "nodes")
+    stars = simhash.similar_components(nodes, df.selectExpr("node", "cast(text as binary) text"))
+    assert sorted(map(tuple, stars.collect())) == [(1, 0)]
+
+
 def test_tool_calls_link_and_order(spark):
     call = ('{"tool_calls":[{"id":"b","name":"search","arguments":{"query":"x","limit":"ten"},"after":["a"]},'
             '{"id":"a","name":"calculate","arguments":{"expression":"1\\n\\"2"},"after":["gone"]},{"id":"p","name":"zip","arguments":{},"after":["q"]},{"id":"q","name":"search","arguments":{},"after":["p"]}]}')
