@@ -99,10 +99,14 @@ def match_score(name_norm: Column, name_raw: Column, name_compact: Column, name_
 
 
 def lead_sponsor(sponsors: DataFrame) -> DataFrame:
-    """(nct_id, lead_sponsor): the first lead by id, else the first sponsor by id."""
+    """(nct_id, lead_sponsor): the first lead by id, else the first sponsor by id.
+
+    Rows are dealt by study before the grouping: names are sorted once, and not before an exchange as well.
+    """
     is_lead = F.lower(F.coalesce("lead_or_collaborator", F.lit(""))) == "lead"
-    return sponsors.groupBy("nct_id").agg(F.coalesce(
-        F.min_by("name", F.when(is_lead, F.col("id"))), F.min_by("name", "id")).alias("lead_sponsor"))
+    rows = sponsors.select("nct_id", "id", "name", is_lead.alias("_lead")).repartition("nct_id")
+    return rows.groupBy("nct_id").agg(F.coalesce(
+        F.min_by("name", F.when(F.col("_lead"), F.col("id"))), F.min_by("name", "id")).alias("lead_sponsor"))
 
 
 def sorted_names(rows: DataFrame, out: str) -> DataFrame:
