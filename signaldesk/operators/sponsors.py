@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from signaldesk import constants as K
 from signaldesk.functions import text as T
 from signaldesk.functions.dates import at
 from signaldesk.operators.ranking import top_n
+from signaldesk.runtime import is_small, staged
 
 ANCHOR_CHARS = 8
 SHORTEST = 3
@@ -170,10 +171,20 @@ def name_scores(names: DataFrame, aliases: DataFrame) -> DataFrame:
 def best_matches(studies: DataFrame, sponsors: DataFrame, aliases: DataFrame) -> DataFrame:
     """The winning (sponsor, alias) of each (company, study); pairs without a score drop out.
 
-    Ties go to the first sponsor in name order, then to the first alias.
+    Ties go to the first sponsor in name order, then to the first alias.  A (name, company) pair is matched and scored once
+    and takes its place among the company's pairs, so a study's rows meet the pairs in one join and only places are compared.
     """
-    wanted = company_studies(studies, sponsors, aliases)
-    named = sponsors.select("nct_id", "name").distinct().join(name_scores(sponsors, aliases), "name")
-    scored = named.join(wanted, ["company_id", "nct_id"], "left_semi")
-    return top_n(scored, ["company_id", "nct_id"], [F.col("score").desc(), F.col("name").asc()], 1).select(
-        "company_id", "nct_id", F.col("name").alias("matched_sponsor"), F.col("original").alias("matched_alias"), "score")
+    rows = staged(sponsors.select("nct_id", "name"), "study-names")
+    names = staged(rows.select("name").distinct(), "names")
+    matched = name_matches(names, aliases).withColumn("_wanted", F.lit(True))
+    both = name_scores(names, aliases).join(matched, ["name", "company_id"], "full")
+    place = F.row_number().over(W.partitionBy("company_id").orderBy(F.col("score").desc_nulls_last(), "name"))
+    pairs = staged(both.withColumn("_place", place), "pairs")
+    few = is_small(pairs)
+    known = pairs.select("name", "company_id", F.coalesce("_wanted", F.lit(False)).alias("_wanted"), F.when(F.col("score").isNotNull(), F.col("_place")).alias("_place"))
+    met = rows.join(F.broadcast(known) if few else known.hint("shuffle_hash"), "name").select("nct_id", "company_id", "_wanted", "_place")
+    best = met.repartition("nct_id").groupBy("nct_id", "company_id").agg(F.max("_wanted").alias("_wanted"), F.min("_place").alias("_place"))
+    kept = best.where(F.col("_wanted") & F.col("_place").isNotNull()).join(studies.select("nct_id").hint("shuffle_hash"), "nct_id", "left_semi")
+    shown = pairs.select("company_id", "_place", F.col("name").alias("matched_sponsor"), F.col("original").alias("matched_alias"), "score")
+    return kept.join(F.broadcast(shown) if few else shown.hint("shuffle_hash"), ["company_id", "_place"]).select(
+        "company_id", "nct_id", "matched_sponsor", "matched_alias", "score")
