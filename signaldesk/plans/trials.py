@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signaldesk.operators import filters as O, ranking as RK, sponsors as P, sync
 from signaldesk.plans.briefing import trial_order
+from signaldesk.runtime import staged
 
 COMPARED = ["title", "phase", "status", "conditions", "interventions", "sponsor", "start_date", "primary_completion_date",
             "last_update_date", "enrollment", "study_type"]
@@ -25,7 +26,8 @@ def matched_trials(studies: DataFrame, sponsors: DataFrame, conditions: DataFram
                    companies: DataFrame, as_of, recent_days: int = 365) -> DataFrame:
     """Current studies with their best matching company alias, shaped as stored trials."""
     scoped = P.current_studies(studies, as_of, recent_days)
-    in_scope = sponsors.join(scoped.select("nct_id"), "nct_id", "left_semi")
+    # Read by the matching, the lead sponsor and the list of names.
+    in_scope = staged(sponsors.join(scoped.select("nct_id"), "nct_id", "left_semi"), "scope-sponsors")
     best = P.best_matches(scoped, in_scope, P.sponsor_aliases(companies))
     rows = P.study_rows(scoped, in_scope, conditions, interventions)
     meta = F.create_map(F.lit("source_provider"), F.lit("relational_mirror"), F.lit("matched_alias"), F.col("matched_alias"),
