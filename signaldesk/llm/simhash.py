@@ -366,26 +366,56 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(both.mapInPandas(check, "a long, b long"), "similar")
 
 
+def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, node, n, degree, pos): the rarest shingles of each node, and the place of each in the node's own order.
+
+    Every node orders its shingles by the number of ``nodes`` that hold them, rarest first.  Two similar sets share a shingle
+    that comes early in both: before it lie only shingles that the other lacks.  So a node is filed under the first
+    n - SIMILAR * n + 1 of them; those that no other node holds only move the others back.
+    """
+    small_batches(nodes.sparkSession, 200)
+
+    def hashes(parts):
+        for pdf in parts:
+            found = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles_of(t)], np.uint64)).view(np.int64) for t in pdf["text"]]
+            size = np.array([len(f) for f in found], np.int64)
+            yield pd.DataFrame({"bucket": np.concatenate(found), "node": np.repeat(pdf["node"].to_numpy(), size),
+                                "n": np.repeat(size, size), "degree": np.repeat(pdf["degree"].to_numpy(), size)})
+
+    held = nodes.hint("shuffle_hash").join(texts, "node").select("node", "degree", "text")
+    held = staged(held.mapInPandas(hashes, "bucket long, node long, n long, degree long"), "shingles")
+    known = held.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    last = F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), F.desc("bucket")))
+    placed = held.hint("merge").join(known, "bucket").withColumn("pos", F.col("n") - last)
+    early = staged(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1])).select("bucket", "node", "n", "degree", "pos"), "early")
+    discard(held)
+    return early
+
+
 def similar_components(nodes: DataFrame, texts: DataFrame, link: Link = Link(2)) -> DataFrame:
     """(node, root) of the components over all similar pairs; nodes: node, n, bands, fp0, written already; texts: node, text, bucketed by node.
 
     Fingerprints come first: what they link is checked by its shingles and joined.  Similar pairs whose fingerprints lie
-    further apart share a band of minima.  In each round some members of a bucket lead: each is checked against all others of
-    the bucket that are not in its component yet, and then leaves the bucket.  A bucket is done when one component holds the
-    rest of it, so every candidate pair is either checked or joined already.  The members that meet most others lead first: the
-    text that a group of copies was made of is nearer to all of them than they are to each other, so such a group costs about
-    one pair a member.
+    further apart share a band of minima.  In a first round one member of each bucket leads: it is checked against all others of
+    the bucket that are not in its component yet.  The members that meet most others lead first: the text that a group of copies
+    was made of is nearer to all of them than they are to each other, so such a group costs about one pair a member.
+
+    Where a bucket still holds several components, most members are like no other, and bands would have each of them checked
+    against all.  So these nodes are filed anew under their rare shingles (``rare_shingles``), which all similar pairs share, and
+    led in rounds there: a pair is checked only if what lies behind the shared shingle can still make it similar.  A leader leaves
+    its bucket, and a bucket is done when one component holds the rest of it, so every similar pair is found or joined already.
     """
     tested = linked_pairs(nodes.select("node", "fp0"), link)
     stars = staged(components(similar_pairs(tested, texts)), "stars")
     members = staged(nodes.select(F.explode("bands").alias("bucket"), "node", "n"), "members")
     shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     met = staged(members.join(shared, "bucket"), "met")
-    all_members = staged(met.drop("k").join(met.groupBy("node").agg(F.sum("k").alias("degree")), "node"), "shared")
+    degrees = met.groupBy("node").agg(F.sum("k").alias("degree"))
+    all_members = staged(met.drop("k").join(degrees, "node").withColumn("pos", F.lit(0).cast("long")), "shared")
     discard(members, met)
-    members, lead, read = all_members, 1, [all_members]
+    members, lead, filed, read = all_members, 1, False, [all_members]
     while True:
-        rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", "degree", F.coalesce("root", "node").alias("root")), "rooted")
+        rooted = staged(members.join(stars, "node", "left").select("bucket", "node", "n", "degree", "pos", F.coalesce("root", "node").alias("root")), "rooted")
         discard(*read)
         parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
         main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"))
@@ -395,11 +425,17 @@ def similar_components(nodes: DataFrame, texts: DataFrame, link: Link = Link(2))
             return stars
         left = staged(rooted.join(main, "bucket"), "left")
         discard(rooted, main)
-        nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
-        leaders = left.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= lead)
-        leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leaders")
-        # The ratio of the sizes bounds the similarity.
-        fits = F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]
+        if lead > 1 and not filed:
+            members, lead, filed = rare_shingles(left.select("node", "degree").distinct(), texts), 1, True
+            discard(left)
+            read = [members]
+            continue
+        nth = F.row_number().over(W.partitionBy("bucket", F.col("root") == F.col("main")).orderBy("pos", F.desc("degree"), "node"))
+        leaders = left.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("root") == F.col("main"), 1).otherwise(lead))
+        leaders = staged(leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"), F.col("root").alias("leader_root")), "leaders")
+        # What the two can share at most: for bands (place 0) the lesser size, so the ratio of the sizes bounds the similarity.
+        most = F.least(F.col("n") - F.col("pos"), F.col("leader_n") - F.col("leader_pos"))
+        fits = most * sum(SIMILAR) >= (F.col("n") + F.col("leader_n")) * SIMILAR[0]
         met = left.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & fits)
         # Of two leaders that meet, the smaller one leads.
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), (F.col("leader") < F.col("node")).alias("first"))
@@ -413,9 +449,9 @@ def similar_components(nodes: DataFrame, texts: DataFrame, link: Link = Link(2))
             old, stars = stars, staged(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)), "stars")
             discard(old)
         discard(edges)
-        members = left.select("bucket", "node", "n", "degree").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        members = left.select("bucket", "node", "n", "degree", "pos").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         read = [left, leaders]
-        lead = min(lead * 8, 512)
+        lead *= 64
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

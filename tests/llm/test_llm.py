@@ -273,6 +273,29 @@ def test_near_copies_are_found_by_fingerprints(spark):
     assert sorted(map(tuple, stars.collect())) == [(1, 0)]
 
 
+def test_near_copies_of_one_text_are_not_checked_against_each_other(spark, monkeypatch):
+    """Copies that share bands but are like few others: pairs checked grow with the copies, and the result is that of all pairs."""
+    rng = np.random.default_rng(4)
+    own, texts = [f"v{k}" for k in rng.choice(3000, 150)], []
+    for i in range(240):
+        w = list(own)
+        for at in rng.choice(150, 1 + i % 10, replace=False):
+            w[at] = f"new{rng.integers(10 ** 6)}"
+        texts.append(" ".join(w))
+    sets = [simhash.shingles_of(t.encode()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    checked, plain = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, texts: (checked.append(pairs.count()), plain(pairs, texts))[1])
+    got = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label)) and 100 < len(set(label)) < 200
+    assert sum(checked) < 20 * len(texts)
+
+
 def test_tool_calls_link_and_order(spark):
     call = ('{"tool_calls":[{"id":"b","name":"search","arguments":{"query":"x","limit":"ten"},"after":["a"]},'
             '{"id":"a","name":"calculate","arguments":{"expression":"1\\n\\"2"},"after":["gone"]},{"id":"p","name":"zip","arguments":{},"after":["q"]},{"id":"q","name":"search","arguments":{},"after":["p"]}]}')
