@@ -29,3 +29,14 @@ def test_large_dictionary_tags_like_a_small_one(spark, monkeypatch):
     assert want[1] == ([1, 3], ["Acme Gene Works Of Ohio", "Z9"]) and want[5] == ([2], ["Bolt"]) and want[2] == want[3] == want[4] == ([], [])
     monkeypatch.setattr(G, "is_small", lambda df, rows=0: False)
     assert tags() == want
+
+
+def test_runs_that_no_piece_begins_are_not_built(spark, monkeypatch):
+    built, plain = [], G.meet_pieces
+    monkeypatch.setattr(G, "meet_pieces", lambda grams, pieces: (built.append(grams.count()), plain(grams, pieces))[1])
+    companies = spark.createDataFrame([(1, "Acme Gene Works Of Ohio", None)], "company_id long, name string, ticker string")
+    texts = spark.createDataFrame([(1, "other words " * 50 + "Acme gene works of Ohio")], "k long, t string")
+    hits = G.phrase_matches(texts, "k", "t", G.alias_dictionary(companies)).collect()
+    assert [(r["k"], r["company_id"]) for r in hits] == [(1, 1)]
+    # Pieces begin with "acme" and "works": three runs each, of 105 words.
+    assert built == [6]
