@@ -21,3 +21,16 @@ def test_scores_need_the_text_once(spark):
     assert rows[1]["company_tag_ids"] == [2, 1] and rows[1]["mentioned"] == ["Bolt", "Acme"] and rows[2]["company_tag_ids"] == []
     narrow = out.select("news_id", "event_type", "composite_score", "importance_score", F.size("company_tag_ids"), "dedupe_group_id", "priority_reason")
     assert "body#" not in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reason_goes_by_the_published_market_score(spark):
+    """Among many companies some lie between 74.995 and 75: their score is published as 75.0, and the reason follows it."""
+    companies = spark.range(30001).select(F.col("id").alias("company_id"), F.col("id").alias("market_cap") + 1, F.lit(True).alias("is_active")).toDF(
+        "company_id", "market_cap", "is_active")
+    news = spark.createDataFrame([(1, [22499]), (2, [22498])], "news_id long, company_tag_ids array<long>").select(
+        "*", F.lit("t").alias("title"), F.lit("").alias("body"), F.lit(0.0).alias("summary_importance"), F.lit("pending").alias("status"),
+        F.lit(0.5).alias("source_weight"), F.lit(None).cast("string").alias("event_type"), F.lit(False).alias("is_official"),
+        F.array(F.lit("x")).alias("mentioned"), F.lit(V.AS_OF_NEWS).cast("timestamp").alias("published_at"))
+    rows = {r["news_id"]: r for r in PN.score(news, companies, V.AS_OF_NEWS).collect()}
+    assert rows[1]["market_cap_score"] == 75.0 and rows[1]["priority_reason"] == "very recent, relevant to large-cap company"
+    assert rows[2]["market_cap_score"] == 74.99 and rows[2]["priority_reason"] == "very recent"
