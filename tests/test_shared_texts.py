@@ -35,3 +35,27 @@ def test_pairs_of_shared_texts_have_the_novelty_of_whole_texts(spark):
                                  "filing_id long, doc_id long, head string, prior_doc_id long, prior_head string")
     out = X.with_pairs(rows, X.scored_pairs(rows, bodies)).collect()
     assert sorted((r.filing_id, r.novelty) for r in out) == [(7, 65.0), (8, 65.0)]
+
+
+def test_words_of_pairs_go_in_waves_that_leave_no_exchange(spark, monkeypatch):
+    """The words of all pairs are never exchanged at once, and no text is: the result only reads what its waves wrote."""
+    from signaldesk.operators import texts as X
+
+    bodies = spark.createDataFrame([(i, " ".join(f"w{i * k % 11}" for k in range(1, 9)) + f" {i}.5") for i in range(12)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, h, j, p) for i in range(12) for j in (i, 3, 7, 99, None) for h, p in (("w1 FDA 3", "x"), (None, None))],
+                                  "doc_id long, head string, prior_doc_id long, prior_head string")
+    at_once = X.pair_novelty(pairs, bodies)
+    monkeypatch.setattr(X, "WAVE_BYTES", 2000)
+    calls, compare = [], X._compare
+    monkeypatch.setattr(X, "_compare", lambda *a: calls.append(a) or compare(*a))
+    in_waves = X.pair_novelty(pairs, bodies)
+    assert len(calls) > 2
+    for out in (at_once, in_waves):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(in_waves.collect(), key=key) == sorted(at_once.collect(), key=key) and at_once.count() == pairs.distinct().count()
+    found = X.features(pairs.select("doc_id", "head"), bodies)
+    assert "text" not in "".join(c for c in found._jdf.queryExecution().executedPlan().toString().splitlines(True) if "Exchange" in c)
+    whole = pairs.select("doc_id", "head").distinct().join(bodies, "doc_id").withColumn("raw", F.concat_ws("\n", "head", "text")).withColumn(
+        "nums", M.number_list("raw")).select("doc_id", "head", M.material_score("raw").alias("material"), M.mean_of("nums").alias("mean"))
+    assert sorted(found.collect(), key=key) == sorted(whole.collect(), key=key)
