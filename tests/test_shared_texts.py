@@ -59,3 +59,9 @@ def test_words_of_pairs_go_in_waves_that_leave_no_exchange(spark, monkeypatch):
     whole = pairs.select("doc_id", "head").distinct().join(bodies, "doc_id").withColumn("raw", F.concat_ws("\n", "head", "text")).withColumn(
         "nums", M.number_list("raw")).select("doc_id", "head", M.material_score("raw").alias("material"), M.mean_of("nums").alias("mean"))
     assert sorted(found.collect(), key=key) == sorted(whole.collect(), key=key)
+
+
+def test_filings_leave_no_exchange_to_the_stories_behind_them(spark):
+    """Both halves of the rerank never hold their exchanges together."""
+    plan = E.queries()["ds_6_caps_then_rerank"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "filing_id" not in plan
