@@ -12,6 +12,9 @@ from signaldesk.runtime import is_small, staged
 
 ANCHOR_CHARS = 8
 SHORTEST = 3
+# Parts of names and spellings of aliases are many times the tables they are cut from, which is all that Spark's estimate
+# sees; so the joins on them name their way and are never turned into a broadcast through the driver.
+BROADCAST_PAIRS = 50_000
 
 
 def sponsor_aliases(companies: DataFrame) -> DataFrame:
@@ -58,18 +61,18 @@ def rarest_part(aliases: DataFrame, parts: Column, held: DataFrame) -> DataFrame
     """
     cols = aliases.columns
     split = aliases.select(*cols, F.explode(F.array_distinct(parts)).alias("_k"))
-    known = held.join(split.select("_k").distinct(), "_k", "left_semi").groupBy("_k").agg(F.count("*").alias("_n"))
-    best = split.join(known, "_k", "left").groupBy(*cols).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("_part"))
+    known = held.groupBy("_k").agg(F.count("*").alias("_n"))
+    best = split.join(known.hint("merge"), "_k", "left").groupBy(*cols).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("_part"))
     return best.where("_part.n > 0").select(*cols, F.col("_part._k").alias("_k"))
 
 
 def phrase_candidates(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(name, _low, company_id, loose): names that hold the rarest characters in a row of an alias phrase."""
+    """(name, company_id, loose): names that hold the rarest characters in a row of an alias phrase."""
     phrases = aliases.filter(F.length("loose") >= SHORTEST).select("company_id", "loose").distinct()
     # A phrase is cut into grams as long as itself, up to ANCHOR_CHARS; two-word phrases have at least 3 characters.
     own = F.when(F.length("loose") <= ANCHOR_CHARS, F.array("loose")).otherwise(_char_grams("loose", ANCHOR_CHARS))
-    held = names.select("name", "_low", F.explode(_grams_up_to("_low")).alias("_k"))
-    return held.join(rarest_part(phrases, own, held.select("_k")), "_k").drop("_k")
+    held = names.select("name", F.explode(_grams_up_to("_low")).alias("_k"))
+    return held.join(rarest_part(phrases, own, held.select("_k")).hint("merge"), "_k").drop("_k")
 
 
 def name_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -79,10 +82,10 @@ def name_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     n = names.select("name").distinct().withColumn("_low", F.lower("name"))
     by_text = n.withColumn("raw_lower", F.trim("_low")).join(
-        aliases.select("raw_lower", "company_id"), "raw_lower").select("name", "company_id")
+        aliases.select("raw_lower", "company_id").hint("merge"), "raw_lower").select("name", "company_id")
     by_compact = n.withColumn("compact", F.regexp_replace("_low", "[^a-z0-9]+", "")).join(
-        aliases.select("compact", "company_id"), "compact").select("name", "company_id")
-    inside = phrase_candidates(n, aliases).filter(F.contains("_low", F.col("loose"))).select("name", "company_id")
+        aliases.select("compact", "company_id").hint("merge"), "compact").select("name", "company_id")
+    inside = phrase_candidates(n, aliases).filter(F.contains(F.lower("name"), F.col("loose"))).select("name", "company_id")
     return by_text.unionByName(by_compact).unionByName(inside).distinct()
 
 
@@ -163,7 +166,7 @@ def name_scores(names: DataFrame, aliases: DataFrame) -> DataFrame:
     score = match_score(F.col("n_norm"), F.col("n_raw"), F.col("n_compact"), F.col("n_core"))
     found = None
     for left, right in keyed:
-        part = left.join(right, "_k").select("name", "company_id", "alias_pos", "original", score.alias("score"))
+        part = left.join(right.hint("merge"), "_k").select("name", "company_id", "alias_pos", "original", score.alias("score"))
         found = part if found is None else found.unionByName(part)
     return top_n(found.filter("score > 0"), ["name", "company_id"], [F.col("score").desc(), F.col("alias_pos").asc()], 1)
 
@@ -175,12 +178,13 @@ def best_matches(studies: DataFrame, sponsors: DataFrame, aliases: DataFrame) ->
     and takes its place among the company's pairs, so a study's rows meet the pairs in one join and only places are compared.
     """
     rows = staged(sponsors.select("nct_id", "name"), "study-names")
+    aliases = staged(aliases, "aliases")
     names = staged(rows.select("name").distinct(), "names")
     matched = name_matches(names, aliases).withColumn("_wanted", F.lit(True))
     both = name_scores(names, aliases).join(matched, ["name", "company_id"], "full")
     place = F.row_number().over(W.partitionBy("company_id").orderBy(F.col("score").desc_nulls_last(), "name"))
     pairs = staged(both.withColumn("_place", place), "pairs")
-    few = is_small(pairs)
+    few = is_small(pairs, BROADCAST_PAIRS)
     known = pairs.select("name", "company_id", F.coalesce("_wanted", F.lit(False)).alias("_wanted"), F.when(F.col("score").isNotNull(), F.col("_place")).alias("_place"))
     met = rows.join(F.broadcast(known) if few else known.hint("shuffle_hash"), "name").select("nct_id", "company_id", "_wanted", "_place")
     best = met.repartition("nct_id").groupBy("nct_id", "company_id").agg(F.max("_wanted").alias("_wanted"), F.min("_place").alias("_place"))

@@ -34,3 +34,14 @@ def test_best_match_ranks_pairs(spark):
     assert sorted(map(tuple, out.collect())) == [
         (1, "n1", "acme bio", "Acme Bio", 320), (1, "n2", "acme bio", "Acme Bio", 320), (2, "n1", "Other", "Other", 320),
         (3, "n1", "acme bio", "Acme Bio", 320), (3, "n2", "Bio Acme", "Bio Acme", 320), (3, "n3", "Bio Acme", "Bio Acme", 320)]
+
+
+def test_parts_and_spellings_never_pass_the_driver(spark):
+    """The parts of names outgrow the estimate of their table many times, so that even small ones are not broadcast."""
+    names = spark.createDataFrame([("Acme Bio Inc",), ("Bio Acme",)], "name string")
+    companies = spark.createDataFrame([(1, "AB", "Acme Bio", [], []), (3, "BA", "Bio Acme", [], ["Acme Bio"])],
+                                      "company_id long, ticker string, name string, aliases array<string>, trial_aliases array<string>")
+    aliases = P.sponsor_aliases(companies)
+    for out, want in ((P.name_matches(names, aliases), 3), (P.name_scores(names, aliases), 4)):
+        assert "Broadcast" not in _plan(out)
+        assert out.count() == want and "Broadcast" not in _plan(out)
