@@ -128,9 +128,9 @@ def current_studies(studies: DataFrame, as_of, recent_days: int = 365) -> DataFr
 
 def study_rows(studies: DataFrame, sponsors: DataFrame, conditions: DataFrame, interventions: DataFrame) -> DataFrame:
     """Studies with lead sponsor and the three ordered name arrays."""
-    out = studies.join(lead_sponsor(sponsors), "nct_id", "left")
+    out = studies.join(lead_sponsor(sponsors).hint("shuffle_hash"), "nct_id", "left")
     for rows, name in ((sponsors, "sponsor_names"), (conditions, "conditions"), (interventions, "interventions")):
-        out = out.join(sorted_names(rows, name), "nct_id", "left").withColumn(
+        out = out.join(sorted_names(rows, name).hint("shuffle_hash"), "nct_id", "left").withColumn(
             name, F.coalesce(name, F.array().cast("array<string>")))
     return out
 

@@ -27,7 +27,7 @@ def matched_trials(studies: DataFrame, sponsors: DataFrame, conditions: DataFram
     """Current studies with their best matching company alias, shaped as stored trials."""
     scoped = P.current_studies(studies, as_of, recent_days)
     # Read by the matching, the lead sponsor and the list of names.
-    in_scope = staged(sponsors.join(scoped.select("nct_id"), "nct_id", "left_semi"), "scope-sponsors")
+    in_scope = staged(sponsors.join(scoped.select("nct_id").hint("shuffle_hash"), "nct_id", "left_semi"), "scope-sponsors")
     best = P.best_matches(scoped, in_scope, P.sponsor_aliases(companies))
     rows = P.study_rows(scoped, in_scope, conditions, interventions)
     meta = F.create_map(F.lit("source_provider"), F.lit("relational_mirror"), F.lit("matched_alias"), F.col("matched_alias"),

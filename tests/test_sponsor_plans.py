@@ -1,5 +1,7 @@
 """Sponsor jobs: names are exchanged and sorted once, and pairs of name and company are ranked, not a study's rows."""
 
+from pyspark.sql import functions as F
+
 from signaldesk.operators import sponsors as P
 from signaldesk.sources import views as V
 
@@ -37,11 +39,15 @@ def test_best_match_ranks_pairs(spark):
 
 
 def test_parts_and_spellings_never_pass_the_driver(spark):
-    """The parts of names outgrow the estimate of their table many times, so that even small ones are not broadcast."""
-    names = spark.createDataFrame([("Acme Bio Inc",), ("Bio Acme",)], "name string")
-    companies = spark.createDataFrame([(1, "AB", "Acme Bio", [], []), (3, "BA", "Bio Acme", [], ["Acme Bio"])],
-                                      "company_id long, ticker string, name string, aliases array<string>, trial_aliases array<string>")
-    aliases = P.sponsor_aliases(companies)
-    for out, want in ((P.name_matches(names, aliases), 3), (P.name_scores(names, aliases), 4)):
-        assert "Broadcast" not in _plan(out)
-        assert out.count() == want and "Broadcast" not in _plan(out)
+    """The parts of names outgrow the estimate of their table many times, so that even those of a small file are not broadcast."""
+    names = V.table(spark, SF, "supplier").select(F.translate("s_name", "#", " ").alias("name"))
+    aliases = P.sponsor_aliases(V.sponsor_companies(spark, SF))
+    for out in (P.name_matches(names, aliases), P.name_scores(names, aliases)):
+        assert "Broadcast" not in _plan(out) and out.count() > 0
+
+
+def test_rows_of_studies_never_pass_the_driver(spark):
+    """Names are gathered for every study: the tables grow with the studies, whatever their estimate."""
+    rows = V.conditions(spark, SF).select("*", F.length("name").alias("id"), F.lit("lead").alias("lead_or_collaborator"))
+    out = P.study_rows(V.studies(spark, SF), rows, V.conditions(spark, SF), V.interventions(spark, SF))
+    assert "Broadcast" not in _plan(out) and out.count() == V.studies(spark, SF).count()
